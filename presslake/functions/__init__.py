@@ -1,0 +1 @@
+"""presslake subpackage."""
