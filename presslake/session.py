@@ -37,7 +37,8 @@ class StagedTable:
     """A Parquet table in the shared folder, for data that is read several times.
 
     Unlike a checkpoint it keeps column pruning, filter push-down and partition
-    pruning for its readers. ``drop()`` removes it once nothing lazy refers to it.
+    pruning for its readers. ``drop()`` removes it once nothing lazy refers to it;
+    what is left goes when the application ends.
     """
 
     def __init__(self, df: DataFrame, partition_by: list[str] | None = None):
@@ -48,6 +49,8 @@ class StagedTable:
         if partition_by:
             writer = writer.partitionBy(*partition_by)
         writer.parquet(self.path)
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).deleteOnExit(path)
 
     def read(self) -> DataFrame:
         return self.spark.read.schema(self.schema).parquet(self.path)
