@@ -70,7 +70,7 @@ def pair_scores(df: DataFrame, record: str, items: list, min_count: int, min_lif
     scored = out.select(
         "item_a", "item_b", n.alias("n_records"), "count_a", "count_b", "n_both",
         (xy * n / (x * y)).alias("lift"),
-        F.when(xy < x, (1 - y / n) / (1 - xy / x)).alias("conviction"),
+        F.when(xy < x, (n - y) * x / (n * (x - xy))).alias("conviction"),
     )
     scored = cut(scored)
     weighted.drop()

@@ -32,7 +32,7 @@ SELECT impression_id, CAST(candidate_position AS BIGINT) AS candidate_position F
     "p5_scores": _BASKETS
     + """SELECT a AS item_a, b AS item_b, n AS n_records, ca AS count_a, cb AS count_b, ab AS n_both,
   round(CAST(ab AS DOUBLE) * n / (CAST(ca AS DOUBLE) * cb), 6) AS lift,
-  round(CASE WHEN ab < ca THEN (1 - CAST(cb AS DOUBLE) / n) / (1 - CAST(ab AS DOUBLE) / ca) END, 6) AS conviction FROM kept""",
+  round(CASE WHEN ab < ca THEN CAST(n - cb AS DOUBLE) * ca / (CAST(n AS DOUBLE) * (ca - ab)) END, 6) AS conviction FROM kept""",
     "p6_found": _TERMS
     + """SELECT news_id, term FROM (SELECT news_id, term, row_number() OVER (PARTITION BY news_id ORDER BY tf * (ln((1.0 + n) / (1.0 + df)) + 1.0) DESC, term) AS r
   FROM tf JOIN df USING (term) CROSS JOIN st) WHERE r <= 3""",
