@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-from presslake.plans import general
+from presslake.plans import general, reference, reference_sql
 
-_PARTS = [general]
-QUERIES = {name: f for part in _PARTS for name, f in part.QUERIES.items()}
-ORACLES = {name: sql for part in _PARTS for name, sql in part.ORACLES.items()}
+QUERIES = {**general.QUERIES, **reference.QUERIES}
+ORACLES = {**general.ORACLES, **reference_sql.ORACLES}
