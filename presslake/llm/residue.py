@@ -112,10 +112,10 @@ FILLER_WORDS = (
 #: Every phrase, keyword and filler text holds one of these words; only messages that do are compared with the rules.
 TRIGGERS = (
     "javascript js script scripts scripting noscript browser browsers blocker loading http error status exception traceback fatal forbidden gone "
-    "unavailable gateway timeout permission denied found located moved longer encontrada introuvable gefunden angeforderte server serveur "
-    "servidor backend resource notified searching incident request reference something oops snag uncaught warning query nullpointerexception "
-    "app access story continue shown full html java py dummy placeholder sample blindtext relleno remplissage artikel texto article copy text type lorem ipsum "
-    "dolor amet asdf asdfasdf sdfg qwer qwert qwerty hjkl jkl zxcv blah xxx foo test unde donar qualor sapor"
+    "unavailable gateway timeout permission denied found exists encontrada introuvable gefunden angeforderte server serveur servidor backend "
+    "resource notified searching incident request reference something oops snag uncaught query nullpointerexception shown dummy placeholder "
+    "sample blindtext relleno remplissage artikel texto l'article ici goes copy text lorem ipsum dolor amet unde donar qualor sapor "
+    "asdf asdfasdf sdfg qwer qwert qwerty hjkl jkl zxcv blah xxx foo"
 ).split()
 #: Page menus.
 MENU = (
@@ -173,6 +173,32 @@ def masked(message: Column) -> Column:
     return F.regexp_replace(out, r"\b(?=[0-9a-f.]*\d)[0-9a-f][0-9a-f.]*\b", "\u0003")
 
 
+def _let(value: Column, body) -> Column:
+    """``body`` of ``value``, which is evaluated once."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
+def _judge(message: Column) -> Column:
+    """What the rules say of one message; phrases are searched only if it holds a trigger word."""
+
+    def rules(a: Column) -> Column:
+        trigger = F.arrays_overlap(a, _list(TRIGGERS))
+        repeated = (F.size(a) >= 6) & (F.size(F.array_distinct(a)) <= 2)
+        phrases = F.aggregate(F.regexp_extract_all(message, F.lit(_PHRASE), F.lit(0)), F.lit(0), lambda n, p: n + _words(p))
+        return F.struct(
+            message.alias("text"),
+            F.size(a).alias("w"),
+            ((F.length(message) < 80) & message.rlike(MENU)).alias("menu"),
+            (trigger | repeated).alias("hit"),
+            repeated.alias("repeated"),
+            F.when(trigger, F.size(F.filter(a, lambda w: w.isin(FILLER_WORDS)))).otherwise(0).alias("filler"),
+            F.when(trigger, phrases).otherwise(0).alias("phrase"),
+            F.when(trigger, message.rlike(KEYWORDS)).otherwise(False).alias("keyword"),
+        )
+
+    return _let(F.filter(F.split(message, _NOT_WORD), lambda w: w != ""), rules)
+
+
 def residue_documents(df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
     """(key, has_placeholder, n_words, n_residue) of the documents that are cases; one row per key.
 
@@ -185,20 +211,16 @@ def residue_documents(df: DataFrame, key: str = "doc_id", text: str = "text", so
     templates = docs.filter(has_placeholder(F.col("t"))).select("k").distinct().withColumn("template", F.lit(True))
 
     # Only documents with any sign of residue are cut into messages, and only messages with a trigger word meet the rules.
-    lower = docs.select("k", "src", "t", F.split(F.lower(plain_text(F.col("t"))), _NOT_WORD).alias("a"))
-    monotonous = (F.size("a") >= 6) & (F.size(F.array_distinct("a")) * 10 <= F.size("a") * 7)
-    cut_up = lower.filter(F.arrays_overlap("a", _list(TRIGGERS)) | monotonous).select("k", "src", messages(F.col("t")).alias("m"))
-    total = F.aggregate("m", F.lit(0), lambda a, m: a + F.when((F.length(m) < 80) & m.rlike(MENU), 0).otherwise(_words(m)))
-    rows = cut_up.select("k", "src", total.alias("n_words"), F.explode("m").alias("m")).withColumn("a", F.filter(F.split("m", _NOT_WORD), lambda w: w != ""))
-    rows = rows.withColumn("w", F.size("a")).withColumn("kinds", F.size(F.array_distinct("a"))).filter("w > 0")
-    repeated = (F.col("w") >= 6) & (F.col("kinds") <= 2)
-    rows = rows.filter(F.arrays_overlap("a", _list(TRIGGERS)) | repeated).filter(~((F.length("m") < 80) & F.col("m").rlike(MENU)))
-    filler = F.size(F.filter("a", lambda w: w.isin(FILLER_WORDS)))
-    phrase = F.aggregate(F.regexp_extract_all(F.col("m"), F.lit(_PHRASE), F.lit(0)), F.lit(0), lambda a, p: a + _words(p))
-    rows = rows.withColumn("certain", F.when(repeated | ((F.col("w") > 1) & (filler * 10 >= F.col("w") * 6)), F.col("w")).otherwise(F.least(phrase, F.col("w"))))
-    rows = rows.withColumn("candidate", (F.col("certain") < F.col("w")) & ((F.col("certain") > 0) | F.col("m").rlike(KEYWORDS)))
+    # What is used in filters and results is computed once, inside the arrays: a filter on it can't be pushed below.
+    sign = _let(F.split(F.lower("t"), _NOT_WORD), lambda a: F.arrays_overlap(a, _list(TRIGGERS)) | ((F.size(a) >= 6) & (F.size(F.array_distinct(a)) * 10 <= F.size(a) * 7)))
+    judged = docs.filter(F.col("t").contains("&#") | sign).select("k", "src", F.transform(messages(F.col("t")), _judge).alias("m"))
+    total = F.aggregate("m", F.lit(0), lambda a, m: a + F.when(m.menu, 0).otherwise(m.w))
+    rows = judged.select("k", "src", total.alias("n_words"), F.explode(F.filter("m", lambda m: m.hit & ~m.menu)).alias("m"))
+    certain = F.when(F.col("m.repeated") | ((F.col("m.w") > 1) & (F.col("m.filler") * 10 >= F.col("m.w") * 6)), F.col("m.w")).otherwise(F.least("m.phrase", "m.w"))
+    rows = rows.select("k", "src", "n_words", "m.w", certain.alias("certain"), "m.keyword", F.col("m.text").alias("text"))
+    rows = rows.withColumn("candidate", (F.col("certain") < F.col("w")) & ((F.col("certain") > 0) | F.col("keyword")))
     rows = rows.filter(F.col("candidate") | (F.col("certain") > 0)).select(
-        "k", "src", "n_words", "w", "certain", F.when(F.col("candidate"), F.xxhash64(masked(F.col("m")))).alias("h")
+        "k", "src", "n_words", "w", "certain", F.when(F.col("candidate"), F.xxhash64(masked(F.col("text")))).alias("h")
     )
     rows = cut(rows)  # a small part of the corpus, read by the counts and by the verdicts
 
