@@ -131,14 +131,14 @@ def pack(sized: DataFrame, key: str, specs: DataFrame, size: str = "n_tokens", b
     is never cut; a larger one is cut into full pieces and a rest. Documents
     without tokens get a container as well. NULL keys, NULL or negative sizes
     and NULL or non-positive capacities are left out. Repeated rows count once.
-    Container numbers have gaps. Empty tables give no row.
+    Empty tables give no row.
     """
     spec_rows = specs.select(F.col("spec_id").cast("bigint").alias("s"), F.col("capacity_tokens").cast("bigint").alias("capacity")).filter("s IS NOT NULL AND capacity > 0").distinct()
     docs = sized.select(F.col(key).cast("bigint").alias("id"), F.col(size).cast("bigint").alias("n")).filter("id IS NOT NULL AND n >= 0").distinct()
     docs = cut(docs)  # sizes are measured once for all capacities
     per_spec = [docs.withColumns({"s": F.lit(r.s).cast("bigint"), "capacity": F.lit(r.capacity).cast("bigint")}) for r in spec_rows.collect()]
     if not per_spec:
-        return docs.selectExpr("CAST(NULL AS BIGINT) AS spec_id", f"id AS `{key}`", "n AS piece", "n AS piece_tokens", "n AS container_id").limit(0)
+        return docs.selectExpr("CAST(NULL AS BIGINT) AS spec_id", f"id AS `{key}`", "n AS piece", "n AS piece_tokens", "'' AS container_id").limit(0)
     cross = per_spec[0]
     for other in per_spec[1:]:
         cross = cross.unionByName(other)
@@ -162,7 +162,8 @@ def pack(sized: DataFrame, key: str, specs: DataFrame, size: str = "n_tokens", b
                 "s", "capacity", "id", "part", "size", F.coalesce("c2", "container").alias("container"), F.coalesce("f2", "fill").alias("fill")
             )
         )
-    # A full piece is its own container, numbered apart from all blocks.
-    alone = full.select("s", "id", "part", "size", (-1 - F.pmod(F.xxhash64("id", "part"), F.lit(2**62))).alias("container"))
-    out = placed.select("s", "id", "part", "size", "container").unionByName(alone)
+    # A full piece is its own container, named apart from those of the blocks.
+    alone = full.select("s", "id", "part", "size", F.concat(F.lit("full-"), F.col("id"), F.lit("-"), F.col("part")).alias("container"))
+    shared = placed.select("s", "id", "part", "size", F.concat(F.lit("shared-"), F.col("container")).alias("container"))
+    out = shared.unionByName(alone)
     return out.select(F.col("s").alias("spec_id"), F.col("id").alias(key), F.col("part").alias("piece"), F.col("size").alias("piece_tokens"), F.col("container").alias("container_id"))
