@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import StorageLevel
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 
-from presslake.operators import dense, features, feed, monitoring, ranking, text
+from presslake.operators import dense, features, feed, monitoring, projection, ranking, selection, text
 from presslake.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -20,11 +20,11 @@ def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession
 
 
 class _Feed:
-    """The views most queries start from; all lazy."""
+    """The views most queries start from; all lazy. The split rows are read by several branches of a query and kept between them."""
 
     def __init__(self, spark: SparkSession, d: str):
         self.articles = feed.articles(table(spark, d, "news"))
-        self.rows = feed.partitioned(feed.impressions(table(spark, d, "behaviors")))
+        self.rows = feed.partitioned(feed.impressions(table(spark, d, "behaviors"))).persist(StorageLevel.MEMORY_AND_DISK)
 
     def candidates(self, *parts: str) -> DataFrame:
         return feed.candidates(self.rows.filter(F.col("part").isin(*parts)) if parts else self.rows)
@@ -167,8 +167,8 @@ def _observed(f: _Feed, fit: tuple[str, ...]) -> DataFrame:
 
 def _tfidf_scored(f: _Feed, cand: DataFrame, fit: tuple[str, ...], on: tuple[str, ...]) -> DataFrame:
     """Cosine of the mean history vector and the candidate; 0 for articles the fit hasn't seen."""
-    observed = _observed(f, fit)
-    weights = text.tfidf(f.articles, observed).join(observed, "news_id", "left_semi")
+    observed = _observed(f, fit).persist(StorageLevel.MEMORY_AND_DISK)
+    weights = text.tfidf(f.articles, observed).join(observed, "news_id", "left_semi").persist(StorageLevel.MEMORY_AND_DISK)
     known = f.articles.join(observed, "news_id", "left_semi")
     profiles = text.mean_profiles(f.history(*on), weights, known)
     norms = profiles.groupBy("impression_id").agg(F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("l"))
@@ -219,6 +219,38 @@ def select_half_life(spark: SparkSession, d: str) -> DataFrame:
     return out.withColumn("place", F.row_number().over(order).cast("bigint"))
 
 
+@query
+def select_baseline(spark: SparkSession, d: str) -> DataFrame:
+    """The strongest baseline on validation (ties to the smaller name) and the reported one (ties to the larger)."""
+    out = None
+    for name in ("original_order", "global_popularity", "category_affinity"):
+        per = ranking.macro_metrics(ranking.impression_metrics(_scored(spark, d, name, ("train",), ("validation",))))
+        row = per.select(F.lit(name).alias("name"), "ndcg_10", "mrr", "auc")
+        out = row if out is None else out.unionByName(row)
+    strongest = selection.STRONGEST_BASELINE.choose(out).withColumn("selector", F.lit("strongest"))
+    return strongest.unionByName(selection.REPORTED_BASELINE.choose(out).withColumn("selector", F.lit("reported")))
+
+
+@query
+def target_diagnostics(spark: SparkSession, d: str) -> DataFrame:
+    """Per partition: impressions without a click, and clicked targets with and without an article."""
+    f = _Feed(spark, d)
+    targets = f.candidates().filter("label = 1").join(f.articles.select("news_id", F.lit(1).alias("k")), "news_id", "left")
+    per = targets.groupBy("impression_id").agg(F.count("k").alias("known"), F.count(F.lit(1)).alias("n"))
+    return f.rows.join(per, "impression_id", "left").groupBy("part").agg(
+        F.count(F.when(F.col("n").isNull(), 1)).alias("n_without_click"),
+        F.coalesce(F.sum("known"), F.lit(0)).alias("n_known_targets"),
+        F.coalesce(F.sum(F.col("n") - F.col("known")), F.lit(0)).alias("n_missing_targets"),
+    )
+
+
+@query
+def top_categories(spark: SparkSession, d: str) -> DataFrame:
+    """Categories among the ten best ranked candidates of each validation impression."""
+    scored = ranking.ranked(_scored(spark, d, "category_affinity", ("train",), ("validation",))).filter("rank <= 10")
+    return scored.groupBy("impression_id", monitoring.shown(F.col("category")).alias("category")).agg(F.count(F.lit(1)).alias("n"))
+
+
 @query
 def prediction_integrity(spark: SparkSession, d: str) -> DataFrame:
     """Full-outer comparison of scored_candidates with the logged candidates by (impression, position)."""
@@ -251,7 +283,7 @@ def score_ties(spark: SparkSession, d: str) -> DataFrame:
 
 def _content(spark: SparkSession, d: str) -> tuple[_Feed, DataFrame]:
     f = _Feed(spark, d)
-    return f, text.tfidf(f.articles, _observed(f, ("train",)))
+    return f, text.tfidf(f.articles, _observed(f, ("train",))).persist(StorageLevel.MEMORY_AND_DISK)
 
 
 @query
@@ -314,6 +346,41 @@ def retrieval_quality(spark: SparkSession, d: str) -> DataFrame:
     return text.retrieval_metrics(found, targets, (10, 20))
 
 
+@query
+def retrieval_grid(spark: SparkSession, d: str) -> DataFrame:
+    """Retrieval quality of text and profile configurations, the chosen one first."""
+    f = _Feed(spark, d)
+    asked = _asked(f)
+    observed = _observed(f, ("train",))
+    seen = text.first_seen(f.candidates())
+    targets = feed.candidates(asked).filter("label = 1").join(f.articles.select("news_id"), "news_id", "left_semi").select("impression_id", "news_id").distinct()
+    out = None
+    for parts in (("title",), ("title", "abstract")):
+        weights = text.tfidf(f.articles, observed, parts).persist(StorageLevel.MEMORY_AND_DISK)
+        for name, profiles in (("mean", text.mean_profiles(feed.history(asked), weights, f.articles)), ("recency", text.recency_profiles(feed.history(asked), weights, f.articles, 0.8))):
+            row = text.retrieval_metrics(text.retrieve(profiles, weights, seen, 20), targets, (10, 20)).withColumn("name", F.lit("_".join((*parts, name))))
+            out = row if out is None else out.unionByName(row)
+    order = selection.Selector(("recall_20", "mrr"), largest_name=True, zero_is_missing=True).order()
+    return out.withColumn("place", F.row_number().over(Window.orderBy(*order)).cast("bigint"))  # four rows
+
+
+@query
+def dense_retrieval_quality(spark: SparkSession, d: str) -> DataFrame:
+    """Retrieval by 32-dimensional projections, and what it loses against the sparse vectors."""
+    f, weights = _content(spark, d)
+    articles = projection.dense_articles(weights, _observed(f, ("train",)), 32)
+    asked = _asked(f)
+    numbered = articles.select(F.xxhash64("news_id").alias("vec_id"), "news_id", "embedding")
+    profiles = projection.dense_profiles(feed.history(asked), articles).select(F.col("impression_id").cast("bigint").alias("vec_id"), "embedding")
+    found = dense.top_k(profiles, numbered.select("vec_id", "embedding"), 20).join(numbered.select("vec_id", "news_id"), "vec_id")
+    found = found.select(F.col("query_id").cast("string").alias("impression_id"), "news_id", "rank")
+    targets = feed.candidates(asked).filter("label = 1").join(f.articles.select("news_id"), "news_id", "left_semi").select("impression_id", "news_id").distinct()
+    own = text.retrieval_metrics(found, targets, (10, 20))
+    sparse = text.retrieval_metrics(_retrieved(spark, d, 20)[1], targets, (10, 20))
+    loss = [F.round(F.col(f"own.{m}") - F.col(f"sparse.{m}"), 6).alias(f"{m}_loss") for m in ("recall_10", "recall_20", "mrr")]
+    return own.alias("own").crossJoin(F.broadcast(sparse.alias("sparse"))).select("own.*", *loss)  # single rows
+
+
 # --- dense vectors ---
 
 
@@ -378,6 +445,22 @@ def ltr_logistic(spark: SparkSession, d: str) -> DataFrame:
     return ranking.macro_metrics(ranking.impression_metrics(rows))
 
 
+@query
+def ltr_boosted(spark: SparkSession, d: str) -> DataFrame:
+    """Metrics of the boosted trees on validation."""
+    scored = features.predicted(features.fit_ranker(_features(spark, d), "boosted"), _features(spark, d, "validation"))
+    rows = scored.select("impression_id", "position", F.when(F.col("label") >= 0, F.col("label")).alias("label"), F.round("score", 9).alias("score"), F.lit("validation").alias("part"))
+    return ranking.macro_metrics(ranking.impression_metrics(rows))
+
+
+@query
+def ltr_coefficients(spark: SparkSession, d: str) -> DataFrame:
+    """Standardised coefficients of the logistic ranker, largest first."""
+    model = features.fit_ranker(_features(spark, d)).stages[-1]
+    rows = sorted(zip(features.FEATURES, (float(c) for c in model.coefficients)), key=lambda x: (-abs(x[1]), x[0]))
+    return spark.createDataFrame([(k + 1, f, round(c, 6)) for k, (f, c) in enumerate(rows)], "place bigint, feature string, coefficient double")
+
+
 # --- monitoring ---
 
 
@@ -421,6 +504,15 @@ def jsd_drift(spark: SparkSession, d: str) -> DataFrame:
     return out
 
 
+@query
+def profile_rates(spark: SparkSession, d: str) -> DataFrame:
+    """Share of impressions without history and of candidates without a category, per partition."""
+    f = _Feed(spark, d)
+    empty = f.rows.groupBy("part").agg(F.round(F.avg((F.size("history") == 0).cast("double")), 9).alias("empty_history_rate"))
+    shown = f.candidates().join(f.articles, "news_id", "left").groupBy("part")
+    return empty.join(shown.agg(F.round(F.avg((F.coalesce("category", F.lit("")) == "").cast("double")), 9).alias("missing_category_rate")), "part")
+
+
 @query
 def request_log_summary(spark: SparkSession, d: str) -> DataFrame:
     """Counts and latencies by outcome; percentiles interpolated (p50, p95) and by nearest rank (n95)."""

@@ -263,3 +263,32 @@ FROM tr c JOIN art a ON a.news_id = c.news_id JOIN split s ON s.impression_id =
   LEFT JOIN h2 ON h2.impression_id = c.impression_id AND h2.subcategory = a.subcategory LEFT JOIN h3 ON h3.impression_id = c.impression_id LEFT JOIN f1 ON f1.category = a.category
   LEFT JOIN f2 ON f2.subcategory = a.subcategory LEFT JOIN sn ON sn.impression_id = c.impression_id AND sn.news_id = c.news_id"""
 )
+
+ORACLES["target_diagnostics"] = (
+    FEED
+    + """, t AS (SELECT c.impression_id, count(a.news_id) AS known, count(*) AS n FROM cand c LEFT JOIN art a USING (news_id) WHERE label = 1 GROUP BY 1)
+SELECT part, count(*) FILTER (WHERE n IS NULL) AS n_without_click, CAST(coalesce(sum(known), 0) AS BIGINT) AS n_known_targets, CAST(coalesce(sum(n - known), 0) AS BIGINT) AS n_missing_targets
+  FROM split LEFT JOIN t USING (impression_id) GROUP BY 1"""
+)
+ORACLES["top_categories"] = (
+    FEED
+    + _scored("category_affinity", _TRAIN, _VAL, "v")
+    + f""", r AS (SELECT *, row_number() OVER (PARTITION BY impression_id ORDER BY score DESC, position) AS rank FROM s_v)
+SELECT impression_id, {_SHOWN.format(c="category", m="<missing>")} AS category, count(*) AS n FROM r WHERE rank <= 10 GROUP BY 1, 2"""
+)
+ORACLES["profile_rates"] = (
+    FEED
+    + """, e AS (SELECT part, round(avg(CAST(len(history) = 0 AS DOUBLE)), 9) AS empty_history_rate FROM split GROUP BY 1),
+m AS (SELECT part, round(avg(CAST(coalesce(category, '') = '' AS DOUBLE)), 9) AS missing_category_rate FROM cand LEFT JOIN art USING (news_id) GROUP BY 1)
+SELECT * FROM e JOIN m USING (part)"""
+)
+_names3 = ("original_order", "global_popularity", "category_affinity")
+_runs = FEED
+for _n in _names3:
+    _runs += _scored(_n, _TRAIN, _VAL, f"b_{_n}")
+_runs += _metrics(" UNION ALL ".join(f"SELECT '{_n}:' || impression_id AS impression_id, '{_n}' AS part, position, label, score FROM s_b_{_n}" for _n in _names3))
+_runs += ", m AS (SELECT part AS name, round(avg(ndcg_10), 6) AS ndcg_10, round(avg(mrr), 6) AS mrr, round(avg(auc), 6) AS auc FROM per GROUP BY 1)"
+ORACLES["select_baseline"] = (
+    _runs
+    + " (SELECT *, 'strongest' AS selector FROM m ORDER BY ndcg_10 DESC, mrr DESC, auc DESC, name LIMIT 1) UNION ALL (SELECT *, 'reported' AS selector FROM m ORDER BY ndcg_10 DESC, mrr DESC, name DESC LIMIT 1)"
+)
