@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+ARTICLE_BLOCK = 2_000
+
 
 def dense_articles(weights: DataFrame, fit_ids: DataFrame, dimensions: int) -> DataFrame:
     """(news_id, embedding): every article's TF-IDF row times the leading right singular vectors of the fit rows, unit length.
 
     The decomposition runs on the distributed Gram operator, so only the
     right vectors (terms x dimensions) reach the driver; dimensions are capped
-    to the shape. The product is a join on the term.
+    to the shape. The products are taken in hash blocks of articles.
     """
     from pyspark.mllib.linalg import Vectors
     from pyspark.mllib.linalg.distributed import RowMatrix
@@ -26,12 +30,28 @@ def dense_articles(weights: DataFrame, fit_ids: DataFrame, dimensions: int) -> D
     matrix = RowMatrix(rows.select("v").rdd.map(lambda r: Vectors.sparse(size, [x.i for x in r.v], [x.weight for x in r.v])))
     k = max(1, min(dimensions, size, matrix.numRows()))
     right = matrix.computeSVD(k).V.toArray()
-    vectors = spark.createDataFrame([(i, [float(x) for x in row]) for i, row in enumerate(right)], "i int, v array<double>").join(numbered, "i").select("term", "v")
-    parts = weights.join(vectors, "term").select("news_id", F.posexplode(F.transform("v", lambda x: x * F.col("weight"))).alias("d", "x"))
-    summed = parts.groupBy("news_id", "d").agg(F.sum("x").alias("x"))
-    raw = summed.groupBy("news_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("d", "x"))), lambda s: s.x).alias("embedding"))
-    norm = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x * x))
-    return raw.withColumn("_n", norm).select("news_id", F.transform("embedding", lambda x: F.when(F.col("_n") > 1e-12, x / F.col("_n")).otherwise(0.0)).alias("embedding"))
+    order = [r.term for r in numbered.orderBy("i").collect()]
+    held = spark.sparkContext.broadcast((dict(zip(order, range(size))), right))
+    blocks = max(1, -(-weights.select("news_id").distinct().count() // ARTICLE_BLOCK))
+    parts = weights.withColumn("_b", F.pmod(F.xxhash64("news_id"), F.lit(blocks))).groupBy("_b")
+    return parts.applyInPandas(_projector(held), "news_id string, embedding array<double>")
+
+
+def _projector(held):
+    """Projects one block of articles with the broadcast right vectors."""
+
+    def project(block: pd.DataFrame) -> pd.DataFrame:
+        place, right = held.value
+        block = block.sort_values(["news_id", "term"])
+        ids, row = np.unique(block["news_id"].to_numpy(), return_inverse=True)
+        term = block["term"].map(place)
+        known = term.notna().to_numpy()
+        out = np.zeros((len(ids), right.shape[1]))
+        np.add.at(out, row[known], right[term[known].astype(int)] * block["weight"].to_numpy()[known, None])
+        norm = np.linalg.norm(out, axis=1, keepdims=True)
+        return pd.DataFrame({"news_id": ids, "embedding": list(np.where(norm > 1e-12, out / np.maximum(norm, 1e-12), 0.0))})
+
+    return project
 
 
 def dense_profiles(hist: DataFrame, articles: DataFrame) -> DataFrame:
