@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from presslake.operators.versions import distinct_rows, has_conflicts
+from presslake.operators.versions import has_conflicts
 
 #: Keys that make an object an entity (fixed values of the data model).
 ENTITY_KEYS = frozenset({"entity_id", "id", "label", "type", "confidence", "aliases", "mentions", "members"})
@@ -132,10 +132,9 @@ def flatten_entities(df: DataFrame, fields: list[str], keys: list[str]) -> DataF
     source row comes with several contents their rows are united. Other columns
     are ignored. Fields of any length are read whole.
     """
-    parts = [distinct_rows(df.filter(F.col(f).isNotNull()), [*keys, f]).select(*keys, F.lit(f).alias("nested_field"), F.col(f).alias("_text")) for f in fields]
-    long = parts[0]
-    for p in parts[1:]:
-        long = long.unionByName(p)
+    each = F.explode(F.array(*[F.struct(F.lit(f).alias("nested_field"), F.col(f).alias("_text")) for f in fields]))
+    delivered = df.select(*keys, each.alias("_f")).select(*keys, "_f.nested_field", "_f._text").filter("_text IS NOT NULL")
+    long = delivered.distinct()
     n = len(keys) + 1
 
     def flatten(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -155,7 +154,7 @@ def flatten_entities(df: DataFrame, fields: list[str], keys: list[str]) -> DataF
 
     head = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in long.schema.fields[:n])
     out = long.mapInArrow(flatten, f"{head}, {FLAT_SCHEMA}")
-    return out.distinct() if any(has_conflicts(df, keys, [f]) for f in fields) else out
+    return out.distinct() if has_conflicts(delivered, [*keys, "nested_field"], ["_text"]) else out
 
 
 def flatten_candidates(df: DataFrame, field: str, keys: list[str]) -> DataFrame:
