@@ -4,50 +4,74 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark import StorageLevel
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-ARTICLE_BLOCK = 2_000
+ARTICLE_BLOCK, PASSES = 2_000, 5
 
 
 def dense_articles(weights: DataFrame, fit_ids: DataFrame, dimensions: int) -> DataFrame:
     """(news_id, embedding): every article's TF-IDF row times the leading right singular vectors of the fit rows, unit length.
 
-    The decomposition runs on the distributed Gram operator, so only the
-    right vectors (terms x dimensions) reach the driver; dimensions are capped
-    to the shape. The products are taken in hash blocks of articles.
+    The vectors come from subspace iteration: each pass multiplies hash blocks
+    of articles with the current basis and sums what the blocks return, so only
+    arrays of terms x dimensions reach the driver. Dimensions are capped to the
+    shape. Articles without a known term get the zero vector.
     """
-    from pyspark.mllib.linalg import Vectors
-    from pyspark.mllib.linalg.distributed import RowMatrix
-
     spark = weights.sparkSession
     fit = weights.join(fit_ids, "news_id", "left_semi")
-    terms = fit.select("term").distinct()
-    numbered = terms.withColumn("i", F.row_number().over(Window.orderBy("term")) - 1)  # the vocabulary, whose vectors the driver holds anyway
-    numbered = spark.createDataFrame(numbered.toArrow()).persist()
-    size = numbered.count()
-    rows = fit.join(numbered, "term").groupBy("news_id").agg(F.sort_array(F.collect_list(F.struct("i", "weight"))).alias("v"))
-    matrix = RowMatrix(rows.select("v").rdd.map(lambda r: Vectors.sparse(size, [x.i for x in r.v], [x.weight for x in r.v])))
-    k = max(1, min(dimensions, size, matrix.numRows()))
-    right = matrix.computeSVD(k).V.toArray()
-    order = [r.term for r in numbered.orderBy("i").collect()]
-    held = spark.sparkContext.broadcast((dict(zip(order, range(size))), right))
+    terms = [r.term for r in fit.select("term").distinct().orderBy("term").toLocalIterator()]
+    n = fit.select("news_id").distinct().count()
+    k = max(1, min(dimensions, len(terms), n))
+    place = dict(zip(terms, range(len(terms))))
+    basis = np.linalg.qr(np.random.default_rng(42).normal(size=(max(1, len(terms)), k)))[0]
     blocks = max(1, -(-weights.select("news_id").distinct().count() // ARTICLE_BLOCK))
-    parts = weights.withColumn("_b", F.pmod(F.xxhash64("news_id"), F.lit(blocks))).groupBy("_b")
-    return parts.applyInPandas(_projector(held), "news_id string, embedding array<double>")
+    block = F.pmod(F.xxhash64("news_id"), F.lit(blocks))
+    rows = fit.withColumn("_b", block).persist(StorageLevel.MEMORY_AND_DISK)
+    for _ in range(PASSES):
+        held = spark.sparkContext.broadcast((place, basis))
+        partial = rows.groupBy("_b").applyInPandas(_multiplier(held), "i int, v array<double>")
+        summed = partial.select("i", F.posexplode("v").alias("d", "x")).groupBy("i", "d").agg(F.sum("x").alias("x")).toPandas()
+        product = np.zeros_like(basis)
+        product[summed["i"], summed["d"]] = summed["x"]
+        basis = np.linalg.qr(product)[0]
+    rows.unpersist()
+    held = spark.sparkContext.broadcast((place, basis))
+    return weights.withColumn("_b", block).groupBy("_b").applyInPandas(_projector(held), "news_id string, embedding array<double>")
+
+
+def _times(block: pd.DataFrame, place: dict[str, int], basis: np.ndarray) -> tuple[np.ndarray, tuple[np.ndarray, np.ndarray, np.ndarray], np.ndarray]:
+    """(ids, (row, term, weight) of each entry, products) of the known entries of a block."""
+    block = block.sort_values(["news_id", "term"])
+    ids, row = np.unique(block["news_id"].to_numpy(), return_inverse=True)
+    term = block["term"].map(place)
+    known = term.notna().to_numpy()
+    row, term, weight = row[known], term[known].to_numpy().astype(int), block["weight"].to_numpy()[known]
+    out = np.zeros((len(ids), basis.shape[1]))
+    np.add.at(out, row, basis[term] * weight[:, None])
+    return ids, (row, term, weight), out
+
+
+def _multiplier(held):
+    """One block's share of (X'X) basis, for the terms it holds."""
+
+    def multiply(block: pd.DataFrame) -> pd.DataFrame:
+        place, basis = held.value
+        _, (row, term, weight), product = _times(block, place, basis)
+        own, at = np.unique(term, return_inverse=True)
+        back = np.zeros((len(own), basis.shape[1]))
+        np.add.at(back, at, product[row] * weight[:, None])
+        return pd.DataFrame({"i": own.astype(np.int32), "v": list(back)})
+
+    return multiply
 
 
 def _projector(held):
     """Projects one block of articles with the broadcast right vectors."""
 
     def project(block: pd.DataFrame) -> pd.DataFrame:
-        place, right = held.value
-        block = block.sort_values(["news_id", "term"])
-        ids, row = np.unique(block["news_id"].to_numpy(), return_inverse=True)
-        term = block["term"].map(place)
-        known = term.notna().to_numpy()
-        out = np.zeros((len(ids), right.shape[1]))
-        np.add.at(out, row[known], right[term[known].astype(int)] * block["weight"].to_numpy()[known, None])
+        ids, _, out = _times(block, *held.value)
         norm = np.linalg.norm(out, axis=1, keepdims=True)
         return pd.DataFrame({"news_id": ids, "embedding": list(np.where(norm > 1e-12, out / np.maximum(norm, 1e-12), 0.0))})
 

@@ -150,3 +150,21 @@ def test_streaming_equals_batch(spark, tmp_path):
     q.stop()
     got = sorted(map(tuple, spark.table("telemetry_test").collect()))
     assert got == sorted(map(tuple, telemetry.windowed(df, "ts", "kind", "value").collect())) and sum(r[2] for r in got) == 40
+
+
+def test_projection_spans_the_leading_singular_vectors(spark):
+    import numpy as np
+
+    from presslake.operators import projection
+
+    rng = np.random.default_rng(0)
+    x = rng.normal(size=(40, 3)) @ np.diag([9.0, 4.0, 2.0]) @ rng.normal(size=(3, 12)) + 0.01 * rng.normal(size=(40, 12))
+    rows = [(f"N{i}", f"t{j}", float(x[i, j])) for i in range(40) for j in range(12)] + [("N99", "unknown", 1.0)]
+    weights = spark.createDataFrame(rows, "news_id string, term string, weight double")
+    fit = spark.createDataFrame([(f"N{i}",) for i in range(40)], "news_id string")
+    got = {r.news_id: np.array(r.embedding) for r in projection.dense_articles(weights, fit, 3).collect()}
+    right = np.linalg.svd(x)[2][:3]
+    want = x @ right.T
+    want /= np.linalg.norm(want, axis=1, keepdims=True)
+    own = np.array([got[f"N{i}"] for i in range(40)])
+    assert np.allclose(own @ own.T, want @ want.T, atol=1e-3) and not got["N99"].any()
