@@ -240,7 +240,7 @@ def leaks(
     window: int = 10,
     edits: int = 0,
     recall: float = 0.95,
-    sampled: int = 8,
+    sampled: int = 5,
 ) -> DataFrame:
     """(doc_key, item_key): documents that hold ``window`` consecutive words of an item, with at most ``edits`` word edits.
 
