@@ -531,6 +531,6 @@ def request_log_summary(spark: SparkSession, d: str) -> DataFrame:
 @query
 def request_windows(spark: SparkSession, d: str) -> DataFrame:
     """The batch form of the streaming telemetry: events per hour and type."""
-    events = table(spark, d, "events").select(F.unix_micros(F.col("ts").cast("timestamp")).alias("us"), "event_type", "value")
+    events = table(spark, d, "events").select(F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', CAST(ts AS TIMESTAMP_NTZ))").alias("us"), "event_type", "value")
     hour = F.expr("us - pmod(us, 3600000000L)")
     return events.groupBy(hour.alias("window_start_us"), "event_type").agg(F.count(F.lit(1)).alias("n_events"), F.round(F.sum("value"), 4).alias("total_value"))
