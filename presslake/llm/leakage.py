@@ -8,8 +8,10 @@ own walk and samples some places; windows of the corpus whose sample equals
 that of a window of an evaluation item are candidates, which exact word-level
 edit distance then verifies.
 
-Windows are item-sized: every run of ``window`` words of every item is a query,
-and every run of ``window`` words of every document is looked up. The number of
+Every run of ``window`` words of every item is a query, and the ``window`` words
+from every place of every document on are looked up. A hit is verified against
+the passages of ``window - edits`` to ``window + edits`` words that begin there,
+so that inserted and deleted words count as edits too. The number of
 repetitions follows from the wished recall and the collision rate of simulated
 edits; without edits a passage's walk is the same on both sides, so that one
 repetition finds all.
@@ -81,10 +83,10 @@ class Walk:
         stretches = np.array_split(np.arange(2 * window if sampled < 2 * window else 3 * window), min(sampled, 3 * window))
         self.places = np.array([random.choice(x) for x in stretches])
 
-    def keys(self, hashes: np.ndarray, starts: np.ndarray) -> np.ndarray:
-        """The sampled key of each window of ``hashes`` that begins at ``starts``."""
+    def keys(self, hashes: np.ndarray, starts: np.ndarray, ends: np.ndarray | None = None) -> np.ndarray:
+        """The sampled key of each window of ``hashes`` that begins at ``starts``; none goes beyond its text's end in ``ends``."""
         at = starts.copy()
-        ends = starts + self.window
+        ends = starts + self.window if ends is None else np.minimum(starts + self.window, ends)
         keys = np.zeros(len(starts), np.uint64)
         padded = np.append(hashes, np.uint64(0))
         coins = _mix(_mix(padded, 2 * self.repetition + 1), 2 * self.repetition + 2)  # bit j decides step j
@@ -118,6 +120,22 @@ def within_edits(a: list[str], b: list[str], most: int) -> bool:
     return previous[-1] <= most
 
 
+def begins_within(words: list[str], at: int, end: int, item: list[str], most: int, i: int = 0) -> bool:
+    """Are the words from ``at`` on, up to some place before ``end``, within ``most`` edits of ``item`` from ``i`` on?
+
+    Equal words are always paired, which is optimal, and each edit is tried at the first difference.
+    """
+    while i < len(item) and at < end and item[i] == words[at]:
+        i, at = i + 1, at + 1
+    if len(item) - i <= most:
+        return True
+    if most == 0:
+        return False
+    if at < end and (begins_within(words, at + 1, end, item, most - 1, i + 1) or begins_within(words, at + 1, end, item, most - 1, i)):
+        return True
+    return begins_within(words, at, end, item, most - 1, i + 1)
+
+
 def repetitions(window: int, edits: int, sampled: int, recall: float, trials: int = 2000) -> int:
     """How many repetitions find a window with ``edits`` random edits with probability ``recall``."""
     if edits == 0:
@@ -163,23 +181,21 @@ class _Queries:
             order = np.argsort(keys, kind="stable")
             self.tables.append((keys[order], order))
 
-    def matches(self, hashes: np.ndarray, starts: np.ndarray, owner: np.ndarray, words: list[str]) -> set[tuple[int, int]]:
-        """(owner, item) of the corpus windows that verify."""
+    def matches(self, hashes: np.ndarray, starts: np.ndarray, ends: np.ndarray, owner: np.ndarray, words: list[str]) -> set[tuple[int, int]]:
+        """(owner, item) of the corpus passages that verify; ``ends`` has the end of the text of each start."""
         found: set[tuple[int, int]] = set()
         refused: set[tuple[int, int]] = set()
         for walk, (keys, order) in zip(self.walks, self.tables):
-            own = walk.keys(hashes, starts)
+            own = walk.keys(hashes, starts, ends)
             left = np.searchsorted(keys, own, "left")
             hit = np.flatnonzero((left < len(keys)) & (keys[np.minimum(left, len(keys) - 1)] == own))
             right = np.searchsorted(keys, own[hit], "right")
-            for start, l, r in zip(starts[hit].tolist(), left[hit].tolist(), right.tolist()):
-                window = None
+            for start, end, l, r in zip(starts[hit].tolist(), ends[hit].tolist(), left[hit].tolist(), right.tolist()):
                 for q in order[l:r].tolist():
                     pair = (int(owner[start]), self.owners[q])
                     if pair in found or (start, q) in refused:
                         continue
-                    window = window or words[start : start + self.window]
-                    if within_edits(window, self.texts[q], self.edits):
+                    if begins_within(words, start, end, self.texts[q], self.edits):
                         found.add(pair)
                     else:
                         refused.add((start, q))
@@ -187,7 +203,7 @@ class _Queries:
 
 
 def _scan(batches: Iterator[pa.RecordBatch], queries: _Queries) -> Iterator[pa.RecordBatch]:
-    window = queries.window
+    window, edits = queries.window, queries.edits
     cache: dict[str, int] = {}
 
     def flush(keys: list, texts: list[list[str]]) -> pa.RecordBatch | None:
@@ -204,8 +220,8 @@ def _scan(batches: Iterator[pa.RecordBatch], queries: _Queries) -> Iterator[pa.R
         ends = np.cumsum(sizes)
         owner = np.repeat(np.arange(len(texts)), sizes)
         position = np.arange(len(flat))
-        starts = position[position + window <= ends[owner]]
-        found = {(keys[o], item) for o, item in queries.matches(hashes, starts, owner, flat)}
+        starts = position[position + window - edits <= ends[owner]]
+        found = {(keys[o], item) for o, item in queries.matches(hashes, starts, ends[owner[starts]], owner, flat)}
         if not found:
             return None
         return pa.RecordBatch.from_arrays([pa.array([k for k, _ in found], pa.int64()), pa.array([i for _, i in found], pa.int64())], names=["k", "i"])
@@ -215,9 +231,9 @@ def _scan(batches: Iterator[pa.RecordBatch], queries: _Queries) -> Iterator[pa.R
         for k, t in zip(batch.column(0).to_pylist(), batch.column(1)):
             ws = words(t.as_py())
             # A long text goes in overlapping pieces, so that memory is bounded and no window is lost.
-            for at in range(0, max(1, len(ws) - window + 1), CHUNK_WORDS):
-                piece = ws[at : at + CHUNK_WORDS + window - 1]
-                if len(piece) < window:
+            for at in range(0, max(1, len(ws) - window + edits + 1), CHUNK_WORDS):
+                piece = ws[at : at + CHUNK_WORDS + window + edits - 1]
+                if len(piece) < window - edits:
                     continue
                 keys.append(k)
                 texts.append(piece)
@@ -244,6 +260,7 @@ def leaks(
 ) -> DataFrame:
     """(doc_key, item_key): documents that hold ``window`` consecutive words of an item, with at most ``edits`` word edits.
 
+    An edit replaces, inserts or deletes a word; the passage in the document has ``window - edits`` to ``window + edits`` words.
     Keys are integers. NULL texts and keys and items shorter than the window
     find nothing; repeated rows count once; other columns are ignored; empty
     tables give no row. Without edits the result is exact.
@@ -277,13 +294,13 @@ def leaks(
 
 
 def brute_force(documents: pd.DataFrame, items: pd.DataFrame, window: int = 10, edits: int = 0) -> set[tuple[int, int]]:
-    """All pairs of windows, for tests."""
+    """All pairs of an item's windows and a document's passages of ``window - edits`` to ``window + edits`` words, for tests."""
     out = set()
     for item, text in items.itertuples(index=False):
         ws = words(text)
         own = [ws[i : i + window] for i in range(len(ws) - window + 1)]
         for doc, body in documents.itertuples(index=False):
             ds = words(body)
-            if any(within_edits(ds[i : i + window], o, edits) for i in range(len(ds) - window + 1) for o in own):
+            if any(within_edits(ds[i : i + n], o, edits) for n in range(window - edits, window + edits + 1) for i in range(len(ds) - n + 1) for o in own):
                 out.add((doc, item))
     return out

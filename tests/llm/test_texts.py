@@ -126,6 +126,46 @@ def test_edits_reach_the_recall(spark):
     assert got <= want and len(got) >= 0.9 * len(want) and len(want) > 50
 
 
+def planted_edits(n):
+    """Items of twelve words, and documents that hold them with one word replaced, inserted or deleted inside, at any place of the document."""
+    rng = np.random.default_rng(8)
+    items, docs = [], []
+    for k in range(n):
+        ws = [f"w{int(x)}" for x in rng.integers(0, 10**6, 12)]
+        at = 1 + int(rng.integers(10))
+        edited = ws[:at] + [["new"], ["new", ws[at]], []][k % 3] + ws[at + 1 :]
+        around = [["a", "b"], []][k % 2], [["c", "d", "e"], []][k // 2 % 2]
+        items.append((k, " ".join(ws)))
+        docs.append((k, " ".join([*around[0], *edited, *around[1]])))
+    return docs, items
+
+
+def test_every_kind_of_edit_is_found(spark):
+    docs, items = planted_edits(150)
+    found = leakage.leaks(spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string"), window=12, edits=1)
+    found = {(r.doc_id, r.item_id) for r in found.collect()}
+    assert found <= {(k, k) for k in range(150)}
+    per_kind = [sum((k, k) in found for k in range(kind, 150, 3)) for kind in range(3)]
+    print("found of 50 replaced, inserted, deleted:", per_kind)
+    assert sum(per_kind) >= 0.9 * 150 and min(per_kind) >= 40
+
+
+def test_edited_passages_by_brute_force():
+    rng = np.random.default_rng(9)
+    for _ in range(400):
+        item, ws = ([str(x) for x in rng.integers(0, 3, n)] for n in (5, int(rng.integers(0, 9))))
+        for most in range(3):
+            wanted = any(leakage.within_edits(ws[:n], item, most) for n in range(len(ws) + 1))
+            assert leakage.begins_within(ws, 0, len(ws), item, most) == wanted
+
+
+def test_edits_cross_no_text_end(spark):
+    ws = [f"w{k}" for k in range(12)]
+    docs = spark.createDataFrame([(1, " ".join(ws[:6])), (2, " ".join(ws[6:])), (3, " ".join(ws[1:])), (4, " ".join(ws[2:]))], "doc_id bigint, text string").coalesce(1)
+    items = spark.createDataFrame([(7, " ".join(ws))], "item_id bigint, text string")
+    assert {r.doc_id for r in leakage.leaks(docs, items, window=12, edits=1).collect()} <= {3}
+
+
 # --- residue ---
 
 CASES = [
