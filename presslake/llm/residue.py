@@ -109,14 +109,16 @@ FILLER_WORDS = (
     "arbis donar ergo facil fides lumen magnis mirum nexum porta qualor quorum rotis sapor semper tandis tibus unde vesta "
     "asdf asdfasdf sdfg dfgh qwer qwert qwerty qwertz hjkl jkl zxcv yxcv test 123 blah xxx foo bar baz"
 ).split()
-#: Every phrase, keyword and filler text holds one of these words; only messages that do are compared with the rules.
-TRIGGERS = (
-    "javascript js script scripts scripting noscript browser browsers blocker loading http error status exception traceback fatal forbidden gone "
-    "unavailable gateway timeout permission denied found exists encontrada introuvable gefunden angeforderte server serveur servidor backend "
-    "resource notified searching incident request reference something oops snag uncaught query nullpointerexception shown dummy placeholder "
-    "sample blindtext relleno remplissage artikel texto l'article ici goes copy text lorem ipsum dolor amet unde donar qualor sapor "
-    "asdf asdfasdf sdfg qwer qwert qwerty hjkl jkl zxcv blah xxx foo"
-).split()
+#: Every match of a phrase or a keyword holds one of these strings, stack frames apart; a test derives this from the patterns.
+SIGNS = (
+    "script|js|error|exception|traceback|forbidden|unavailable|gateway|timeout|permission|denied|not found|encontrada|introuvable|nicht gefunden"
+    "|server|serveur|servidor|browser|blocker|dummy|placeholder|blindtext|relleno|remplissage|sample|loading|shown without it|to continue"
+    "|before opening the app|and reload the page|for full access|to read this story|bad request|unauthorized|gone|http|status|something went wrong"
+    "|oops|upstream backend|hit a snag|angeforderte adresse|could not be located|could not be found|has moved or no longer exists|has been notified"
+    "|try searching instead|incident|request id|reference|query failed|hier steht sp|va el texto|ici viendra l|goes here|to follow"
+    "|type your text here|replace this copy|lorem ipsum"
+).split("|")
+_FRAME = r"\(\w+\.\w+:\d"
 #: Page menus.
 MENU = (
     r"^(?:menu|search|home|news|sport|contact|go back|log ?in|sign in|subscribe|skip to content|back to the front page|share this story"
@@ -129,6 +131,8 @@ MOST_BROADCAST, SALTS = 100_000, 32
 
 _WORD = r"[\p{L}\p{N}']+"
 _NOT_WORD = r"[^\p{L}\p{N}']+"
+#: A word and the same again, at most one other between; six words of at most two kinds hold it.
+_AGAIN = rf"(?<![\p{{L}}\p{{N}}'])([\p{{L}}\p{{N}}']++){_NOT_WORD}+(?:{_WORD}+{_NOT_WORD}+)?\1(?![\p{{L}}\p{{N}}'])"
 _PHRASE = "(?:" + "|".join(PHRASES) + ")"
 _PLACEHOLDER = "(?:" + "|".join(PLACEHOLDERS) + ")"
 
@@ -137,10 +141,6 @@ def _words(text: Column) -> Column:
     return F.size(F.regexp_extract_all(text, F.lit(_WORD), F.lit(0)))
 
 
-def _list(words: list[str]) -> Column:
-    return F.array(*[F.lit(w) for w in words])
-
-
 def plain_text(text: Column) -> Column:
     """Without the commonest markup: known tags become line ends, quote and ampersand entities their characters."""
     text = F.coalesce(text, F.lit(""))
@@ -178,22 +178,49 @@ def _let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), 0)
 
 
+def _possible(lowered: Column) -> Column:
+    """Can a phrase or a keyword be in the text? Never false if one is."""
+    out = lowered.contains("(") & lowered.rlike(_FRAME)
+    for sign in SIGNS:
+        out = out | lowered.contains(sign)
+    return out
+
+
+def _n_filler(words: Column) -> Column:
+    return F.size(F.filter(words, lambda w: w.isin(FILLER_WORDS)))
+
+
+def _sign(text: Column) -> Column:
+    """Can any rule hold for a message of the text? Never false if one does.
+
+    Entities and runs of blanks, which messages no longer have, pass. Filler is at least two words of a message.
+    """
+
+    def rules(t: Column) -> Column:
+        blanks = t.contains("&") | t.contains("  ") | t.contains("\t") | t.contains("\f") | t.contains("\v")
+        return blanks | _possible(t) | (_n_filler(F.split(t, _NOT_WORD)) > 1) | t.rlike(_AGAIN)
+
+    return _let(F.lower(text), rules)
+
+
 def _judge(message: Column) -> Column:
-    """What the rules say of one message; phrases are searched only if it holds a trigger word."""
+    """What the rules say of one message; phrases are searched only where one can be."""
 
     def rules(a: Column) -> Column:
-        trigger = F.arrays_overlap(a, _list(TRIGGERS))
+        return _let(F.struct(_possible(message).alias("possible"), _n_filler(a).alias("filler")), lambda x: judged(a, x["possible"], x["filler"]))
+
+    def judged(a: Column, possible: Column, n_filler: Column) -> Column:
         repeated = (F.size(a) >= 6) & (F.size(F.array_distinct(a)) <= 2)
         phrases = F.aggregate(F.regexp_extract_all(message, F.lit(_PHRASE), F.lit(0)), F.lit(0), lambda n, p: n + _words(p))
         return F.struct(
             message.alias("text"),
             F.size(a).alias("w"),
             ((F.length(message) < 80) & message.rlike(MENU)).alias("menu"),
-            (trigger | repeated).alias("hit"),
+            (possible | repeated | (n_filler > 1)).alias("hit"),
             repeated.alias("repeated"),
-            F.when(trigger, F.size(F.filter(a, lambda w: w.isin(FILLER_WORDS)))).otherwise(0).alias("filler"),
-            F.when(trigger, phrases).otherwise(0).alias("phrase"),
-            F.when(trigger, message.rlike(KEYWORDS)).otherwise(False).alias("keyword"),
+            n_filler.alias("filler"),
+            F.when(possible, phrases).otherwise(0).alias("phrase"),
+            F.when(possible, message.rlike(KEYWORDS)).otherwise(False).alias("keyword"),
         )
 
     return _let(F.filter(F.split(message, _NOT_WORD), lambda w: w != ""), rules)
@@ -210,10 +237,9 @@ def residue_documents(df: DataFrame, key: str = "doc_id", text: str = "text", so
     )
     templates = docs.filter(has_placeholder(F.col("t"))).select("k").distinct().withColumn("template", F.lit(True))
 
-    # Only documents with any sign of residue are cut into messages, and only messages with a trigger word meet the rules.
+    # Only documents with any sign of residue are cut into messages, and only messages with one are searched for phrases.
     # What is used in filters and results is computed once, inside the arrays: a filter on it can't be pushed below.
-    sign = _let(F.split(F.lower("t"), _NOT_WORD), lambda a: F.arrays_overlap(a, _list(TRIGGERS)) | ((F.size(a) >= 6) & (F.size(F.array_distinct(a)) * 10 <= F.size(a) * 7)))
-    judged = docs.filter(F.col("t").contains("&#") | sign).select("k", "src", F.transform(messages(F.col("t")), _judge).alias("m"))
+    judged = docs.filter(_sign(F.col("t"))).select("k", "src", F.transform(messages(F.col("t")), _judge).alias("m"))
     total = F.aggregate("m", F.lit(0), lambda a, m: a + F.when(m.menu, 0).otherwise(m.w))
     rows = judged.select("k", "src", total.alias("n_words"), F.explode(F.filter("m", lambda m: m.hit & ~m.menu)).alias("m"))
     certain = F.when(F.col("m.repeated") | ((F.col("m.w") > 1) & (F.col("m.filler") * 10 >= F.col("m.w") * 6)), F.col("m.w")).otherwise(F.least("m.phrase", "m.w"))

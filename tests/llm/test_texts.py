@@ -205,3 +205,58 @@ def test_recurring_messages_count_whole(spark):
     rows = [(k, text.replace("66f", f"{k}f"), "abc"[k % 3]) for k in range(6)] + [(10, "One server error was reported by the clerk of the town on Friday.", "a")]
     found = residue.residue_documents(spark.createDataFrame(rows, "doc_id bigint, text string, source string"))
     assert sorted(r.doc_id for r in found.collect()) == list(range(6))
+
+
+UNTRIGGERED = [
+    "Ut enim ad minim veniam, quis nostrud exercitation ullamco laboris nisi ut aliquip ex ea commodo consequat.",
+    "Excepteur sint occaecat cupidatat non proident, sunt in culpa qui officia deserunt mollit anim id est laborum.",
+    "Lorem ipsum dolor sit amet. Duis aute irure reprehenderit voluptate velit esse cillum. The fair opened on Monday at noon again.",
+    "Story to follow.",
+    "401 Unauthorized",
+    "'Not found'",
+    "For full access",
+    "at app.main (main.js:12:4)",
+    "To\tcontinue",
+    "Home | News | Sport | Contact\nSubscribe\nSkip to content\nBack to the front page\nShare this story\nTop stories\nspam spam spam spam spam spam",
+]
+
+
+def test_residue_without_known_words(spark):
+    rows = [(k, t, "s") for k, t in enumerate(UNTRIGGERED)] + [(90, "The fair opened on Monday and the mayor spoke at noon.", "s")]
+    found = residue.residue_documents(spark.createDataFrame(rows, "doc_id bigint, text string, source string"))
+    assert sorted(r.doc_id for r in found.collect()) == list(range(len(UNTRIGGERED)))
+
+
+def spelled(parsed):
+    """Texts that a parsed pattern matches: every branch, optional parts present and absent, one character of a class."""
+    out = [""]
+    for op, value in parsed:
+        op = str(op)
+        if op == "LITERAL":
+            more = [chr(value)]
+        elif op == "IN":
+            kind, first = value[0]
+            more = [chr(first) if str(kind) == "LITERAL" else chr(first[0]) if str(kind) == "RANGE" else "4" if "DIGIT" in str(first) else "x"]
+        elif op in ("ANY", "NOT_LITERAL"):
+            more = ["x"]
+        elif op == "BRANCH":
+            more = [x for b in value[1] for x in spelled(b)]
+        elif op == "SUBPATTERN":
+            more = spelled(value[3])
+        elif op == "MAX_REPEAT":
+            low, _, body = value
+            more = [x * n for x in spelled(body) for n in {low, max(low, 1)}]
+        else:
+            assert op == "AT", op
+            more = [""]
+        out = [a + b for a in out for b in dict.fromkeys(more)]
+    return out
+
+
+def test_every_rule_is_reachable():
+    import re
+
+    for pattern in (*residue.PHRASES, residue.KEYWORDS):
+        texts = spelled(re._parser.parse(pattern))
+        assert any(re.search(pattern, t) for t in texts)
+        assert [t for t in texts if not any(s in t for s in residue.SIGNS) and not re.search(residue._FRAME, t)] == []
