@@ -39,17 +39,27 @@ def prior_decayed_clicks(cand: DataFrame, half_life_hours: float) -> DataFrame:
     return cand.join(sums, ["impression_id", "news_id"], "left").withColumn("prior_decayed", F.coalesce("prior_decayed", F.lit(0.0)))
 
 
-def feature_table(cand: DataFrame, rows: DataFrame, articles: DataFrame, observed: DataFrame, half_life_hours: float = 24.0) -> DataFrame:
-    """All features of every candidate in training mode, but for the text similarity (a scorer of its own).
+def fitted_clicks(cand: DataFrame, fit: DataFrame, half_life_hours: float) -> DataFrame:
+    """``cand`` with all clicks of the fitting partitions on the article, counted and decayed to their last impression."""
+    counts = ranking.clicks(fit).withColumnRenamed("clicks", "prior_clicks")
+    decayed = ranking.decayed_clicks(fit, half_life_hours).withColumnRenamed("decayed", "prior_decayed")
+    return cand.join(counts, "news_id", "left").join(decayed, "news_id", "left").fillna({"prior_clicks": 0, "prior_decayed": 0.0})
 
-    ``observed`` holds the distinct article ids of the fitting partitions.
+
+def feature_table(cand: DataFrame, rows: DataFrame, articles: DataFrame, observed: DataFrame, half_life_hours: float = 24.0, fit: DataFrame | None = None) -> DataFrame:
+    """All features of every candidate; ``cand`` brings the text similarity, ``tfidf_history_similarity``.
+
+    ``observed`` holds the distinct article ids of the fitting partitions, ``fit``
+    their candidates: with it the clicks are all of theirs (evaluation), without
+    it those before each impression among ``cand`` itself (training).
     """
     hist = rows.select("impression_id", F.posexplode("history").alias("place", "news_id"))
     known = hist.join(articles.select("news_id"), "news_id", "left_semi").groupBy("impression_id").agg(F.count(F.lit(1)).alias("known"))
     seen = hist.select("impression_id", "news_id").distinct().withColumn("seen", F.lit(1))
     sizes = rows.select("impression_id", F.size("history").alias("length"))
     fitted = articles.join(observed, "news_id", "left_semi")
-    out = prior_decayed_clicks(prior_clicks(cand), half_life_hours).join(articles, "news_id")
+    clicked = prior_decayed_clicks(prior_clicks(cand), half_life_hours) if fit is None else fitted_clicks(cand, fit, half_life_hours)
+    out = clicked.join(articles, "news_id")
     for column in ("category", "subcategory"):
         counts = ranking.history_counts(hist, articles, column).withColumnRenamed("n", f"{column}_history")
         frequency = fitted.groupBy(column).agg(F.count(F.lit(1)).alias(f"{column}_frequency"))
@@ -66,6 +76,7 @@ def feature_table(cand: DataFrame, rows: DataFrame, articles: DataFrame, observe
         F.round("prior_decayed", 6).alias("time_decayed_click_count"),
         number("category_history").alias("category_history_count"),
         number("subcategory_history").alias("subcategory_history_count"),
+        number("tfidf_history_similarity").alias("tfidf_history_similarity"),
         number("category_frequency").alias("category_article_frequency"),
         number("subcategory_frequency").alias("subcategory_article_frequency"),
         number("length").alias("history_length"),
@@ -80,7 +91,7 @@ def feature_table(cand: DataFrame, rows: DataFrame, articles: DataFrame, observe
 
 FEATURES = [
     "position", "reciprocal_position", "global_click_count", "time_decayed_click_count", "category_history_count", "subcategory_history_count",
-    "category_article_frequency", "subcategory_article_frequency", "history_length", "known_history_count", "empty_history",
+    "tfidf_history_similarity", "category_article_frequency", "subcategory_article_frequency", "history_length", "known_history_count", "empty_history",
     "candidate_seen_in_history", "has_abstract", "title_length", "abstract_length",
 ]
 
@@ -91,7 +102,7 @@ def fit_ranker(features: DataFrame, kind: str = "logistic"):
     from pyspark.ml.classification import GBTClassifier, LogisticRegression
     from pyspark.ml.feature import StandardScaler, VectorAssembler
 
-    labeled = features.filter("label >= 0")
+    labeled = features.filter("label >= 0").persist()  # read by the counts and by the fit
     counts = {r.label: r["count"] for r in labeled.groupBy("label").count().collect()}
     if len(counts) < 2:
         raise ValueError("both classes are needed")
@@ -105,7 +116,7 @@ def fit_ranker(features: DataFrame, kind: str = "logistic"):
             LogisticRegression(featuresCol="features", labelCol="y", weightCol="w", regParam=1.0 / n, maxIter=100),
         ]
     else:
-        stages = [assemble, GBTClassifier(featuresCol="raw", labelCol="y", weightCol="w", maxIter=20, maxDepth=4, stepSize=0.1, seed=42)]
+        stages = [assemble, GBTClassifier(featuresCol="raw", labelCol="y", weightCol="w", maxIter=50, maxDepth=4, stepSize=0.1, seed=42)]
     return Pipeline(stages=stages).fit(labeled.withColumns({"w": weight, "y": F.col("label").cast("double")}))
 
 

@@ -426,9 +426,12 @@ def prior_decayed_clicks(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _features(spark: SparkSession, d: str, part: str = "train") -> DataFrame:
+    """Fitted on train; other partitions are in evaluation mode, which knows all clicks of train and none of its own."""
     f = _Feed(spark, d)
     rows = f.rows.filter(F.col("part") == part)
-    return features.feature_table(feed.candidates(rows), rows, f.articles, _observed(f, ("train",)))
+    cand = _tfidf_scored(f, feed.candidates(rows), ("train",), (part,)).withColumnRenamed("score", "tfidf_history_similarity")
+    fit = None if part == "train" else f.candidates("train")
+    return features.feature_table(cand, rows, f.articles, _observed(f, ("train",)), fit=fit)
 
 
 @query

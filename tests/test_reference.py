@@ -168,3 +168,22 @@ def test_projection_spans_the_leading_singular_vectors(spark):
     want /= np.linalg.norm(want, axis=1, keepdims=True)
     own = np.array([got[f"N{i}"] for i in range(40)])
     assert np.allclose(own @ own.T, want @ want.T, atol=1e-3) and not got["N99"].any()
+
+
+def test_evaluation_features_know_the_clicks_of_the_fit(spark):
+    from pyspark.sql import functions as F
+
+    articles = spark.createDataFrame([("A", "s", "f", "title", "text"), ("B", "s", "f", "title", " ")], "news_id string, category string, subcategory string, title string, abstract string")
+    fit = cand(spark, [("1", 1, 0, 0, "A", 1), ("2", 2, 24 * HOUR, 0, "A", 1), ("2", 2, 24 * HOUR, 1, "B", 0)])
+    own = cand(spark, [("3", 3, 30 * HOUR, 0, "A", 1), ("3", 3, 30 * HOUR, 1, "B", 1), ("4", 4, 40 * HOUR, 0, "B", 0)]).withColumn("tfidf_history_similarity", F.lit(0.25))
+    rows = spark.createDataFrame([("3", ["A"]), ("4", [])], "impression_id string, history array<string>")
+    table = lambda **x: {(r.impression_id, r.news_id): (r.global_click_count, r.time_decayed_click_count) for r in features.feature_table(own, rows, articles, articles.select("news_id"), **x).collect()}
+    assert table(fit=fit) == {("3", "A"): (2.0, 1.5), ("3", "B"): (0.0, 0.0), ("4", "B"): (0.0, 0.0)}
+    assert table()["4", "B"][0] == 1.0 and table()["3", "A"] == (0.0, 0.0)
+    assert [r.tfidf_history_similarity for r in features.feature_table(own, rows, articles, articles.select("news_id"), fit=fit).collect()] == [0.25] * 3
+
+
+def test_rankers_use_all_features(spark):
+    rows = [tuple(float((k * 7 + i) % 5) for i in range(len(features.FEATURES))) + (k % 2,) for k in range(40)]
+    model = features.fit_ranker(spark.createDataFrame(rows, [*features.FEATURES, "label"]), "boosted")
+    assert model.stages[-1].getNumTrees == 50 and len(features.FEATURES) == model.stages[-1].numFeatures == 16
