@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -207,11 +208,28 @@ def impression_metrics(spark: SparkSession, d: str) -> DataFrame:
     return per.select("impression_id", "skipped", *[F.round(m, 6).alias(m) for m in ranking.METRICS])
 
 
+#: Half-lives of the decayed popularity in hours.
+HALF_LIVES = (6.0, 24.0, 72.0)
+
+
+def _baseline_runs(spark: SparkSession, d: str) -> DataFrame:
+    """Validation metrics of every baseline: (name, half_life, ndcg_10, mrr, auc). Of the half-lives, the chosen one stands for its baseline."""
+
+    def run(name: str, half_life: float | None = None) -> DataFrame:
+        scored = _scored(spark, d, name, ("train",), ("validation",), *([half_life] if half_life else []))
+        per = ranking.macro_metrics(ranking.impression_metrics(scored))
+        return per.select(F.lit(name).alias("name"), F.lit(half_life).cast("double").alias("half_life"), "ndcg_10", "mrr", "auc")
+
+    decayed = reduce(DataFrame.unionByName, [run("time_decayed", h) for h in HALF_LIVES])
+    others = [run(name) for name in BASELINES if name != "time_decayed"]
+    return reduce(DataFrame.unionByName, [*others, selection.HALF_LIFE.choose(decayed)])
+
+
 @query
 def select_half_life(spark: SparkSession, d: str) -> DataFrame:
     """Validation metrics of three half-lives, the chosen one first: ndcg, then mrr, then the smaller half-life."""
     out = None
-    for h in (6.0, 24.0, 72.0):
+    for h in HALF_LIVES:
         per = ranking.macro_metrics(ranking.impression_metrics(_scored(spark, d, "time_decayed", ("train",), ("validation",), h)))
         row = per.select(F.lit(h).alias("half_life"), "ndcg_10", "mrr")
         out = row if out is None else out.unionByName(row)
@@ -222,11 +240,7 @@ def select_half_life(spark: SparkSession, d: str) -> DataFrame:
 @query
 def select_baseline(spark: SparkSession, d: str) -> DataFrame:
     """The strongest baseline on validation (ties to the smaller name) and the reported one (ties to the larger)."""
-    out = None
-    for name in ("original_order", "global_popularity", "category_affinity"):
-        per = ranking.macro_metrics(ranking.impression_metrics(_scored(spark, d, name, ("train",), ("validation",))))
-        row = per.select(F.lit(name).alias("name"), "ndcg_10", "mrr", "auc")
-        out = row if out is None else out.unionByName(row)
+    out = _baseline_runs(spark, d).drop("half_life")
     strongest = selection.STRONGEST_BASELINE.choose(out).withColumn("selector", F.lit("strongest"))
     return strongest.unionByName(selection.REPORTED_BASELINE.choose(out).withColumn("selector", F.lit("reported")))
 

@@ -187,3 +187,19 @@ def test_rankers_use_all_features(spark):
     rows = [tuple(float((k * 7 + i) % 5) for i in range(len(features.FEATURES))) + (k % 2,) for k in range(40)]
     model = features.fit_ranker(spark.createDataFrame(rows, [*features.FEATURES, "label"]), "boosted")
     assert model.stages[-1].getNumTrees == 50 and len(features.FEATURES) == model.stages[-1].numFeatures == 16
+
+
+def test_all_baselines_and_half_lives_run(spark, monkeypatch):
+    from presslake.plans import reference
+
+    asked = []
+
+    def scored_stub(spark, d, name, fit, on, half_life=24.0):
+        asked.append((name, half_life))
+        good = name == "time_decayed" and half_life == 72.0
+        return scored(spark, [("a", "p", 0, 0, 0.0 if good else 1.0), ("a", "p", 1, 1, 0.5)])
+
+    monkeypatch.setattr(reference, "_scored", scored_stub)
+    got = {r.selector: r.name for r in reference.select_baseline(spark, "").collect()}
+    assert got == {"strongest": "time_decayed", "reported": "time_decayed"}
+    assert {n for n, _ in asked} == set(reference.BASELINES) and {h for n, h in asked if n == "time_decayed"} == {6.0, 24.0, 72.0}
