@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -87,3 +87,20 @@ def jensen_shannon(first: DataFrame, second: DataFrame) -> DataFrame:
     m = (F.col("p") + F.col("q")) / 2
     part = lambda x: F.when(x > 0, x * F.log2(x / m)).otherwise(0.0)
     return both.agg(F.round(F.coalesce(F.sum(part(F.col("p")) + part(F.col("q"))) / 2, F.lit(0.0)), 9).alias("jsd"))
+
+
+def chronology_violations(rows: DataFrame, block: int = 100_000) -> DataFrame:
+    """(source_split, n_violations): rows earlier than the row before them in their source split.
+
+    Rows are compared in blocks of row numbers, so that no task sorts a split; the last time of the
+    block before, empty ones skipped, is carried over by a table of one row per block.
+    """
+    keyed = rows.select("source_split", "source_row_number", "ts_us", F.expr(f"source_row_number div {block}").alias("_b"))
+    order = Window.partitionBy("source_split", "_b").orderBy("source_row_number", "ts_us")
+    edges = keyed.groupBy("source_split", "_b").agg(F.max(F.struct("source_row_number", "ts_us")).ts_us.alias("_last"))
+    edges = edges.withColumn("_carried", F.lag("_last").over(Window.partitionBy("source_split").orderBy("_b"))).drop("_last")
+    own = keyed.withColumn("_p", F.lag("ts_us").over(order)).alias("own")
+    same = F.col("own.source_split").eqNullSafe(F.col("edges.source_split")) & F.col("own._b").eqNullSafe(F.col("edges._b"))
+    both = own.join(edges.alias("edges"), same)
+    late = both.filter(F.coalesce("_p", "_carried") > F.col("ts_us"))
+    return late.groupBy(F.col("own.source_split").alias("source_split")).agg(F.count(F.lit(1)).alias("n_violations"))

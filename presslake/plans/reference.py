@@ -89,9 +89,7 @@ def integrity_overlaps(spark: SparkSession, d: str) -> DataFrame:
 @query
 def chronology_violations(spark: SparkSession, d: str) -> DataFrame:
     """Impressions delivered out of time order within their source split."""
-    order = Window.partitionBy("source_split", F.expr("source_row_number div 100000")).orderBy("source_row_number")
-    rows = feed.impressions(table(spark, d, "behaviors"))
-    return rows.withColumn("_p", F.lag("ts_us").over(order)).filter("_p > ts_us").groupBy("source_split").agg(F.count(F.lit(1)).alias("n_violations"))
+    return monitoring.chronology_violations(feed.impressions(table(spark, d, "behaviors")))
 
 
 @query

@@ -203,3 +203,11 @@ def test_all_baselines_and_half_lives_run(spark, monkeypatch):
     got = {r.selector: r.name for r in reference.select_baseline(spark, "").collect()}
     assert got == {"strongest": "time_decayed", "reported": "time_decayed"}
     assert {n for n, _ in asked} == set(reference.BASELINES) and {h for n, h in asked if n == "time_decayed"} == {6.0, 24.0, 72.0}
+
+
+def test_chronology_counts_across_blocks(spark):
+    times = [5, 6, 7, 3, 4, 9, 2, 8]  # earlier than the row before: the fourth and the seventh
+    rows = [(split, k * step, t) for split, step in (("train", 1), ("dev", 10)) for k, t in enumerate(times)]
+    df = spark.createDataFrame(rows, "source_split string, source_row_number bigint, ts_us bigint")
+    for block in (1, 2, 3, 100):
+        assert {r.source_split: r.n_violations for r in monitoring.chronology_violations(df, block).collect()} == {"train": 2, "dev": 2}
