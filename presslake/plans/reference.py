@@ -303,22 +303,27 @@ def tfidf_weights(spark: SparkSession, d: str) -> DataFrame:
     return _content(spark, d)[1].select("news_id", "term", F.round("weight", 6).alias("weight"))
 
 
+def _recent(rows: DataFrame) -> DataFrame:
+    """Impressions with their last ten history entries."""
+    return rows.withColumn("history", F.expr("slice(history, greatest(size(history) - 10, 0) + 1, 10)"))
+
+
 def _asked(f: _Feed) -> DataFrame:
-    """The query set: impressions whose number is divisible by 20, with their last ten history entries."""
-    return f.rows.filter("try_cast(impression_id AS BIGINT) % 20 = 0").withColumn("history", F.expr("slice(history, greatest(size(history) - 10, 0) + 1, 10)"))
+    """The query set of the searches: impressions whose number is divisible by 20, with their last ten history entries."""
+    return _recent(f.rows.filter("try_cast(impression_id AS BIGINT) % 20 = 0"))
 
 
 @query
 def profile_mean(spark: SparkSession, d: str) -> DataFrame:
     f, weights = _content(spark, d)
-    out = text.mean_profiles(feed.history(_asked(f)), weights, f.articles)
+    out = text.mean_profiles(feed.history(_recent(f.rows)), weights, f.articles)
     return out.select("impression_id", "term", F.round("weight", 6).alias("weight"))
 
 
 @query
 def profile_recency(spark: SparkSession, d: str) -> DataFrame:
     f, weights = _content(spark, d)
-    out = text.recency_profiles(feed.history(_asked(f)), weights, f.articles, 0.8)
+    out = text.recency_profiles(feed.history(_recent(f.rows)), weights, f.articles, 0.8)
     return out.select("impression_id", "term", F.round("weight", 6).alias("weight"))
 
 

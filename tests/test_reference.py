@@ -211,3 +211,15 @@ def test_chronology_counts_across_blocks(spark):
     df = spark.createDataFrame(rows, "source_split string, source_row_number bigint, ts_us bigint")
     for block in (1, 2, 3, 100):
         assert {r.source_split: r.n_violations for r in monitoring.chronology_violations(df, block).collect()} == {"train": 2, "dev": 2}
+
+
+def test_every_impression_with_known_history_has_a_profile(spark, tmp_path):
+    from presslake.plans import reference
+
+    rows = behaviors(spark, 30).replace({"7": "seven"}, subset=["impression_id"])
+    rows.write.parquet(str(tmp_path / "behaviors.parquet"))
+    news = [("N1", "train", 1, "s", "f", "fair opens", ""), ("N2", "train", 2, "s", "f", "council meets", "")]
+    spark.createDataFrame(news, "news_id string, source_split string, source_row_number bigint, category string, subcategory string, title string, abstract string").write.parquet(str(tmp_path / "news.parquet"))
+    want = {str(k) for k in range(30) if k != 7} | {"seven"}
+    for profile in (reference.profile_mean, reference.profile_recency):
+        assert {r.impression_id for r in profile(spark, str(tmp_path)).select("impression_id").distinct().collect()} == want
