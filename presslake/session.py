@@ -1,12 +1,14 @@
 """Session-level helpers: shared storage for cutting lineage, and written intermediate tables.
 
 Anything that must survive the loss of an executor goes to the folder the
-cluster names in ``spark.checkpoint.dir``. Only where that is unset (tests, a
-laptop) is a local folder chosen.
+cluster names in ``spark.checkpoint.dir``. Where that is unset, a folder of the
+machine is chosen only if the session itself runs on this one machine (tests, a
+laptop); on a cluster it is an error, as executors would write to their own disks.
 """
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -21,6 +23,8 @@ def shared_folder(spark: SparkSession) -> str:
         current = sc._jsc.sc().getCheckpointDir()
         if current.isDefined():
             return current.get()
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         named = tempfile.mkdtemp(prefix="presslake-")
     if not sc._jsc.sc().getCheckpointDir().isDefined():
         sc.setCheckpointDir(named)
