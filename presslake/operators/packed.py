@@ -10,11 +10,16 @@ delimiters, partly quoted. Segmentation is a best path over the field:
 * a longest run of value characters is one edge; other characters separate.
 
 Dynamic programming takes the cover with the fewest values and, among those,
-the fewest characters lost to separators.
+the fewest characters lost to separators. Every field goes through it. Where
+all known edges equal edges of the grammar (quotes and runs) there is one cover
+and nothing to decide; a known form that runs across delimiters competes with
+the runs it covers and wins, as it is one value instead of several.
 
-The dictionary is harvested from the fields themselves (``harvest``) and is
-bounded by a parameter. It is a help, not a limit: a value it does not hold is
-covered by the quote and run edges, so a small dictionary loses nothing.
+The dictionary decides nothing that the grammar decides: a value it does not
+hold is covered by the quote and run edges. It comes from the fields themselves
+(``harvest``: values quoted somewhere) or from any table of values. Up to
+MOST_CHARACTERS it is broadcast as one automaton; beyond, the fields' spans are
+joined with it by shuffle (``known_spans``), which gives the same edges.
 """
 
 from __future__ import annotations
@@ -35,6 +40,7 @@ _INNER = {q: rf"(?:[^{q}\\]++|{q}{q}|\\{q}|\\(?!{q}))*+" for q in "\"'"}
 _UNIT = re.compile(rf"\"(?P<dq>{_INNER['"']})\"|'(?P<sq>{_INNER["'"]})'|(?P<run>[A-Za-z0-9_-]++)")
 _WRAP = re.compile(rf"\"({_INNER['"']})\"")
 _VALUE_CHARACTERS = re.compile(r"[A-Za-z0-9_-]")
+_DELIMITER = re.compile(r"[^A-Za-z0-9_-]")
 _PLAIN_QUOTE = {q: re.compile(rf"[{q}\\]{q}") for q in "\"'"}
 
 
@@ -44,6 +50,11 @@ def _unwrapped(field: str) -> str:
     return whole.group(1).replace('""', '"') if whole else field
 
 
+def _glued(text: str, at: int) -> bool:
+    """Does the place lie inside a run of value characters?"""
+    return bool(0 < at < len(text) and _VALUE_CHARACTERS.match(text[at - 1]) and _VALUE_CHARACTERS.match(text[at]))
+
+
 def _unit_value(m: re.Match) -> str:
     kind = m.lastgroup
     if kind == "run":
@@ -66,25 +77,32 @@ class Segmenter:
                     self.automaton.add_word(written, (len(written), value))
             self.automaton.make_automaton()
 
-    def _known_edges(self, text: str) -> dict[int, list[tuple[int, str]]]:
-        edges: dict[int, list[tuple[int, str]]] = {}
+    def _known_edges(self, text: str) -> list[tuple[int, int, str]]:
+        """(start, end, value) of the known forms that stand between boundaries."""
         if self.automaton is None or not len(self.automaton):
-            return edges
-        glued = lambda i: 0 < i < len(text) and _VALUE_CHARACTERS.match(text[i - 1]) and _VALUE_CHARACTERS.match(text[i])
+            return []
+        out = []
         for last, (size, value) in self.automaton.iter(text):
             start, end = last + 1 - size, last + 1
-            if not glued(start) and not glued(end):
-                edges.setdefault(start, []).append((end, value))
-        return edges
+            if not _glued(text, start) and not _glued(text, end):
+                out.append((start, end, value))
+        return out
+
+    def split(self, field: str | None, edges: list[tuple[int, int, str]] | None = None) -> list[str]:
+        """Values in order. NULL, blank and delimiter-only fields hold none; empty values don't count.
 
-    def split(self, field: str | None) -> list[str]:
-        """Values in order. NULL, blank and delimiter-only fields hold none; empty values don't count."""
+        ``edges`` are known forms of the unwrapped field found elsewhere, instead of by the automaton.
+        """
         if not field:
             return []
         text = _unwrapped(field)
-        known = self._known_edges(text)
-        if not known:
-            return [v for m in _UNIT.finditer(text) if (v := _unit_value(m))]
+        units = {m.start(): (m.end(), _unit_value(m)) for m in _UNIT.finditer(text)}
+        known: dict[int, list[tuple[int, str]]] = {}
+        for start, end, value in self._known_edges(text) if edges is None else edges:
+            if units.get(start) != (end, value):
+                known.setdefault(start, []).append((end, value))
+        if not known:  # every known edge is one of the grammar's, whose chain is then the only cover
+            return [value for _, value in units.values() if value]
         return self._best_cover(text, known)
 
     @staticmethod
@@ -130,50 +148,109 @@ class Segmenter:
         return out[::-1]
 
 
-def harvest(df: DataFrame, fields: list[str], most: int = 10_000) -> dict[str, str]:
-    """Known whole values with delimiters inside, as written (quotes included).
+#: Characters of all known forms that are broadcast as one automaton at most.
+MOST_CHARACTERS = 16_000_000
+
 
-    The ``most`` commonest quoted spans of all fields that hold anything but
-    value characters, ties by code point order. ``most`` bounds what reaches
-    the driver and the workers; spans beyond it are found by the grammar.
+def harvest(df: DataFrame, fields: list[str], bare: bool = False) -> DataFrame:
+    """(written, value): the values with delimiters inside that are quoted in any row of the fields.
+
+    ``written`` keeps the quotes, or with ``bare`` leaves them off, so that the
+    value is known wherever it stands without quotes.
     """
-    spans = "\"[A-Za-z0-9_-]+[^\"'\\\\A-Za-z0-9_-][^\"'\\\\]*\""
-    written = F.explode(F.flatten(F.array(*[F.coalesce(F.regexp_extract_all(c, F.lit(spans), F.lit(0)), F.array().cast("array<string>")) for c in fields])))
-    top = (
-        df.select(written.alias("written"))
-        .filter(F.length("written") <= 64)
-        .groupBy("written")
-        .count()
-        .orderBy(F.desc("count"), "written")
-        .limit(most)
-        .collect()
-    )
-    return {r.written: r.written[1:-1].strip() for r in top}
-
-
-def split_packed(df: DataFrame, key: str, fields: list[str], known: Mapping[str, str] | None = None) -> DataFrame:
-    """One row per packed value: (key, packed_field, item_position, item_value).
 
-    Positions count from 0 within the field. NULL and blank fields give no row;
-    a NULL key stays NULL; repeated rows count once, and where one key comes
-    with different contents the rows of all of them are united. Other columns
-    of ``df`` are ignored, whatever they are called. Fields of any length are
-    read whole, in one linear scan.
+    @F.pandas_udf("array<struct<written:string,value:string>>")
+    def quoted(column: pd.Series) -> pd.Series:
+        def one(field: str | None) -> list[tuple[str, str]]:
+            units = [m for m in _UNIT.finditer(_unwrapped(field)) if m.lastgroup != "run"] if field else []
+            found = [(m.group(), _unit_value(m)) for m in units]
+            return [(v if bare else w, v) for w, v in found if _DELIMITER.search(v)]
+
+        return column.map(one)
+
+    texts = df.select(F.explode(F.array(*fields)).alias("t")).filter(F.col("t").contains('"') | F.col("t").contains("'"))
+    return texts.select(F.explode(quoted("t")).alias("q")).select("q.*").distinct()
+
+
+def known_spans(long: DataFrame, known: DataFrame) -> DataFrame:
+    """``long`` (_id, text) with ``_edges``: the known forms in the unwrapped text, found by a join on the spans between boundaries.
+
+    Spans are as long as the longest known form at most, and only those that begin
+    with the first two characters of one are made, so that a field gives few.
     """
-    rows = distinct_rows(df, [key, *fields])
-    table = dict(known or {})
+    longest = known.agg(F.max(F.length("written"))).first()[0] or 0
+    heads = frozenset(r.h for r in known.select(F.substring("written", 1, 2).alias("h")).distinct().limit(70_000).collect())  # two characters: bounded by the alphabet
+
+    @F.pandas_udf("array<struct<start:int,end:int,written:string>>")
+    def spans(column: pd.Series) -> pd.Series:
+        def one(field: str) -> list[tuple[int, int, str]]:
+            text = _unwrapped(field)
+            free = [i for i in range(len(text) + 1) if not _glued(text, i)]
+            out = []
+            for k, i in enumerate(free):
+                if len(heads) >= 70_000 or text[i : i + 2] in heads or text[i : i + 1] in heads:
+                    for j in free[k + 1 :]:
+                        if j - i > longest:
+                            break
+                        out.append((i, j, text[i:j]))
+            return out
 
-    @F.pandas_udf("array<string>")
-    def segments(column: pd.Series) -> pd.Series:
-        segmenter = Segmenter(table)
-        return column.map(segmenter.split)
+        return column.map(one)
 
+    made = long.select("_id", F.explode(spans("text")).alias("s")).select("_id", "s.*")
+    hits = made.join(known, "written").groupBy("_id").agg(F.collect_list(F.struct("start", "end", "value")).alias("_edges"))
+    return long.join(hits, "_id", "left")
+
+
+def split_packed(df: DataFrame, key: str, fields: list[str], known: DataFrame | Mapping[str, str] | None = None, most_characters: int = MOST_CHARACTERS) -> DataFrame:
+    """One row per packed value: (key, packed_field, item_position, item_value).
+
+    ``known`` holds (written, value) of the dictionary. Positions count from 0
+    within the field. NULL and blank fields give no row; a NULL key stays NULL;
+    repeated rows count once, and where one key comes with different contents
+    the rows of all of them are united. Other columns of ``df`` are ignored,
+    whatever they are called. Fields of any length are read whole.
+    """
+    rows = distinct_rows(df, [key, *fields])
     long = rows.select(
         F.col(key).alias("_key"),
         F.explode(F.array(*[F.struct(F.lit(c).alias("field"), F.col(c).alias("text")) for c in fields])).alias("_f"),
     ).filter("_f.text IS NOT NULL")
-    out = long.select("_key", "_f.field", segments("_f.text").alias("_values")).select(
-        F.col("_key").alias(key), F.col("field").alias("packed_field"), F.posexplode("_values").alias("item_position", "item_value")
-    )
+    if isinstance(known, DataFrame):
+        forms = known.filter("written <> ''").select("written", "value").distinct()
+        size = forms.agg(F.sum(F.length("written") + F.length("value"))).first()[0] or 0
+    else:
+        forms, size = None, 0
+    if size <= most_characters:
+        table = {r.written: r.value for r in forms.collect()} if forms is not None else dict(known or {})
+        held = df.sparkSession.sparkContext.broadcast(table)
+
+        @F.pandas_udf("array<string>")
+        def segments(column: pd.Series) -> pd.Series:
+            return column.map(_segmenter(held).split)
+
+        split = long.select("_key", "_f.field", segments("_f.text").alias("_values"))
+    else:
+        numbered = long.select("_key", "_f.field", F.col("_f.text").alias("text")).withColumn("_id", F.xxhash64("_key", "field", "text"))
+        numbered = numbered.withColumn("_id", F.struct("_id", F.hash("text"), F.length("text"), "_key", "field"))
+
+        @F.pandas_udf("array<string>")
+        def covered(column: pd.Series, edges: pd.Series) -> pd.Series:
+            segmenter = Segmenter()
+            return pd.Series([segmenter.split(t, [] if e is None else [(x["start"], x["end"], x["value"]) for x in e]) for t, e in zip(column, edges)], dtype=object)
+
+        split = known_spans(numbered, forms).select("_key", "field", covered("text", "_edges").alias("_values"))
+    out = split.select(F.col("_key").alias(key), F.col("field").alias("packed_field"), F.posexplode("_values").alias("item_position", "item_value"))
     out = out.withColumn("item_position", F.col("item_position").cast("bigint"))
     return out.distinct() if has_conflicts(df, [key], fields) else out
+
+
+_SEGMENTERS: dict[int, Segmenter] = {}
+
+
+def _segmenter(held) -> Segmenter:
+    """One automaton per broadcast dictionary and worker."""
+    if held._path not in _SEGMENTERS:
+        _SEGMENTERS.clear()
+        _SEGMENTERS[held._path] = Segmenter(held.value)
+    return _SEGMENTERS[held._path]

@@ -19,6 +19,12 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return packed.split_packed(exports, "export_id", PACKED_FIELDS, packed.harvest(exports, PACKED_FIELDS))
 
 
+def p1_protected(spark: SparkSession, d: str) -> DataFrame:
+    """As p1_found, but values that are quoted in any field stay whole where they stand without quotes."""
+    exports = table(spark, d, "behavior_exports")
+    return packed.split_packed(exports, "export_id", PACKED_FIELDS, packed.harvest(exports, PACKED_FIELDS, bare=True))
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     flat = nested.flatten_entities(table(spark, d, "news"), ENTITY_FIELDS, KEYS)
     mentions = flat.filter("kind = 'mention' OR n_mentions = 0").select("nested_field", *KEYS, "item_path", "item_key", "mention_pos", "surface")
@@ -59,5 +65,5 @@ def p7_typed_behaviors(spark: SparkSession, d: str) -> DataFrame:
     return rows.typed_behaviors(table(spark, d, "raw_behaviors"), KEYS)
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p2_found, p2_entities, p2_mentions, p4_found, p7_found, p7_typed_news, p7_typed_behaviors)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_protected, p2_found, p2_entities, p2_mentions, p4_found, p7_found, p7_typed_news, p7_typed_behaviors)}
 ORACLES: dict[str, str] = {}

@@ -68,3 +68,27 @@ def test_rows_repeats_conflicts_and_clashing_columns(spark):
         [(1, "history_raw", 0, "N1"), (1, "history_raw", 1, "N1"), (1, "impressions", 0, "N2"), (3, "history_raw", 0, "N3"), (3, "history_raw", 1, "N4"), (None, "history_raw", 0, "N9")], key=repr
     )
     assert packed.split_packed(df.limit(0), "export_id", ["history_raw"]).count() == 0
+
+
+def test_the_dictionary_decides_on_a_table(spark):
+    """A value that is quoted in one row is kept whole where others write it bare; without the dictionary it falls apart."""
+    schema = "export_id bigint, history_raw string"
+    rows = [(1, 'N1,"PX 7;b",N2'), (2, "N1;PX 7;b|N3"), (3, "N11 xPX 7;b"), (4, '"PX 7;b"'), (5, "PX 7;bN1"), (6, "'a, b' N1 a, b"), (7, None)]
+    df = spark.createDataFrame(rows, schema)
+    known = packed.harvest(df, ["history_raw"], bare=True)
+    assert {r.value for r in known.collect()} == {"PX 7;b", "a, b"}
+    truth = {
+        1: ["N1", "PX 7;b", "N2"], 2: ["N1", "PX 7;b", "N3"], 3: ["N11", "xPX", "7", "b"], 4: ["PX 7;b"], 5: ["PX", "7", "bN1"], 6: ["a, b", "N1", "a, b"],
+    }
+
+    def values(**how):
+        out: dict[int, dict[int, str]] = {}
+        for r in packed.split_packed(df, "export_id", ["history_raw"], **how).collect():
+            out.setdefault(r.export_id, {})[r.item_position] = r.item_value
+        return {k: [v[i] for i in range(len(v))] for k, v in out.items()}
+
+    assert values(known=known) == truth
+    assert values(known=known, most_characters=0) == truth  # the join on spans gives the same edges
+    plain = values()
+    assert plain[2] == ["N1", "PX", "7", "b", "N3"] and plain[6] == ["a, b", "N1", "a", "b"]
+    assert {k for k in truth if plain[k] != truth[k]} == {2, 4, 6}
