@@ -36,15 +36,39 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_entities(spark: SparkSession, d: str) -> DataFrame:
-    """The typed entity table: one row per entity with its variant, parent link and own columns."""
+    """The supertype of all entities: one row per entity with its variant, subtype, parent link and own columns."""
     flat = nested.flatten_entities(table(spark, d, "news"), ENTITY_FIELDS, KEYS)
     return flat.filter("kind = 'entity'").drop("kind", "mention_pos", "surface", "offsets")
 
 
 def p2_mentions(spark: SparkSession, d: str) -> DataFrame:
-    """The typed mention table, linked to its entity by source row, field and item_path."""
+    """The supertype of all mentions, linked to its entity by source row, field and item_path."""
     flat = nested.flatten_entities(table(spark, d, "news"), ENTITY_FIELDS, KEYS)
-    return flat.filter("kind = 'mention'").select("nested_field", *KEYS, "item_path", "mention_pos", "surface", "offsets")
+    return flat.filter("kind = 'mention'").select("nested_field", *KEYS, "item_path", "subtype", "mention_pos", "surface", "offsets")
+
+
+#: The columns of the typed entity tables: what their shape always lacks is left out.
+_LINKS = ["nested_field", *KEYS, "variant", "item_path", "parent_path", "depth"]
+_OWN = ["label", "type", "confidence", "aliases", "n_mentions"]
+
+
+def _entity_table(prefix: str):
+    def typed(spark: SparkSession, d: str) -> DataFrame:
+        flat = nested.flatten_entities(table(spark, d, "news"), ENTITY_FIELDS, KEYS)
+        key = {"current": [F.col("item_key").alias("entity_id")], "legacy": [F.col("item_key").alias("id")], "unkeyed": []}[prefix]
+        return flat.filter(F.col("kind") == "entity").filter(F.col("subtype").startswith(prefix)).select(*_LINKS, *key, *_OWN, "n_members")
+
+    return typed
+
+
+def p2_located_mentions(spark: SparkSession, d: str) -> DataFrame:
+    """Mentions with places in the text: one row per mention with its offsets."""
+    return p2_mentions(spark, d).filter("subtype = 'located'").drop("subtype")
+
+
+def p2_plain_mentions(spark: SparkSession, d: str) -> DataFrame:
+    """Mentions without places."""
+    return p2_mentions(spark, d).filter("subtype = 'plain'").drop("subtype", "offsets")
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
@@ -66,4 +90,6 @@ def p7_typed_behaviors(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_protected, p2_found, p2_entities, p2_mentions, p4_found, p7_found, p7_typed_news, p7_typed_behaviors)}
+QUERIES |= {f"p2_{prefix}_entities": _entity_table(prefix) for prefix in ("current", "legacy", "unkeyed")}
+QUERIES |= {f.__name__: f for f in (p2_located_mentions, p2_plain_mentions)}
 ORACLES: dict[str, str] = {}

@@ -50,3 +50,50 @@ def test_candidates(spark):
     rows = [("train", 1, a, "x"), ("train", 1, a, "y"), ("train", 1, [(0, "N1", 0), (None, "N2", 0)], "x"), ("dev", 1, None, "x"), ("dev", 2, [], "x"), ("dev", 3, [(0, "N1", 1), (0, "N1", 1)], "x")]
     out = nested.flatten_candidates(spark.createDataFrame(rows, schema), "impressions", KEYS).collect()
     assert sorted(map(tuple, out)) == [("dev", 3, "0", "N1"), ("train", 1, "0", "N1"), ("train", 1, "1", ""), ("train", 1, "1", "N2")]
+
+
+def test_shapes_route_to_subtypes():
+    located, plain = {"surface": "x", "offsets": [3]}, {"surface": "y"}
+    value = [
+        {"entity_id": "A", "mentions": [located, plain, {"note": 1}]},
+        {"id": "B", "entity_id": "", "members": [{"entity_id": "C"}, {"label": "no id"}, {"note": 1}]},
+        {"foo": 1},
+        {},
+        7,
+    ]
+    rows = [(r[0], r[15], r[2], r[5]) for r in nested.rows_of(json.dumps(value))]
+    assert rows == [
+        ("entity", "current", "0", "A"), ("mention", "located", "0", "A"), ("mention", "plain", "0", "A"), ("entity", "legacy_group", "1", "B"),
+        ("entity", "current", "1.0", "C"), ("entity", "unkeyed", "1.1", ""), ("entity", "unkeyed", "3", ""),
+    ]
+    assert {r[15] for r in nested.rows_of(json.dumps(value)) if r[0] == "entity"} <= set(nested.ENTITY_SUBTYPES)
+    # A child's state decides its parent's: members that are no entities make no group.
+    assert [r[15] for r in nested.rows_of('[{"id": "B", "members": [{"note": 1}]}]')] == ["legacy"]
+
+
+def test_any_depth_is_read():
+    deep = '{"payload":' * 2_000 + '{"entities":[{"id":"E1"}]}' + "}" * 2_000
+    assert [r[5] for r in nested.rows_of(deep)] == ["E1"]
+    n = 100_000
+    lists = '[{"id":"E1","x":' + "[" * n + "]" * n + "}]"
+    assert [r[5] for r in nested.rows_of(lists)] == ["E1"]
+    members = '{"id":"E","members":[' * 500 + "]}" * 500
+    rows = list(nested.rows_of(members))
+    assert len(rows) == 500 and rows[-1][4] == 499 and rows[0][15] == "legacy_group" and rows[-1][15] == "legacy"
+    assert list(nested.rows_of('{"payload":' * n + "[1,]" + "}" * n)) == []
+
+
+def test_deep_parser_agrees():
+    for text in ['[]', '{}', ' [1, 2.5e3, "a\\"b", {"k": [null, true], "k": {}}] ', '[[[]],[{}]]', "7", '"x"']:
+        assert nested.parse_deep(text) == json.loads(text)
+    for text in ["[1,]", "[,1]", "{,}", '{"a"}', '{"a":1,}', "[1 2]", "[1]]", "", "{1:2}", "[NaN]", '["a\tb"]'.replace("\\t", "\t"), "01", "nul"]:
+        try:
+            json.loads(text, parse_constant=nested._refuse)
+            valid = True
+        except ValueError:
+            valid = False
+        try:
+            nested.parse_deep(text)
+            assert valid, text
+        except ValueError:
+            assert not valid, text
