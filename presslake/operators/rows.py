@@ -2,9 +2,10 @@ r"""Rows that fail to parse, split from the valid ones with a reason.
 
 For each schema an anchored regular expression for the whole line is
 generated from its field patterns. Lines it matches (and whose dates exist) are
-valid. Only the others pass through incremental patterns, each of which
-demands one more property of the fields before it, and the first that fails
-names the reason.
+valid. Only the others pass through incremental prefix patterns, generated from
+the same field patterns: first those of the fields' structure, then those of
+their values. Prefix k demands one field more than prefix k - 1, so the first
+that fails names the first broken field, and that field the reason.
 
 All patterns are linear: alternatives exclude each other by their first
 character, and every repetition is possessive, so lines of any length and with
@@ -45,25 +46,30 @@ class Feed:
     timestamp: str | None = None
     tokens: str | None = None
 
+    def field_pattern(self, column: str) -> str:
+        """The pattern of a valid field as it is written, up to the tab or the end of the line; a date need not exist."""
+        if column == self.tokens:
+            plain, quoted = BLANK_TOKENS, QUOTED_TOKENS
+        elif self.ids.get(column) == NEWS_ID:
+            plain, quoted = rf"[{BLANK}]*+{NEWS_ID}[{BLANK}]*+", rf"[{WHITE}]*+{NEWS_ID}[{WHITE}]*+"
+        elif column in self.ids:
+            plain, quoted = rf"[{BLANK}]*+[^{WHITE}][^\t]*+", rf'[{WHITE}]*+(?:[^{WHITE}"]|"")(?:[^"]++|"")*+'
+        else:
+            return rf"{FIELD}(?=\t|\z)"
+        return rf'(?:"{quoted}"(?=\t|\z)|(?!"){plain}(?=\t|\z))'
+
     def whole_row(self) -> str:
-        """The anchored pattern of a valid line, but for the existence of its date.
-
-        It only accepts; a valid line in a form that it doesn't know passes the
-        incremental patterns as well.
-        """
-        parts = []
-        for c in self.columns:
-            if c == self.tokens:
-                plain, quoted = BLANK_TOKENS, QUOTED_TOKENS
-            elif self.ids.get(c) == NEWS_ID:
-                plain, quoted = rf"[{BLANK}]*+{NEWS_ID}[{BLANK}]*+", rf"[{WHITE}]*+{NEWS_ID}[{WHITE}]*+"
-            elif c in self.ids:
-                plain, quoted = rf'[{BLANK}]*+[^{WHITE}"][^\t]*+', rf'[{WHITE}]*+[^{WHITE}"](?:[^"]++|"")*+'
-            else:
-                parts.append(FIELD)
-                continue
-            parts.append(rf'(?:"{quoted}"(?=\t|\z)|(?!"){plain}(?=\t|\z))')
-        return "^" + r"\t".join(parts) + r"\z"
+        """The anchored pattern of a valid line, but for the existence of its date."""
+        return "^" + r"\t".join(self.field_pattern(c) for c in self.columns) + r"\z"
+
+    def value_prefixes(self) -> list[str]:
+        """Prefix k: the first k fields are valid."""
+        parts = [self.field_pattern(c) for c in self.columns]
+        return ["^" + r"\t".join(parts[: k + 1]) for k in range(len(parts))]
+
+    def structure_prefixes(self) -> list[str]:
+        """Prefix k: the first k fields are there, and if quoted, closed before a tab or the end."""
+        return [rf"^{FIELD}(?=\t|\z)(?:\t{FIELD}(?=\t|\z)){{{k}}}" for k in range(len(self.columns))]
 
 
 NEWS = Feed(
@@ -137,8 +143,12 @@ def parsed_timestamp(value: Column) -> Column:
     return let(F.split(parts, ",", -1), lambda p: let(F.when(p.isNotNull(), instant(p)), micros))
 
 
+#: The name of what is broken after the last column.
+BEYOND = "(beyond the last column)"
+
+
 def parse_lines(df: DataFrame, feed: Feed, line: str = "line") -> DataFrame:
-    """``df`` with the feed's trimmed columns in struct ``fields``, ``parsed_at`` (timestamp) and ``reason`` (NULL: valid).
+    """``df`` with the feed's trimmed columns in struct ``fields``, ``parsed_at`` (timestamp), ``reason`` and ``first_broken_field`` (NULL: valid).
 
     Reasons, the first that holds: ``quote``, ``columns``, ``id``,
     ``timestamp``, ``impressions``. A NULL line counts as an empty one. The
@@ -148,28 +158,43 @@ def parse_lines(df: DataFrame, feed: Feed, line: str = "line") -> DataFrame:
     whole = df.withColumns({"_text": text, "_whole": text.rlike(feed.whole_row())})
     sound = whole.withColumn("_sound", F.col("_whole") | F.col("_text").rlike(STRUCTURE))
     split = sound.withColumn("_fields", F.when(F.col("_sound"), fields_of(F.col("_text"))))
-    right = F.coalesce(F.size("_fields") == len(feed.columns), F.lit(False))
+    n = len(feed.columns)
     named = F.struct(*[trimmed(unquoted(F.get(F.col("_fields"), i))).alias(c) for i, c in enumerate(feed.columns)])
-    out = split.withColumn("fields", F.when(right, named))
-    at = parsed_timestamp(F.col(f"fields.{feed.timestamp}")) if feed.timestamp else F.lit(None).cast("timestamp")
-    out = out.withColumn("parsed_at", at)
-    broken_id = F.lit(False)
-    for c, pattern in feed.ids.items():
-        broken_id = broken_id | ~F.col(f"fields.{c}").rlike(rf"^(?:{pattern})\z")
-    late = F.when(F.lit(False), "")
-    if feed.timestamp:
-        late = late.when(F.col("parsed_at").isNull(), "timestamp")
-    early = F.when(~F.col("_sound"), "quote").when(F.col("fields").isNull(), "columns").when(broken_id, "id")
-    reason = F.coalesce(F.when(~F.col("_whole"), early), late)
-    if feed.tokens:
-        reason = F.coalesce(reason, F.when(~F.col("_whole") & ~F.col(f"fields.{feed.tokens}").rlike(rf"^{TOKENS}\z"), "impressions"))
+    out = split.withColumn("fields", F.when(F.coalesce(F.size("_fields") == n, F.lit(False)), named))
+    out = out.withColumn("parsed_at", parsed_timestamp(F.col(f"fields.{feed.timestamp}")) if feed.timestamp else F.lit(None).cast("timestamp"))
+
+    def first_failing(prefixes: list[str], otherwise: Column, checks: dict[str, Column] | None = None) -> Column:
+        """The column of the first prefix that the line doesn't match; ``checks`` holds a further condition of a column."""
+        chain = F.when(F.lit(False), "")
+        for c, prefix in zip(feed.columns, prefixes):
+            fails = ~F.col("_text").rlike(prefix)
+            chain = chain.when(fails | checks[c] if checks and c in checks else fails, c)
+        return chain.otherwise(otherwise)
+
+    dates = {feed.timestamp: F.col("parsed_at").isNull()} if feed.timestamp else {}
+    of_values = F.when(F.col("_whole"), F.when(dates[feed.timestamp], feed.timestamp) if dates else F.lit(None)).otherwise(
+        first_failing(feed.value_prefixes(), F.lit(None).cast("string"), dates)
+    )
+    missing = F.coalesce(F.get(F.array(*[F.lit(c) for c in feed.columns]), F.size("_fields")), F.lit(BEYOND))
+    broken = (
+        F.when(~F.col("_sound"), first_failing(feed.structure_prefixes(), F.lit(BEYOND)))
+        .when(F.col("fields").isNull(), missing)
+        .otherwise(of_values)
+    )
+    out = out.withColumn("first_broken_field", broken)
+    field = F.col("first_broken_field")
+    reason = F.when(~F.col("_sound"), "quote").when(F.col("fields").isNull(), "columns").when(field.isin(*feed.ids), "id")
+    for c, name in ((feed.timestamp, "timestamp"), (feed.tokens, "impressions")):
+        if c:
+            reason = reason.when(field == c, name)
     return out.withColumn("reason", reason).drop("_text", "_whole", "_sound", "_fields")
 
 
-def failures(df: DataFrame, feed: Feed, keys: list[str]) -> DataFrame:
-    """The failing lines: (feed, keys, reason). Repeated rows count once; an empty table gives none."""
+def failures(df: DataFrame, feed: Feed, keys: list[str], broken_field: bool = False) -> DataFrame:
+    """The failing lines: (feed, keys, reason), and with ``broken_field`` the first broken field. Repeated rows count once; an empty table gives none."""
     bad = parse_lines(df.select(*keys, "line"), feed).filter("reason IS NOT NULL")
-    return bad.select(F.lit(feed.name).alias("feed"), *keys, "reason").distinct()
+    more = ["first_broken_field"] if broken_field else []
+    return bad.select(F.lit(feed.name).alias("feed"), *keys, "reason", *more).distinct()
 
 
 def tokens_of(text: Column) -> Column:

@@ -81,6 +81,13 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def p7_broken_fields(spark: SparkSession, d: str) -> DataFrame:
+    """The failing lines with the first field that is broken."""
+    return rows.failures(table(spark, d, "raw_news"), rows.NEWS, KEYS, broken_field=True).unionByName(
+        rows.failures(table(spark, d, "raw_behaviors"), rows.BEHAVIORS, KEYS, broken_field=True)
+    )
+
+
 def p7_typed_news(spark: SparkSession, d: str) -> DataFrame:
     return rows.typed_news(table(spark, d, "raw_news"), KEYS)
 
@@ -89,7 +96,13 @@ def p7_typed_behaviors(spark: SparkSession, d: str) -> DataFrame:
     return rows.typed_behaviors(table(spark, d, "raw_behaviors"), KEYS)
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_protected, p2_found, p2_entities, p2_mentions, p4_found, p7_found, p7_typed_news, p7_typed_behaviors)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_protected, p2_found, p2_entities, p2_mentions, p4_found, p7_found, p7_broken_fields, p7_typed_news, p7_typed_behaviors)}
 QUERIES |= {f"p2_{prefix}_entities": _entity_table(prefix) for prefix in ("current", "legacy", "unkeyed")}
 QUERIES |= {f.__name__: f for f in (p2_located_mentions, p2_plain_mentions)}
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "p4_found": """WITH e AS (SELECT impression_id, min(struct_pack(t := epoch_us(timestamp), u := user_id)) AS v FROM behaviors
+  WHERE impression_id IS NOT NULL AND user_id IS NOT NULL AND timestamp IS NOT NULL GROUP BY 1),
+g AS (SELECT v.u AS user_id, v.t AS t, CASE WHEN v.t - lag(v.t) OVER (PARTITION BY v.u ORDER BY v.t) <= 1800000000 THEN 0 ELSE 1 END AS starts FROM e),
+s AS (SELECT user_id, t, sum(starts) OVER (PARTITION BY user_id ORDER BY t ROWS UNBOUNDED PRECEDING) AS k FROM g)
+SELECT user_id, min(t) AS session_start_us, max(t) AS session_end_us, count(*) AS n_events FROM s GROUP BY user_id, k""",
+}

@@ -55,3 +55,20 @@ def test_typed_rows_complete_the_failures(spark):
     first = typed[len(TIMES) + 2]
     assert [tuple(c) for c in first.impressions] == [(0, "N1", None), (1, "N2", 1)] and first.history == ["N1"]
     assert rows.typed_news(frame(spark, NEWS), KEYS).count() == sum(brute.reason(line, "news") is None for line in NEWS)
+
+
+def test_first_broken_field(spark):
+    lines = {
+        "N1\ta\tb": "title", "": "news_id", None: "news_id", "N\ta\tb\tc\td\te\tf\tg": "news_id", 'N1\t"a\tb\tc\td\te\tf\tg': "category", 'N1\ta\tb\t"c"x\td\te\tf\tg': "title",
+        "N1\ta\tb\tc\td\te\tf\tg\th": rows.BEYOND, 'N1\ta\tb\tc\td\te\tf\tg\t"h': rows.BEYOND, 'x\ta\tb\tc\td\te\tf\t"g': "abstract_entities", "N1\ta\tb\tc\td\te\tf\tg": None,
+    }
+    # Of an empty line the only column is an empty one, so that the second is the first that is missing.
+    lines |= {"": "category", None: "category"}
+    parsed = rows.parse_lines(frame(spark, list(lines)), rows.NEWS)
+    assert {r.line: r.first_broken_field for r in parsed.collect()} == lines
+    lines = {
+        "1\tU\t1/2/2020 3:04:05 AM\tN1\tN1-0": None, "1\tU\t2/30/2020 3:04:05 AM\tN1\tN1-0": "timestamp", "1\tU\tsoon\tN1\tx": "timestamp", "1\t \tsoon\tN1\tx": "user_id", '1\t ""\t1/2/2020 3:04:05 AM\tN1\tx': "impressions",
+        '"""1"\tU\t"2020-01-02 03:04:05"\t""\t"N1"': None, '""\tU\tsoon\t""\t"N1"': "impression_id", "1\tU\tsoon\tN1": "impressions",
+    }
+    parsed = rows.parse_lines(frame(spark, list(lines)), rows.BEHAVIORS)
+    assert {r.line: r.first_broken_field for r in parsed.collect()} == lines
