@@ -2,6 +2,7 @@ import itertools
 import math
 import random
 
+import numpy as np
 import pytest
 
 from presslake.llm import pairs, terms, topn
@@ -90,3 +91,32 @@ def test_terms(spark):
     length = 1.2 * (0.25 + 0.75 * 6 / 3)
     assert okapi["A", "été"] == pytest.approx(2 * 2.2 / (2 + length) * math.log(1 + 2.5 / 1.5))
     assert terms.term_weights(articles.limit(0), "news_id", texts).count() == 0
+
+
+def test_top_n_reads_only_what_open_groups_need(spark):
+    rows = [(f"g{g}", i, float(1000 - i)) for g in range(20) for i in range(100)] + [("late", 7, -5.0), ("late", 8, -6.0), ("hot", 1, 999.0)] + [("hot", i, 999.0) for i in range(2, 3000)]
+    df = spark.createDataFrame(rows, "g string, i int, s double")
+    read = []
+    got = topn.top_n(df, "g", "s", "i", 3, (0.3, 0.7, 0.9), rows_read=read)
+    want = {(f"g{g}", i, float(1000 - i)) for g in range(20) for i in range(3)} | {("late", 7, -5.0), ("late", 8, -6.0)} | {("hot", i, 999.0) for i in (1, 2, 3)}
+    rows_ = [tuple(r) for r in got.collect()]
+    assert set(rows_) == want and len(rows_) == len(want)
+    # The g groups lack one item after the first band and fill in the second; the third has rows of full groups only; of the last the late group's two rows are taken.
+    assert read == [(0, 3039), (1, 480), (3, 2)]
+
+
+def test_top_n_carries_open_groups_over_bands(spark):
+    rng = np.random.default_rng(4)
+    rows = [(f"g{int(g)}", int(i), float(np.round(s, 1))) for g, i, s in zip(rng.integers(0, 60, 1500), rng.integers(0, 12, 1500), rng.normal(size=1500))]
+    df = spark.createDataFrame(rows, "g string, i int, s double")
+    best = {}
+    for g, i, s in rows:
+        best[g, i] = max(s, best.get((g, i), s))
+    want = set()
+    for g in {g for g, _ in best}:
+        want |= {(g, i, s) for s, i in sorted(((s, i) for (h, i), s in best.items() if h == g), key=lambda x: (-x[0], x[1]))[:5]}
+    for most in (100_000, 0):
+        topn.MOST_BROADCAST, kept = most, topn.MOST_BROADCAST
+        got = [tuple(r) for r in topn.top_n(df, "g", "s", "i", 5, (0.2, 0.4, 0.6, 0.8)).collect()]
+        topn.MOST_BROADCAST = kept
+        assert set(got) == {(g, i, s + 0.0) for g, i, s in want} and len(got) == len(want)
