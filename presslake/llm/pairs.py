@@ -3,10 +3,15 @@
 Records with the same set of items are collapsed into one weighted basket;
 pairs are enumerated once per distinct basket and their weights summed.
 
-Before any pair is made, items that sit in a large share of all records and
-would make hot pairs are dropped from the baskets, without loss: the lift of a
-pair is at most n / count of its commoner item, so no item above n / min_lift
-can be in a result. There are provably few such items.
+Before any pair is made, the baskets are cleaned without loss. Items too common
+for the wished lift leave: the lift of a pair is at most n / count of its
+commoner item, so no item above n / min_lift can be in a result; there are
+provably few of them. Items below the least count leave by a bitmap of hashes of
+the items that stay, a single row of bounded size; rare items whose hash meets
+one that stays pass it and leave with the exact counts at the end.
+
+A basket larger than LARGE is cut into chunks, and pairs of chunks are spread
+over the tasks, so that no task enumerates all pairs of a huge basket.
 """
 
 from __future__ import annotations
@@ -16,6 +21,11 @@ from pyspark.sql import functions as F
 
 from presslake.session import StagedTable, cut
 
+#: Items of a basket that one task enumerates alone, and items of a chunk of a larger one.
+LARGE, CHUNK = 2_000, 500
+#: Bits per item that stays, and bits of the bitmap at most (a megabyte).
+BITS_PER_ITEM, MOST_BITS = 16, 1 << 23
+
 
 def baskets(df: DataFrame, record: str, items: list) -> DataFrame:
     """One row per record: (r, b) with b its distinct non-NULL items in order.
@@ -34,6 +44,15 @@ def baskets(df: DataFrame, record: str, items: list) -> DataFrame:
     return once.join(several.select("r"), "r", "left_anti").unionByName(united)
 
 
+def _bitmap(kept: DataFrame, bits: int) -> DataFrame:
+    """One row (m): the hashes of the items as an array of 64-bit words."""
+    place = F.pmod(F.xxhash64("x"), F.lit(bits))
+    words = kept.select(place.alias("p")).select(F.floor(F.col("p") / 64).cast("bigint").alias("id"), F.expr("shiftleft(1L, cast(p % 64 as int))").alias("bit"))
+    words = words.groupBy("id").agg(F.bit_or("bit").alias("bits"))
+    every = kept.sparkSession.range(bits // 64).join(words, "id", "left").select(F.struct("id", F.coalesce("bits", F.lit(0).cast("bigint")).alias("bits")).alias("w"))
+    return every.agg(F.transform(F.sort_array(F.collect_list("w")), lambda w: w.bits).alias("m"))
+
+
 def pair_scores(df: DataFrame, record: str, items: list, min_count: int, min_lift: int) -> DataFrame:
     """Pairs (item_a < item_b) with their counts and measures of association.
 
@@ -48,18 +67,35 @@ def pair_scores(df: DataFrame, record: str, items: list, min_count: int, min_lif
     counts = StagedTable(weighted.read().select(F.explode("b").alias("x"), "w").groupBy("x").agg(F.sum("w").alias("c")))
     # Items too common for the lift: fewer than min_lift times the average basket size, as their counts sum to n times that.
     common = [r.x for r in counts.read().filter(F.col("c") * min_lift > total).select("x").collect()]
-    basket = F.filter("b", lambda x: ~x.isin(common)) if common else F.col("b")
     singles = counts.read().filter((F.col("c") >= min_count) & (F.col("c") * min_lift <= total))
-    pairs = (
-        weighted.read()
-        .select("w", basket.alias("b"))
-        .filter(F.size("b") > 1)
+    n_singles = singles.count()
+    bits = max(64, min(MOST_BITS, 1 << (max(1, n_singles * BITS_PER_ITEM) - 1).bit_length()))
+    held = weighted.read().crossJoin(F.broadcast(_bitmap(singles.select("x"), bits)))  # a single row
+
+    def stays(x):
+        p = F.pmod(F.xxhash64(x), F.lit(bits))
+        word = F.get("m", F.floor(p / 64).cast("int"))
+        kept = F.getbit(word, (p % 64).cast("int")) == 1
+        return kept & ~x.isin(common) if common else kept
+
+    cleaned = held.select("w", F.filter("b", stays).alias("b")).filter(F.size("b") > 1)
+    small = (
+        cleaned.filter(F.size("b") <= LARGE)
         .select("w", F.col("b"), F.posexplode("b").alias("i", "item_a"))
         .select("w", "item_a", F.explode(F.expr("slice(b, i + 2, size(b))")).alias("item_b"))
-        .groupBy("item_a", "item_b")
-        .agg(F.sum("w").alias("n_both"))
-        .filter(F.col("n_both") >= min_count)
     )
+    chunks = F.transform(F.sequence(F.lit(1), F.size("b"), F.lit(CHUNK)), lambda i: F.slice("b", i, F.lit(CHUNK)))
+    large = (
+        cleaned.filter(F.size("b") > LARGE)
+        .select("w", chunks.alias("c"))
+        .select("w", "c", F.posexplode("c").alias("i", "left"))
+        .select("w", "left", F.explode(F.expr("slice(c, i + 1, size(c))")).alias("right"))
+        .repartition(F.xxhash64("left", "right"))
+        .select("w", F.explode("left").alias("item_a"), "right")
+        .select("w", "item_a", F.explode("right").alias("item_b"))
+        .filter("item_a < item_b")
+    )
+    pairs = small.unionByName(large).groupBy("item_a", "item_b").agg(F.sum("w").alias("n_both")).filter(F.col("n_both") >= min_count)
     a = singles.select(F.col("x").alias("item_a"), F.col("c").alias("count_a"))
     b = singles.select(F.col("x").alias("item_b"), F.col("c").alias("count_b"))
     n = F.lit(total).cast("bigint")

@@ -120,3 +120,24 @@ def test_top_n_carries_open_groups_over_bands(spark):
         got = [tuple(r) for r in topn.top_n(df, "g", "s", "i", 5, (0.2, 0.4, 0.6, 0.8)).collect()]
         topn.MOST_BROADCAST = kept
         assert set(got) == {(g, i, s + 0.0) for g, i, s in want} and len(got) == len(want)
+
+
+def test_large_baskets_are_cut_into_chunks(spark):
+    """A basket above the limit gives the same pairs, each once, whatever the chunks; rare items leave before."""
+    rng = random.Random(5)
+    big = [f"i{k:03d}" for k in range(60)]
+    rows = [(r, big) for r in range(3)] + [(10 + r, rng.sample(big, 8) + [f"rare{r}"]) for r in range(40)] + [(100 + r, []) for r in range(60)]
+    df = spark.createDataFrame(rows, "r int, items array<string>")
+    got = {}
+    for large, chunk in ((2_000, 500), (20, 7)):
+        kept = pairs.LARGE, pairs.CHUNK
+        pairs.LARGE, pairs.CHUNK = large, chunk
+        got[large] = sorted((x.item_a, x.item_b, x.n_both) for x in pairs.pair_scores(df, "r", [df["items"]], 3, 1).collect())
+        pairs.LARGE, pairs.CHUNK = kept
+    counts = {}
+    for _, items in rows:
+        for pair in itertools.combinations(sorted(set(items)), 2):
+            counts[pair] = counts.get(pair, 0) + 1
+    single = {x: sum(x in i for _, i in rows) for x in big}
+    want = sorted((a, b, n) for (a, b), n in counts.items() if n >= 3 and n * len(rows) >= single[a] * single[b])
+    assert got[2_000] == got[20] == want and len(want) > 500
