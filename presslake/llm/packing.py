@@ -7,14 +7,16 @@ capacity are cut into full pieces, which fill containers alone, and a rest.
 
 Items are spread by a hash of their key over blocks of a bounded number of
 items, so that no block, source or key can grow into a large task. Each block
-packs on its own; then only the containers that are still open are packed
-again as items, in fewer blocks, until one block holds them all. What is
-written about an item is carried on by joins on the container number.
+packs on its own. Containers that are as good as full are settled; the items of
+the others, a small part, are packed again in fewer blocks, as long as that brings
+items together that were apart. An item is written once a round it takes part in,
+and rounds are united, not joined.
 """
 
 from __future__ import annotations
 
 import base64
+import re
 from functools import cache
 
 import numpy as np
@@ -25,6 +27,12 @@ from pyspark.sql import functions as F
 from presslake.session import cut
 
 BLOCK_ITEMS = 40_000
+#: A container with more than this share of its space left is packed again with those of other blocks.
+LOOSE = 0.02
+#: Characters of a text that are encoded at once, up to the next place where it can be cut.
+PIECE = 100_000
+#: A blank before a letter and after a letter or digit: the pattern starts a token there.
+_CUT = re.compile(r"(?<=[^\W_]) (?=[^\W\d_])")
 #: Containers of a block are numbered below this.
 _STRIDE = 1 << 32
 
@@ -42,17 +50,14 @@ def _encoding(path: str | None):
 
 
 def count_tokens(text: str | None, path: str | None = None) -> int:
-    """Tokens of a whole text. It is encoded in pieces cut before a blank, where no token of the pattern spans, to bound memory."""
+    """Tokens of a whole text. A long one is encoded in pieces, cut only before a blank after a letter or digit, which no token spans; the count is exact."""
     if not text:
         return 0
     encode = _encoding(path).encode_ordinary
-    if len(text) < 100_000:
-        return len(encode(text))
     total, at = 0, 0
     while at < len(text):
-        end = min(len(text), at + 100_000)
-        while end < len(text) and not (text[end] == " " and text[end - 1].isalnum()) and end < at + 400_000:
-            end += 1
+        cut_ = _CUT.search(text, at + PIECE) if len(text) - at > PIECE else None
+        end = cut_.start() if cut_ else len(text)
         total += len(encode(text[at:end]))
         at = end
     return total
@@ -107,8 +112,8 @@ def sum_of_squares(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.nda
     return place, np.array(fill, np.int64)
 
 
-def _pack_blocks(items: DataFrame, blocks: int, first: int) -> DataFrame:
-    """items (s, capacity, id, part, size) with container and the container's fill."""
+def _pack_blocks(items: DataFrame, blocks: dict[int, int], first: int) -> DataFrame:
+    """items (s, capacity, id, part, size) with container and the container's fill; ``blocks`` per s, numbered from ``first`` on; in the order of a hash."""
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["o", "id", "part"], kind="stable")
@@ -119,7 +124,10 @@ def _pack_blocks(items: DataFrame, blocks: int, first: int) -> DataFrame:
         place[order] = own
         return pd.DataFrame({"s": pdf["s"], "capacity": pdf["capacity"], "id": pdf["id"], "part": pdf["part"], "size": pdf["size"], "container": (first + pdf["b"]) * _STRIDE + place, "fill": fill[place]})
 
-    keyed = items.withColumns({"b": F.pmod(F.xxhash64("id", "part", F.lit(5)), F.lit(blocks)), "o": F.xxhash64("id", "part", F.lit(23))})
+    number = F.lit(1)
+    for s, n in blocks.items():
+        number = F.when(F.col("s") == s, n).otherwise(number)
+    keyed = items.withColumns({"b": F.pmod(F.xxhash64("id", "part", F.lit(5 + first)), number), "o": F.xxhash64("id", "part", F.lit(23 + first))})
     return keyed.groupBy("s", "b").applyInPandas(one, "s bigint, capacity bigint, id bigint, part bigint, size bigint, container bigint, fill bigint")
 
 
@@ -148,20 +156,24 @@ def pack(sized: DataFrame, key: str, specs: DataFrame, size: str = "n_tokens", b
     full = pieces.filter("size = capacity")
     rest = pieces.filter("size < capacity").drop("n")
 
-    blocks = max(1, -(-docs.count() // block_items))
+    n_docs = docs.count()
+    blocks = {r.s: max(1, -(-n_docs // block_items)) for r in spec_rows.collect()}  # a document has one rest at most per capacity
     first = 0
     placed = cut(_pack_blocks(rest, blocks, first))
-    while blocks > 1:
-        first += blocks
-        open_ = placed.filter("fill < capacity").select("s", "capacity", F.col("container").alias("id"), F.lit(0).cast("bigint").alias("part"), F.col("fill").alias("size")).distinct()
-        fewer = max(1, -(-open_.groupBy("s").count().agg(F.max("count")).first()[0] // block_items) if not open_.isEmpty() else 1)
-        blocks = min(fewer, max(1, blocks // 2))
-        moved = cut(_pack_blocks(open_, blocks, first)).select("s", F.col("id").alias("container"), F.col("container").alias("c2"), F.col("fill").alias("f2"))
-        placed = cut(
-            placed.join(moved, ["s", "container"], "left").select(
-                "s", "capacity", "id", "part", "size", F.coalesce("c2", "container").alias("container"), F.coalesce("f2", "fill").alias("fill")
-            )
-        )
+    settled: list[DataFrame] = []
+    while max(blocks.values()) > 1:
+        loose = placed.filter(F.col("capacity") - F.col("fill") > F.col("capacity") * LOOSE)
+        fewer = {r.s: max(1, -(-r["count"] // block_items)) for r in loose.groupBy("s").count().collect()}
+        fewer = {s: n for s, n in fewer.items() if n <= blocks[s] * 0.8}
+        if not fewer:  # the blocks are kept bounded, so nothing more can come together
+            break
+        again = (F.col("capacity") - F.col("fill") > F.col("capacity") * LOOSE) & F.col("s").isin(list(fewer))
+        settled.append(placed.filter(~again))
+        first += max(blocks.values())
+        blocks = fewer
+        placed = cut(_pack_blocks(placed.filter(again).select("s", "capacity", "id", "part", "size"), blocks, first))
+    for more in settled:
+        placed = placed.unionByName(more)
     # A full piece is its own container, named apart from those of the blocks.
     alone = full.select("s", "id", "part", "size", F.concat(F.lit("full-"), F.col("id"), F.lit("-"), F.col("part")).alias("container"))
     shared = placed.select("s", "id", "part", "size", F.concat(F.lit("shared-"), F.col("container")).alias("container"))

@@ -71,6 +71,34 @@ def test_tokens(spark):
     assert {r.doc_id: r.n_tokens for r in packing.token_counts(df, "doc_id", "text").collect()} == {1: 2, 2: 0}
 
 
+def test_token_counts_of_long_texts_are_exact(monkeypatch):
+    whole = lambda t: len(packing._encoding(None).encode_ordinary(t))
+    rng = np.random.default_rng(6)
+    pieces = ["word", " a", "  b", "\n", " ½", "½ ", " 12", "!?", " été", "'s", "x" * 300, "_ _", "\t", "日本", " ", "a b c"]
+    monkeypatch.setattr(packing, "PIECE", 40)
+    for _ in range(60):
+        text = "".join(pieces[int(k)] for k in rng.integers(0, len(pieces), 200))
+        assert packing.count_tokens(text) == whole(text)
+    blankless = "abc,def;" * 20_000
+    assert packing.count_tokens(blankless) == whole(blankless)
+
+
+def test_blocks_stay_bounded(spark, monkeypatch):
+    """Items of more than half the capacity share no container: no round may gather them in one block."""
+    seen = []
+    inner = packing._pack_blocks
+    monkeypatch.setattr(packing, "_pack_blocks", lambda items, blocks, first: seen.append((items.count(), sum(blocks.values()))) or inner(items, blocks, first))
+    specs = spark.createDataFrame([(1, 100)], "spec_id bigint, capacity_tokens bigint")
+    docs = spark.range(900).selectExpr("id AS doc_id", "60 + id % 7 AS n_tokens")
+    packed = packing.pack(docs, "doc_id", specs, block_items=100)
+    assert packed.select("container_id").distinct().count() == 900 and packed.count() == 900
+    assert all(items <= blocks * 100 for items, blocks in seen)
+    docs = spark.range(900).selectExpr("id AS doc_id", "10 + id % 37 AS n_tokens")
+    sizes = {r.doc_id: r.n_tokens for r in docs.collect()}
+    ((_, used),) = check(packing.pack(docs, "doc_id", specs, block_items=100).collect(), sizes, {1: 100})
+    assert used > 0.97 and all(items <= blocks * 100 for items, blocks in seen)
+
+
 # --- leakage ---
 
 ITEM = "In the year 8304 Draubroom drained wexunuquist meadows around Velumarsh to plant 4 rows of été quoordovash"
