@@ -14,11 +14,14 @@ the passages of ``window - edits`` to ``window + edits`` words that begin there,
 so that inserted and deleted words count as edits too. The number of
 repetitions follows from the wished recall and the collision rate of simulated
 edits; without edits a passage's walk is the same on both sides, so that one
-repetition finds all.
-
-The evaluation items are the fixed side. They are processed in blocks of
-bounded size; each block is a single narrow pass over the corpus without any
-shuffle of texts, so a hot passage or source can't skew anything.
+repetition finds all, and the sampled places only save work.
+
+Up to MOST_CHARACTERS of evaluation text are broadcast, and each document is
+looked up where it is read: a single narrow pass over the corpus without any
+shuffle of texts, so a hot passage or source can't skew anything. Beyond that
+size nothing of the items reaches the driver: their sampled keys become a table,
+and the corpus windows whose key passes a bitmap of bounded size are joined with
+it by key.
 """
 
 from __future__ import annotations
@@ -35,12 +38,16 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from presslake.session import StagedTable
+
 _INLINE_TAG = re.compile(r"</?(?:a|abbr|b|big|cite|code|em|font|i|ins|del|mark|q|s|small|span|strong|sub|sup|u|wbr)(?:\s[^<>]*)?/?>", re.I)
 _TAG = re.compile(r"<!--.*?-->|</?[A-Za-z][^<>]*>", re.S)
 _INVISIBLE = re.compile("[­͏؜ᅟᅠ឴឵᠋-᠎​-‏‪-‮⁠-⁯︀-️﻿]")
 _WORDS = re.compile(r"[^\W_]+")
-#: Query windows of one pass, and words of the corpus handled at once.
-MOST_WINDOWS, CHUNK_WORDS = 400_000, 400_000
+#: Characters of evaluation text that are broadcast at most, and words of the corpus handled at once.
+MOST_CHARACTERS, CHUNK_WORDS = 4_000_000, 400_000
+#: Bits of the bitmap of sampled keys (16 MB).
+KEY_BITS = 1 << 27
 
 
 def words(text: str | None) -> list[str]:
@@ -202,49 +209,107 @@ class _Queries:
         return found
 
 
-def _scan(batches: Iterator[pa.RecordBatch], queries: _Queries) -> Iterator[pa.RecordBatch]:
-    window, edits = queries.window, queries.edits
-    cache: dict[str, int] = {}
-
-    def flush(keys: list, texts: list[list[str]]) -> pa.RecordBatch | None:
+def _chunks(batch: pa.RecordBatch, window: int, edits: int) -> Iterator[tuple[list, list[list[str]]]]:
+    """(keys, texts as words) of a batch, about CHUNK_WORDS at once. A long text goes in overlapping pieces, so that memory is bounded and no window is lost."""
+    keys, texts, held = [], [], 0
+    for k, t in zip(batch.column(0).to_pylist(), batch.column(1)):
+        ws = words(t.as_py())
+        for at in range(0, max(1, len(ws) - window + edits + 1), CHUNK_WORDS):
+            piece = ws[at : at + CHUNK_WORDS + window + edits - 1]
+            if len(piece) < window - edits:
+                continue
+            keys.append(k)
+            texts.append(piece)
+            held += len(piece)
+            if held >= CHUNK_WORDS:
+                yield keys, texts
+                keys, texts, held = [], [], 0
+    if keys:
+        yield keys, texts
+
+
+class _Hashed:
+    """The words of some texts in a row, hashed, with the places where a window can begin."""
+
+    def __init__(self, texts: list[list[str]], least: int, cache: dict[str, int]):
         sizes = np.array([len(t) for t in texts], np.int64)
-        flat = [w for t in texts for w in t]
-        if not flat:
-            return None
+        self.words = [w for t in texts for w in t]
         if len(cache) > 500_000:
             cache.clear()
-        for w in set(flat):
+        for w in set(self.words):
             if w not in cache:
                 cache[w] = _hash(w)
-        hashes = np.fromiter((cache[w] for w in flat), np.uint64, len(flat))
+        self.hashes = np.fromiter((cache[w] for w in self.words), np.uint64, len(self.words))
         ends = np.cumsum(sizes)
-        owner = np.repeat(np.arange(len(texts)), sizes)
-        position = np.arange(len(flat))
-        starts = position[position + window - edits <= ends[owner]]
-        found = {(keys[o], item) for o, item in queries.matches(hashes, starts, ends[owner[starts]], owner, flat)}
-        if not found:
-            return None
-        return pa.RecordBatch.from_arrays([pa.array([k for k, _ in found], pa.int64()), pa.array([i for _, i in found], pa.int64())], names=["k", "i"])
+        self.owner = np.repeat(np.arange(len(texts)), sizes)
+        position = np.arange(len(self.words))
+        self.starts = position[position + least <= ends[self.owner]]
+        self.ends = ends[self.owner[self.starts]]
 
+
+def _scan(batches: Iterator[pa.RecordBatch], queries: _Queries) -> Iterator[pa.RecordBatch]:
+    window, edits = queries.window, queries.edits
+    cache: dict[str, int] = {}
     for batch in batches:
-        keys, texts, held = [], [], 0
-        for k, t in zip(batch.column(0).to_pylist(), batch.column(1)):
-            ws = words(t.as_py())
-            # A long text goes in overlapping pieces, so that memory is bounded and no window is lost.
-            for at in range(0, max(1, len(ws) - window + edits + 1), CHUNK_WORDS):
-                piece = ws[at : at + CHUNK_WORDS + window + edits - 1]
-                if len(piece) < window - edits:
-                    continue
-                keys.append(k)
-                texts.append(piece)
-                held += len(piece)
-                if held >= CHUNK_WORDS:
-                    out = flush(keys, texts)
-                    keys, texts, held = [], [], 0
-                    if out is not None:
-                        yield out
-        if keys and (out := flush(keys, texts)) is not None:
-            yield out
+        for keys, texts in _chunks(batch, window, edits):
+            h = _Hashed(texts, window - edits, cache)
+            found = {(keys[o], item) for o, item in queries.matches(h.hashes, h.starts, h.ends, h.owner, h.words)}
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in found], pa.int64()), pa.array([i for _, i in found], pa.int64())], names=["k", "i"])
+
+
+def _windows(batches: Iterator[pa.RecordBatch], walks: list[Walk], least: int, length: int, passes: np.ndarray | None) -> Iterator[pa.RecordBatch]:
+    """(owner, repetition, sampled key, words) of every window, or of those whose key is in the bitmap ``passes``."""
+    window = walks[0].window
+    cache: dict[str, int] = {}
+    for batch in batches:
+        for keys, texts in _chunks(batch, window, window - least):
+            h = _Hashed(texts, least, cache)
+            owners, numbers, samples, passages = [], [], [], []
+            for walk in walks:
+                own = walk.keys(h.hashes, h.starts, h.ends)
+                at = np.arange(len(own))
+                if passes is not None:
+                    place = own % np.uint64(KEY_BITS)
+                    at = np.flatnonzero((passes[(place >> np.uint64(6)).astype(np.int64)] >> (place & np.uint64(63))) & np.uint64(1))
+                for start, end, key in zip(h.starts[at].tolist(), h.ends[at].tolist(), own[at].astype(np.int64).tolist()):
+                    owners.append(keys[h.owner[start]])
+                    numbers.append(walk.repetition)
+                    samples.append(key)
+                    passages.append(" ".join(h.words[start : min(end, start + length)]))
+                if len(owners) > 100_000:
+                    yield _window_batch(owners, numbers, samples, passages)
+                    owners, numbers, samples, passages = [], [], [], []
+            if owners:
+                yield _window_batch(owners, numbers, samples, passages)
+
+
+def _window_batch(owners: list, numbers: list, samples: list, passages: list) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(owners, pa.int64()), pa.array(numbers, pa.int32()), pa.array(samples, pa.int64()), pa.array(passages)], names=["o", "r", "key", "p"])
+
+
+def _joined(corpus: DataFrame, items: DataFrame, window: int, edits: int, walks: list[Walk]) -> DataFrame:
+    """(k, i) by a join of sampled keys, for evaluation text of any size."""
+    spark = corpus.sparkSession
+    schema = "o bigint, r int, key bigint, p string"
+    asked = StagedTable(items.mapInArrow(lambda b: _windows(b, walks, window, window, None), schema).distinct())
+    place = F.pmod(F.col("key"), F.lit(KEY_BITS))
+    bits = asked.read().groupBy(F.floor(place / 64).cast("int").alias("w")).agg(F.expr(f"bit_or(shiftleft(1L, cast(pmod(key, {KEY_BITS}L) % 64 as int)))").alias("b")).toArrow()
+    passes = np.zeros(KEY_BITS // 64, np.uint64)
+    passes[bits.column("w").to_numpy()] = bits.column("b").to_numpy().astype(np.int64).view(np.uint64)
+    held = spark.sparkContext.broadcast(passes)
+    met = corpus.mapInArrow(lambda b: _windows(b, walks, window - edits, window + edits, held.value), schema).distinct()
+
+    @F.pandas_udf("boolean")
+    def verifies(passage: pd.Series, item: pd.Series) -> pd.Series:
+        def one(p: str, i: str) -> bool:
+            ws = p.split(" ")
+            return begins_within(ws, 0, len(ws), i.split(" "), edits)
+
+        return pd.Series([one(p, i) for p, i in zip(passage, item)], dtype=bool)
+
+    pairs = met.select(F.col("o").alias("k"), "r", "key", F.col("p").alias("passage")).join(asked.read().select(F.col("o").alias("i"), "r", "key", "p"), ["r", "key"])
+    return pairs.filter(verifies("passage", "p")).select("k", "i")
 
 
 def leaks(
@@ -267,29 +332,16 @@ def leaks(
     """
     spark = documents.sparkSession
     n = repetitions(window, edits, sampled, recall)
-    walks = [Walk(window, r, sampled if edits else 3 * window) for r in range(n)]  # without edits all places agree
+    walks = [Walk(window, r, sampled) for r in range(n)]
     corpus = documents.select(F.col(doc_key).cast("bigint").alias("k"), F.col(text).alias("t")).filter("k IS NOT NULL AND t IS NOT NULL")
-
-    blocks: list[_Queries] = []
-    block: list[tuple[int, list[str]]] = []
-    size = 0
     rows = items.select(F.col(item_key).cast("bigint").alias("i"), F.col(text).alias("t")).filter("i IS NOT NULL AND t IS NOT NULL").distinct()
-    for row in rows.orderBy("i", "t").toLocalIterator():
-        ws = words(row.t)
-        if len(ws) >= window:
-            block.append((row.i, ws))
-            size += len(ws)
-        if size >= MOST_WINDOWS:
-            blocks.append(_Queries(block, window, edits, walks))
-            block, size = [], 0
-    if block:
-        blocks.append(_Queries(block, window, edits, walks))
-
-    schema = "k bigint, i bigint"
-    found = spark.createDataFrame([], schema)
-    for queries in blocks:
-        held = spark.sparkContext.broadcast(queries)
-        found = found.unionByName(corpus.mapInArrow(lambda batches, held=held: _scan(batches, held.value), schema))
+    size = rows.agg(F.sum(F.length("t"))).first()[0] or 0
+    if size > MOST_CHARACTERS:
+        found = _joined(corpus, rows, window, edits, walks)
+    else:
+        own = [(r.i, ws) for r in rows.orderBy("i", "t").collect() if len(ws := words(r.t)) >= window]
+        held = spark.sparkContext.broadcast(_Queries(own, window, edits, walks))
+        found = corpus.filter(F.lit(bool(own))).mapInArrow(lambda batches: _scan(batches, held.value), "k bigint, i bigint")
     return found.distinct().select(F.col("k").alias(doc_key), F.col("i").alias(item_key))
 
 

@@ -168,6 +168,17 @@ def planted_edits(n):
     return docs, items
 
 
+def test_items_above_the_broadcast_size_are_joined(spark, monkeypatch):
+    docs, items = planted_edits(60)
+    docs += [(1000 + k, "noise " + text) for k, text in items] + [(2000, None), (2001, "short")]
+    frames = spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items + [(7, items[7][1])], "item_id bigint, text string")
+    want = {e: sorted(map(tuple, leakage.leaks(*frames, window=12, edits=e).collect())) for e in (0, 1)}
+    assert (1007, 7) in want[0] and len(want[1]) > 100
+    monkeypatch.setattr(leakage, "MOST_CHARACTERS", 10)
+    for e in (0, 1):
+        assert sorted(map(tuple, leakage.leaks(*frames, window=12, edits=e).collect())) == want[e]
+
+
 def test_every_kind_of_edit_is_found(spark):
     docs, items = planted_edits(150)
     found = leakage.leaks(spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string"), window=12, edits=1)
