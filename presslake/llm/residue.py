@@ -1,25 +1,45 @@
 r"""Template residue, filler, error pages and script notices.
 
-A text is cut into messages (lines and sentences). Numbers, addresses, dates
-and identifiers are masked, and equal masked messages are counted by hash over
-all documents and sources. A message is residue as a whole if it recurs across
-sources and a phrase rule holds for it; in a message that doesn't recur, only
-the words of a complete known phrase count. Filler is recognised by its words.
-A document is a case if more than half of its words, page menus not counted,
-are residue, or if it holds a placeholder that is not merely quoted.
-
-Only messages for which a phrase rule holds are shuffled (by hash), as others
-can't be residue. A message that sits in a third of all documents is combined
-per source before the shuffle, and its verdict is broadcast only while the
-number of verdicts is small; beyond that the join is salted.
+A text is cut into messages (lines and sentences). Numbers, addresses, dates and
+identifiers are masked, and the exact hashes of all masked messages are counted
+over all documents and sources. Only then are messages judged:
+
+* a message that recurs in several documents and sources is residue if it holds
+  a keyword or a phrase of a notice, an error or filler;
+* a recurring message without one is residue by the company it keeps: if in at
+  most of the documents that hold it the rest is hollow, that is mostly
+  recurring messages and to a good part residue. So sentences that no list knows
+  are found, and house phrases of ordinary articles are not;
+* in a message that doesn't recur only the words of a complete phrase count.
+
+Filler is recognised by a test of its own, as its sentences rarely recur: words
+typed along the rows of a keyboard, one or two words again and again, or the
+well-known pseudo-Latin, whatever words a document mixes with it, as long as they
+come without any function word of a language. A document is a case if more than
+half of its words, page menus not counted, are residue, or if it holds a
+placeholder that is not merely quoted.
+
+The texts are read once; of every message its hash, its number of words and what
+the rules say of it are written, and all counting is done on these. Messages of a
+document are combined before any shuffle, counts before theirs, so a message in a
+third of all documents is no hot key; verdicts are broadcast only while they are
+few, beyond that they are joined with salt.
 """
 
 from __future__ import annotations
 
+import html
+import re
+from collections.abc import Iterator
+
+import ahocorasick
+import numpy as np
+import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from presslake.session import cut
+from presslake.session import StagedTable, cut
 
 # --- Fixed values: what placeholders, notices, error pages, filler and menus look like. ---
 
@@ -45,21 +65,16 @@ PLACEHOLDERS = (
     r"\bTK\sTK\b",  # TK TK name TK
     r":[a-z_.]+:_placeholder\b",  # :name:_placeholder
 )
-#: Complete phrases of notices, error pages and filler; accents may be broken, so any one or two characters stand for them.
+#: Phrases of notices, error pages and filler in general use; accents may be broken, so any one or two characters stand for them.
 PHRASES = (
-    r"(?:please |you need to )?(?:enable|turn on|activate|allow) (?:javascript|js|scripts?)(?: and reload)?",
-    r"(?:bitte )?aktivieren sie javascript",
-    r"(?:veuillez )?activer javascript",
-    r"activ[ea] javascript en su navegador",
-    r"your browser blocks (?:java)?scripts?",
+    r"(?:please |you need to )?(?:enable|turn on|activate|allow) (?:javascript|js|scripts?)(?: in your browser)?(?: and reload)?(?: the page)?",
+    r"(?:bitte )?aktivieren sie javascript(?: in ihrem browser)?",
+    r"(?:veuillez )?activer javascript(?: dans votre navigateur)?",
+    r"activ[ea] javascript(?: en su navegador)?",
     r"(?:java)?script(?:s|ing)? (?:is|are) (?:disabled|switched off|turned off|off)(?: in your browser)?",
-    r"(?:we could not load the \w+ because )(?:java)?scripts? (?:is|are) (?:off|disabled)",
-    r"this (?:site|page|app) (?:needs|requires) (?:java)?scripts?(?: to run)?",
-    r"the page cannot be shown without it",
-    r"(?:to continue|before opening the app|and reload the page|for full access|to read this story)",
-    r"supported browsers: [^.\n]{0,60}",
+    r"this (?:site|page|app) (?:needs|requires) (?:java)?scripts?",
+    r"(?:to continue|for full access|and reload the page)",
     r"checking your browser[^.\n]{0,30}",
-    r"if the problem persists, switch off your blocker",
     r"\bnoscript\b",
     r"\bloading\.\.\.",
     r"\b(?:http |error |status )?[45]\d\d (?:bad request|unauthorized|forbidden|not found|gone|internal server error|bad gateway|service unavailable|gateway timeout)",
@@ -67,199 +82,278 @@ PHRASES = (
     r"\b(?:internal server error|bad gateway|service unavailable|gateway timeout|access denied|application error|fatal error|page (?:unavailable|not found)|not found|forbidden|gone)\b",
     r"(?:sorry, )?something went wrong",
     r"\boops!?",
-    r"we hit a snag",
     r"page introuvable",
     r"p.{1,3}gina no encontrada",
     r"seite nicht gefunden",
-    r"die angeforderte adresse existiert nicht mehr",
-    r"el servidor no pudo completar la solicitud",
-    r"le serveur a rencontr.{1,3} un probl.{1,3}me",
-    r"(?:the|this) (?:page|article|resource)[^.\n]{0,25} (?:could not be (?:located|found)|has moved or no longer exists)(?: on this server)?",
-    r"the server took too long to answer",
-    r"an upstream backend refused the connection",
-    r"you do not have permission to view this resource",
-    r"our team has been notified, please try again in a few minutes",
-    r"try searching instead",
-    r"(?:incident|request id|reference):? (?:[0-9a-f]+\.)?[0-9a-f]{4,}(?: - cached copy unavailable)?",
+    r"(?:page|article|resource|file)[^.\n]{0,25} (?:could not be (?:located|found)|was not found|no longer exists)(?: on this server)?",
+    r"you do not have permission to (?:access|view)[^.\n]{0,20}",
     r"uncaught exception in \S+ on line \d+",
-    r"traceback \(most recent call last\):?(?: file \S+ line \d+, in \w+)?(?: \w+error: '?\w+'?)?",
-    r"[a-z.]*(?:nullpointer)?exception at [\w.]+\(\w+\.java:\d+\)",
-    r"warning: query failed:(?: relation \w+ does not exist)?",
+    r"traceback \(most recent call last\):?",
+    r"file \"[^\"\n]{1,80}\", line \d+, in \w+",
+    r"\b(?:key|type|value|name|index|attribute)error: '?\w+'?",
+    r"\brequest id:? \S*\d\S*",
+    r"[a-z.]*exception at [\w.]+\(\w+\.java:\d+\)",
     r"\bat [\w.<>]+ \(\w+\.\w+:\d+(?::\d+)?\)",
     r"(?:dies ist ein )?blindtext",
-    r"hier steht sp.{1,3}ter der artikel",
     r"texto de relleno",
     r"aqu.{1,3} va el texto",
     r"texte de remplissage",
-    r"ici viendra l.{1,3}article",
-    r"(?:this is a |second )?(?:sample|dummy|placeholder) (?:paragraph|text|copy|sentence)(?: of (?:dummy|sample) copy| for layout)?",
-    r"second paragraph of dummy copy",
-    r"(?:story|body copy|text|copy) (?:goes here|to follow)",
-    r"type your text here",
-    r"replace this copy before publishing",
-    r"lorem ipsum(?:, caption to follow)?",
+    r"(?:sample|dummy|placeholder) (?:paragraph|text|copy|sentence)",
+    r"(?:story|text|copy) (?:goes here|to follow)",
+    r"your text here",
+    r"lorem ipsum",
 )
-#: Words that make a recurring message a notice or an error as a whole.
+#: Words that make a recurring message a notice, an error or filler as a whole.
 KEYWORDS = r"\b(?:javascript|scripts?|scripting|noscript|js|error|exception|traceback|forbidden|unavailable|gateway|timeout|permission|denied|not found|encontrada|introuvable|nicht gefunden|serve(?:r|ur)|servidor|browser|blocker|dummy|placeholder|blindtext|relleno|remplissage|sample|loading)\b"
-#: Words of pseudo-Latin filler.
-FILLER_WORDS = (
-    "lorem ipsum dolor sit amet consectetur adipiscing elit sed eiusmod tempor incididunt labore dolore magna aliqua enim minim veniam "
+#: The words of the well-known pseudo-Latin passage that are hardly words of another language.
+LATIN = frozenset(
+    "lorem ipsum dolor amet consectetur adipiscing elit eiusmod tempor incididunt labore dolore magna aliqua enim minim veniam "
     "quis nostrud exercitation ullamco laboris nisi aliquip commodo consequat duis aute irure reprehenderit voluptate velit esse cillum "
-    "fugiat nulla pariatur excepteur sint occaecat cupidatat non proident sunt culpa officia deserunt mollit anim laborum "
-    "arbis donar ergo facil fides lumen magnis mirum nexum porta qualor quorum rotis sapor semper tandis tibus unde vesta "
-    "asdf asdfasdf sdfg dfgh qwer qwert qwerty qwertz hjkl jkl zxcv yxcv test 123 blah xxx foo bar baz"
-).split()
+    "fugiat nulla pariatur excepteur sint occaecat cupidatat proident sunt culpa officia deserunt mollit anim laborum".split()
+)
+#: Words that stand for a text.
+STAND_INS = frozenset("blah xxx foo bar baz test".split())
+#: Rows of keyboards; a word typed along them is made of three neighbours or more at a time.
+KEYBOARD_ROWS = ("qwertyuiop", "qwertzuiop", "azertyuiop", "asdfghjkl", "zxcvbnm", "yxcvbnm")
+#: Function words; a sentence of these languages hardly goes without one.
+FUNCTION_WORDS = frozenset(
+    (
+        "the a an and or but of to in on at for with by from as is are was were be been it its this that these those he she they we you his her their our not no has have had will would who which what when where there than then if so "
+        "der die das den dem des ein eine einen einem einer und oder aber von zu zum zur im in am an auf mit bei nach aus als ist sind war waren wird wurde hat haben nicht kein es er sie wir ihr sich auch "
+        "el la los las un una unos unas y o pero de del en al por para con sin es son era fue ha han no se su sus lo que como "
+        "le la les un une des et ou mais de du en au aux par pour avec sans est sont \u00e9tait a ont ne pas se sa son ses il elle nous que qui dans sur"
+    ).split()
+)
 #: Every match of a phrase or a keyword holds one of these strings, stack frames apart; a test derives this from the patterns.
 SIGNS = (
     "script|js|error|exception|traceback|forbidden|unavailable|gateway|timeout|permission|denied|not found|encontrada|introuvable|nicht gefunden"
-    "|server|serveur|servidor|browser|blocker|dummy|placeholder|blindtext|relleno|remplissage|sample|loading|shown without it|to continue"
-    "|before opening the app|and reload the page|for full access|to read this story|bad request|unauthorized|gone|http|status|something went wrong"
-    "|oops|upstream backend|hit a snag|angeforderte adresse|could not be located|could not be found|has moved or no longer exists|has been notified"
-    "|try searching instead|incident|request id|reference|query failed|hier steht sp|va el texto|ici viendra l|goes here|to follow"
-    "|type your text here|replace this copy|lorem ipsum"
+    "|server|serveur|servidor|browser|blocker|dummy|placeholder|blindtext|relleno|remplissage|sample|loading"
+    "|\", line|request id|to continue|for full access|and reload the page|bad request|unauthorized|gone|http|status|something went wrong|oops|could not be located|could not be found|no longer exists"
+    "|va el texto|goes here|to follow|your text here|lorem ipsum"
 ).split("|")
 _FRAME = r"\(\w+\.\w+:\d"
 #: Page menus.
-MENU = (
-    r"^(?:menu|search|home|news|sport|contact|go back|log ?in|sign in|subscribe|skip to content|back to the front page|share this story"
-    r"|about(?: us)?|next|previous|top stories|(?:home|news|sport|contact|go back)(?:\s*[|·/]\s*[\w ]{1,20}){1,8})$"
+MENU_WORDS = (
+    "menu|search|home|news|sport|contact|go back|log ?in|sign in|subscribe|skip to content|back to the front page|share this story"
+    "|about(?: us)?|next|previous|top stories"
 )
-#: A recurring message occurs in at least so many sources and documents.
-MIN_SOURCES, MIN_DOCUMENTS = 2, 3
+MENU = rf"^(?:{MENU_WORDS}|(?:home|news|sport|contact|go back)(?:\s*[|·/]\s*[\w ]{{1,20}}){{1,8}})$"
+#: A recurring message occurs at least so often, in two documents and two sources at least.
+MIN_OCCURRENCES = 3
+#: Words that a keyword makes a notice with it at most; sentences of reprinted articles recur as well, but are longer.
+WORDS_PER_KEYWORD = 8
+#: Share of the documents that hold a message unknown to the rules which must be hollow beside it.
+HOLLOW_SHARE = 0.6
+#: A document is hollow beside a message if of its other words more than half recur and at least this share is residue.
+HOLLOW_RESIDUE = 0.25
+#: Share of known pseudo-Latin among the words of sentences without function words that makes them all filler.
+LATIN_SHARE = 0.1
+#: Rounds in which messages are judged by their company.
+ROUNDS = 2
 #: Verdicts on messages that are broadcast at most; more are joined with salt.
 MOST_BROADCAST, SALTS = 100_000, 32
 
-_WORD = r"[\p{L}\p{N}']+"
-_NOT_WORD = r"[^\p{L}\p{N}']+"
-#: A word and the same again, at most one other between; six words of at most two kinds hold it.
-_AGAIN = rf"(?<![\p{{L}}\p{{N}}'])([\p{{L}}\p{{N}}']++){_NOT_WORD}+(?:{_WORD}+{_NOT_WORD}+)?\1(?![\p{{L}}\p{{N}}'])"
-_PHRASE = "(?:" + "|".join(PHRASES) + ")"
 _PLACEHOLDER = "(?:" + "|".join(PLACEHOLDERS) + ")"
+_PHRASE = re.compile("(?:" + "|".join(PHRASES) + ")")
+_KEYWORD = re.compile(KEYWORDS)
+_MENU = re.compile(MENU)
+_MENU_TAIL = re.compile(rf"(?:^| )(?:{MENU_WORDS})(?:\s*[|·/]\s*(?:{MENU_WORDS}))*\s*[.]?$")
+_FRAMES = re.compile(_FRAME)
+_WORD = re.compile(r"[^\W_]+(?:'[^\W_]+)*")
+_CUT = re.compile(r"[\r\n]+|(?<=[.!?\u2026])\s+|\s+[\u2013\u2014-]\s+")
+_TAGS = r"(?i)</?(?:p|b|i|u|em|strong|span|div|br|li|ul|ol|h[1-6]|a|td|tr|table)(?:\s[^<>]*)?/?>"
+_TAG = re.compile(_TAGS)
+#: What is masked: tokens with a digit (numbers, dates, times, identifiers), addresses and paths.
+_MASKED = re.compile(r"\d|://|@|^www\.|^/\w+/")
+_RUNS = sorted({row[i:j] for row in KEYBOARD_ROWS for i in range(len(row)) for j in range(i + 3, len(row) + 1)}, key=lambda r: (-len(r), r))
+_TYPED = re.compile(f"(?:{'|'.join(_RUNS)})+")
+
+
+def _signs() -> ahocorasick.Automaton:
+    automaton = ahocorasick.Automaton()
+    for sign in SIGNS:
+        automaton.add_word(sign, sign)
+    automaton.make_automaton()
+    return automaton
 
 
-def _words(text: Column) -> Column:
-    return F.size(F.regexp_extract_all(text, F.lit(_WORD), F.lit(0)))
-
-
-def plain_text(text: Column) -> Column:
-    """Without the commonest markup: known tags become line ends, quote and ampersand entities their characters."""
+def has_placeholder(text: Column) -> Column:
+    """Does the text hold an unfilled placeholder? One that is quoted with at most two words beside it is a subject, not a case."""
     text = F.coalesce(text, F.lit(""))
-    tags = F.regexp_replace(text, r"(?i)</?(?:p|b|i|u|em|strong|span|div|br|li|ul|ol|h[1-6]|a|td|tr|table)(?:\s[^<>]*)?/?>", "\n")
-    out = F.when(text.contains("<"), tags).otherwise(text)
-    decoded = out
+    plain = F.when(text.contains("<"), F.regexp_replace(text, _TAGS, "\n")).otherwise(text)
+    decoded = plain
     for entity, character in (("&quot;|&#34;", '"'), ("&#39;|&apos;|&rsquo;|&lsquo;", "'"), ("&nbsp;|&#160;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&amp;", "&")):
         decoded = F.regexp_replace(decoded, entity, character)
-    return F.when(out.contains("&"), decoded).otherwise(out)
-
-
-def has_placeholder(text: Column) -> Column:
-    """Does the text hold an unfilled placeholder? One that is quoted with at most two words beside it is a subject, not a case."""
-    plain = plain_text(text)
-    quoted = rf"[\"“”„«](?:\w+\s){{0,2}}{_PLACEHOLDER}(?:\s\w+){{0,2}}[\"”“»]"
+    plain = F.when(plain.contains("&"), decoded).otherwise(plain)
+    quoted = rf"[\"\u201c\u201d\u201e\u00ab](?:\w+\s){{0,2}}{_PLACEHOLDER}(?:\s\w+){{0,2}}[\"\u201c\u201d\u00bb]"
     possible = text.rlike(r"[{%<@\[&]|__|XX|TK|_placeholder")
     return possible & plain.rlike(_PLACEHOLDER) & F.regexp_replace(plain, quoted, " ").rlike(_PLACEHOLDER)
 
 
-def messages(text: Column) -> Column:
-    """The lines and sentences of a text, lower-cased, trimmed, without empty ones."""
-    parts = F.split(plain_text(text), r"[\r\n]+|(?<=[.!?…])\s+|\s+[–—-]\s+")
-    return F.filter(F.transform(parts, lambda m: F.lower(F.trim(F.regexp_replace(m, r"\s+", " ")))), lambda m: m != "")
-
-
-def masked(message: Column) -> Column:
-    """Addresses, dates, identifiers and numbers replaced by one character each."""
-    out = F.regexp_replace(message, r"(?:https?://|www\.)\S+|/\w+(?:/[\w.]+)+", "\u0001")
-    out = F.regexp_replace(out, r"\b\d{1,4}[./-]\d{1,2}[./-]\d{1,4}\b|\b\d{1,2}:\d{2}(?::\d{2})?\b", "\u0002")
-    return F.regexp_replace(out, r"\b(?=[0-9a-f.]*\d)[0-9a-f][0-9a-f.]*\b", "\u0003")
-
-
-def _let(value: Column, body) -> Column:
-    """``body`` of ``value``, which is evaluated once."""
-    return F.get(F.transform(F.array(value), body), 0)
-
-
-def _possible(lowered: Column) -> Column:
-    """Can a phrase or a keyword be in the text? Never false if one is."""
-    out = lowered.contains("(") & lowered.rlike(_FRAME)
-    for sign in SIGNS:
-        out = out | lowered.contains(sign)
-    return out
-
-
-def _n_filler(words: Column) -> Column:
-    return F.size(F.filter(words, lambda w: w.isin(FILLER_WORDS)))
-
-
-def _sign(text: Column) -> Column:
-    """Can any rule hold for a message of the text? Never false if one does.
-
-    Entities and runs of blanks, which messages no longer have, pass. Filler is at least two words of a message.
-    """
-
-    def rules(t: Column) -> Column:
-        blanks = t.contains("&") | t.contains("  ") | t.contains("\t") | t.contains("\f") | t.contains("\v")
-        return blanks | _possible(t) | (_n_filler(F.split(t, _NOT_WORD)) > 1) | t.rlike(_AGAIN)
-
-    return _let(F.lower(text), rules)
-
-
-def _judge(message: Column) -> Column:
-    """What the rules say of one message; phrases are searched only where one can be."""
-
-    def rules(a: Column) -> Column:
-        return _let(F.struct(_possible(message).alias("possible"), _n_filler(a).alias("filler")), lambda x: judged(a, x["possible"], x["filler"]))
-
-    def judged(a: Column, possible: Column, n_filler: Column) -> Column:
-        repeated = (F.size(a) >= 6) & (F.size(F.array_distinct(a)) <= 2)
-        phrases = F.aggregate(F.regexp_extract_all(message, F.lit(_PHRASE), F.lit(0)), F.lit(0), lambda n, p: n + _words(p))
-        return F.struct(
-            message.alias("text"),
-            F.size(a).alias("w"),
-            ((F.length(message) < 80) & message.rlike(MENU)).alias("menu"),
-            (possible | repeated | (n_filler > 1)).alias("hit"),
-            repeated.alias("repeated"),
-            n_filler.alias("filler"),
-            F.when(possible, phrases).otherwise(0).alias("phrase"),
-            F.when(possible, message.rlike(KEYWORDS)).otherwise(False).alias("keyword"),
-        )
-
-    return _let(F.filter(F.split(message, _NOT_WORD), lambda w: w != ""), rules)
+def messages(text: str | None) -> list[str]:
+    """The lines and sentences of a text without markup, lower-cased, blanks made one, without empty ones."""
+    if not text:
+        return []
+    if "<" in text:
+        text = _TAG.sub("\n", text)
+    if "&" in text:
+        text = html.unescape(text)
+    return [m for part in _CUT.split(text.lower()) if (m := " ".join(part.split()).lstrip("-\u2013\u2014 "))]
+
+
+def pieces(message: str) -> list[tuple[str, bool]]:
+    """A message cut where a phrase begins or ends, as texts often lose their line ends; with each piece whether it is a phrase. A menu at the end goes."""
+    out, at = [], 0
+    tail = _MENU_TAIL.search(message)
+    end = tail.start() if tail else len(message)
+    for x in _PHRASE.finditer(message, 0, end):
+        out += [(message[at : x.start()], False), (x.group(), True)]
+        at = x.end()
+    out.append((message[at:end], False))
+    return [(p, phrase) for part, phrase in out if (p := part.strip(" -|,;:"))]
+
+
+def masked(message: str) -> str:
+    """Numbers, dates, identifiers, addresses and paths replaced by one character each."""
+    return " ".join(["\x01" if _MASKED.search(t) else t for t in message.split(" ")]) if _MASKED.search(message) or "/" in message else message
+
+
+def is_filler(words: list[str]) -> bool:
+    """One or two words again and again, words typed along the keyboard, or mostly the known pseudo-Latin."""
+    n = len(words)
+    if n >= 6 and len(set(words)) <= 2:
+        return True
+    latin = sum(w in LATIN for w in words)
+    if latin > 1 and latin * 10 >= n * 6:
+        return True
+    typed = sum(_TYPED.fullmatch(w) is not None for w in words)
+    neutral = sum(w.isdigit() or w in STAND_INS for w in words)
+    return typed > 0 and n > 1 and (typed + neutral) * 10 >= n * 6 or neutral == n > 1 and not all(w.isdigit() for w in words)
+
+
+def judged(text: str, signs: ahocorasick.Automaton) -> tuple[int, dict[str, list[int]]]:
+    """(words without menus, masked message -> [words, words of phrases or filler, is there a phrase or a keyword])."""
+    total, found = 0, {}
+    free: list[tuple[str, int]] = []
+    n_free = n_latin = 0
+    for m in messages(text):
+        words = _WORD.findall(m)
+        n = len(words)
+        if not n or (len(m) < 80 and _MENU.match(m)):
+            continue
+        signed = next(signs.iter(m), None) is not None or ("(" in m and _FRAMES.search(m) is not None)
+        parts = pieces(m) if signed and not is_filler(words) else [(m, False)]
+        for part, phrase in parts:
+            own = words if part is m else _WORD.findall(part)
+            n = len(own)
+            if not n:
+                continue
+            total += n
+            filler = is_filler(own)
+            certain = n if phrase or filler else 0
+            name = masked(part)
+            if not certain and n > 2 and FUNCTION_WORDS.isdisjoint(own):
+                free.append((name, n))
+                n_free += n
+                n_latin += sum(w in LATIN for w in own)
+            elif filler:
+                n_latin += sum(w in LATIN for w in own)
+            entry = found.setdefault(name, [0, 0, 0])
+            entry[0] += n
+            entry[1] += certain
+            entry[2] |= certain > 0 or (signed and len(_KEYWORD.findall(part)) * WORDS_PER_KEYWORD >= n)
+    if n_latin > 1 and n_latin >= LATIN_SHARE * n_free:
+        for name, n in free:
+            found[name][1] += n
+            found[name][2] = 1
+    return total, found
+
+
+_MESSAGE = pa.struct([("h", pa.int64()), ("w", pa.int32()), ("c", pa.int32()), ("s", pa.bool_())])
+
+
+def _judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of (k, src, template, t) with the text replaced by what is known of its messages."""
+    signs = _signs()
+    for batch in batches:
+        for at in range(0, batch.num_rows, 2000):
+            part = batch.slice(at, 2000)
+            totals, versions, offsets, hashes, sizes, certain, sign = [], [], [0], [], [], [], []
+            for t in part.column(3):
+                text = t.as_py()
+                total, found = judged(text, signs)
+                totals.append(total)
+                versions.append(xxhash.xxh64_intdigest(text))
+                for name, (w, c, s) in found.items():
+                    hashes.append(xxhash.xxh64_intdigest(name))
+                    sizes.append(w)
+                    certain.append(c)
+                    sign.append(bool(s))
+                offsets.append(len(hashes))
+            signed = lambda x: pa.array(np.array(x, np.uint64).view(np.int64))
+            flat = pa.StructArray.from_arrays([signed(hashes), pa.array(sizes, pa.int32()), pa.array(certain, pa.int32()), pa.array(sign, pa.bool_())], fields=list(_MESSAGE))
+            lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), flat)
+            columns = [part.column(0), part.column(1), part.column(2), pa.array(totals, pa.int32()), signed(versions), lists]
+            yield pa.RecordBatch.from_arrays(columns, names=["k", "src", "template", "n_words", "v", "m"])
+
+
+def _with_verdicts(rows: DataFrame, verdicts: DataFrame) -> DataFrame:
+    """``rows`` left-joined with ``verdicts`` by h."""
+    if verdicts.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST:
+        return rows.join(F.broadcast(verdicts), "h", "left")
+    salted = verdicts.withColumn("z", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn("z", F.pmod(F.xxhash64("k"), F.lit(SALTS)).cast("int")).join(salted, ["h", "z"], "left").drop("z")
+
+
+def recurring_messages(rows: DataFrame) -> DataFrame:
+    """(h, n, s): messages that recur over documents and sources, how often they occur, and whether a rule holds for them."""
+    counts = rows.groupBy("h").agg(
+        F.count(F.lit(1)).alias("n"), F.max("s").alias("s"), F.min("src").alias("a"), F.max("src").alias("b"), F.min("k").alias("k0"), F.max("k").alias("k1")
+    )
+    return counts.filter(f"n >= {MIN_OCCURRENCES} AND a < b AND k0 < k1").select("h", "n", "s")
 
 
-def residue_documents(df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
+def residue_documents(df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", by_recurrence: list | None = None) -> DataFrame:
     """(key, has_placeholder, n_words, n_residue) of the documents that are cases; one row per key.
 
     NULL and empty texts are no cases, NULL keys give no row. A NULL source
     counts as one source. Repeated rows count once. Texts are read whole.
+    ``by_recurrence`` receives how many documents are cases by their messages,
+    and how many of them the phrases and filler alone would not have made one.
     """
     docs = df.select(F.col(key).alias("k"), F.coalesce(F.col(source), F.lit("")).alias("src"), F.col(text).alias("t")).filter(
         F.col("k").isNotNull() & F.col("t").isNotNull() & (F.col("t") != "")
     )
-    templates = docs.filter(has_placeholder(F.col("t"))).select("k").distinct().withColumn("template", F.lit(True))
-
-    # Only documents with any sign of residue are cut into messages, and only messages with one are searched for phrases.
-    # What is used in filters and results is computed once, inside the arrays: a filter on it can't be pushed below.
-    judged = docs.filter(_sign(F.col("t"))).select("k", "src", F.transform(messages(F.col("t")), _judge).alias("m"))
-    total = F.aggregate("m", F.lit(0), lambda a, m: a + F.when(m.menu, 0).otherwise(m.w))
-    rows = judged.select("k", "src", total.alias("n_words"), F.explode(F.filter("m", lambda m: m.hit & ~m.menu)).alias("m"))
-    certain = F.when(F.col("m.repeated") | ((F.col("m.w") > 1) & (F.col("m.filler") * 10 >= F.col("m.w") * 6)), F.col("m.w")).otherwise(F.least("m.phrase", "m.w"))
-    rows = rows.select("k", "src", "n_words", "m.w", certain.alias("certain"), "m.keyword", F.col("m.text").alias("text"))
-    rows = rows.withColumn("candidate", (F.col("certain") < F.col("w")) & ((F.col("certain") > 0) | F.col("keyword")))
-    rows = rows.filter(F.col("candidate") | (F.col("certain") > 0)).select(
-        "k", "src", "n_words", "w", "certain", F.when(F.col("candidate"), F.xxhash64(masked(F.col("text")))).alias("h")
-    )
-    rows = cut(rows)  # a small part of the corpus, read by the counts and by the verdicts
-
-    per_source = rows.filter("h IS NOT NULL").groupBy("h", "src").agg(F.count_distinct("k").alias("n"))
-    recurring = per_source.groupBy("h").agg(F.count(F.lit(1)).alias("s"), F.sum("n").alias("n")).filter(f"s >= {MIN_SOURCES} AND n >= {MIN_DOCUMENTS}").select("h", F.lit(True).alias("recurs"))
-    if recurring.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST:
-        judged = rows.join(F.broadcast(recurring), "h", "left")
-    else:
-        salted = recurring.withColumn("z", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        judged = rows.withColumn("z", F.pmod(F.xxhash64("k"), F.lit(SALTS)).cast("int")).join(salted, ["h", "z"], "left")
-    residue = F.when(F.col("recurs"), F.col("w")).otherwise(F.col("certain"))
-    scored = judged.groupBy("k").agg(F.max("n_words").alias("n_words"), F.sum(residue).alias("n_residue")).filter("n_residue * 2 > n_words")
-    out = templates.join(scored, "k", "full_outer")
+    kind = docs.schema["k"].dataType.simpleString()
+    schema = f"k {kind}, src string, template boolean, n_words int, v bigint, m array<struct<h:bigint,w:int,c:int,s:boolean>>"
+    staged = StagedTable(docs.select("k", "src", has_placeholder(F.col("t")).alias("template"), "t").mapInArrow(_judge, schema))
+    rows = staged.read().select("k", "src", "v", "n_words", F.size("m").alias("z"), F.inline("m"))
+    recurring = StagedTable(recurring_messages(rows))
+
+    def scored(joined: DataFrame, *more: Column) -> DataFrame:
+        """One row per document and version; sums are divided by the copies of the row."""
+        copies = F.count(F.lit(1)) / F.max("z")
+        each = [(F.sum(c) / copies).alias(name) for name, c in (("residue", F.when(F.col("s_"), F.col("w")).otherwise(F.col("c"))), ("certain", F.col("c")))]
+        return joined.groupBy("k", "v").agg(F.max("n_words").alias("n_words"), *each, *[(F.sum(m) / copies).alias("recurs") for m in more])
+
+    # At first the recurring messages for which a rule holds are residue; in each round those in whose company documents are hollow join them.
+    known = recurring.read().select("h", "n", F.col("s").alias("s_"))
+    for _ in range(ROUNDS):
+        joined = _with_verdicts(rows, known)
+        hosts = scored(joined, F.when(F.col("n").isNotNull(), F.col("w")).otherwise(0)).filter("residue > 0").select("k", "v", "residue", "recurs")
+        beside = joined.filter("n IS NOT NULL AND NOT s_").join(hosts, ["k", "v"])
+        others = F.col("n_words") - F.col("w")
+        hollow = ((F.col("recurs") - F.col("w")) * 2 > others) & (F.col("residue") >= others * HOLLOW_RESIDUE)
+        company = beside.groupBy("h", "n").agg(F.count_if(hollow).alias("g")).filter(f"g >= {MIN_OCCURRENCES} AND g >= n * {HOLLOW_SHARE}").select("h", F.lit(True).alias("g_"))
+        known = cut(known.join(company, "h", "left").select("h", "n", (F.col("s_") | F.coalesce("g_", F.lit(False))).alias("s_")))
+    verdicts = StagedTable(known.filter("s_").select("h", "s_"))
+
+    final = scored(_with_verdicts(rows, verdicts.read())).filter("residue * 2 > n_words")
+    if by_recurrence is not None:
+        by_recurrence.extend(final.agg(F.count_distinct("k"), F.count_distinct(F.when(F.expr("certain * 2 <= n_words"), F.col("k")))).first())
+    cases = final.groupBy("k").agg(F.max("n_words").cast("bigint").alias("n_words"), F.max("residue").cast("bigint").alias("n_residue"))
+    templates = staged.read().filter("template").select("k").distinct().withColumn("template", F.lit(True))
+    out = templates.join(cases, "k", "full_outer")
     return out.select(F.col("k").alias(key), F.coalesce("template", F.lit(False)).alias("has_placeholder"), "n_words", "n_residue")
 
 
@@ -268,4 +362,4 @@ def without(df: DataFrame, found: DataFrame, key: str = "doc_id") -> DataFrame:
     return df.join(found.select(key), key, "left_anti")
 
 
-__all__ = ["residue_documents", "without", "has_placeholder", "messages", "masked"]
+__all__ = ["residue_documents", "recurring_messages", "without", "has_placeholder", "messages", "masked", "judged", "is_filler"]

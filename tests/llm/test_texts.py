@@ -299,3 +299,30 @@ def test_every_rule_is_reachable():
         texts = spelled(re._parser.parse(pattern))
         assert any(re.search(pattern, t) for t in texts)
         assert [t for t in texts if not any(s in t for s in residue.SIGNS) and not re.search(residue._FRAME, t)] == []
+
+
+def test_messages_that_no_rule_knows_are_found_by_their_company(spark):
+    """Sentences of no list recur beside errors: they are residue. House phrases and reprinted articles recur as well and are none."""
+    heads = ["Error 502", "Page not found", "Bad Gateway", "Something went wrong"]
+    unknown = ["The kettle of this desk has boiled over, kindly come back after tea.", "Wir holen gerade neue Kreide, bis gleich."]
+    rows = []
+    for k in range(40):
+        rows.append((k, f"{heads[k % 4]}\n{unknown[k % 2]}\nTicket {k}", "abc"[k % 3]))
+    for k in range(40):
+        rows.append((100 + k, f"The mayor of town {chr(97 + k % 26)}{k} opened the fair at noon and spoke of number {k}. Read on in our letter. Ticket {k}", "abc"[k % 3]))
+    article = "The new server at the inn carried nine plates at once, as the cook had hoped. Every browser of old books found the shop closed on the day of the fair. The crowd went home by the last tram of the night."
+    for k in range(12):
+        rows.append((200 + k, article, "abc"[k % 3]))
+    only = []
+    found = residue.residue_documents(spark.createDataFrame(rows + rows[:3], "doc_id bigint, text string, source string"), by_recurrence=only)
+    assert sorted(r.doc_id for r in found.collect()) == list(range(40))
+    assert only[0] == 40 and only[1] > 30  # the phrases alone hold less than half of the words
+
+
+def test_masks_and_filler():
+    assert residue.masked("error 404 at 12:30 see /srv/app/x.php or www.a.example, id 66f") == residue.masked("error 500 at 1:05 see /srv/app/y.php or www.b.example, id 0a1")
+    assert residue.masked("error in the bill") == "error in the bill"
+    for words in ("asdf jkl qwertz", "spam spam spam spam spam spam", "lorem dolor amet velit nova"):
+        assert residue.is_filler(words.split())
+    for words in ("were you there", "the quiet type", "404 12", "wer hat das"):
+        assert not residue.is_filler(words.split())
