@@ -59,6 +59,45 @@ def partitioned(rows: DataFrame, train: float = 0.7, validation: float = 0.15) -
     return ordinals(rows).withColumn("part", part)
 
 
+def officially_partitioned(rows: DataFrame, train: float = 0.8) -> DataFrame:
+    """The delivered split: the first share of ``train`` in time order is train, its rest validation, and all of ``dev`` is test.
+
+    At least one row stays on either side of the bound; rows of other source splits are left out.
+    """
+    if not 0 < train < 1:
+        raise ValueError("the share must lie between 0 and 1")
+    delivered = rows.filter("source_split IN ('train', 'dev')")
+    counts = {r.source_split: r["count"] for r in delivered.groupBy("source_split").count().collect()}
+    n = counts.get("train", 0)
+    if n < 2 or not counts.get("dev"):
+        raise ValueError("the split needs two train rows and one dev row")
+    bound = min(max(int(n * train), 1), n - 1)
+    own = ordinals(delivered.filter("source_split = 'train'")).withColumn("part", F.when(F.col("ordinal") <= bound, "train").otherwise("validation"))
+    return own.unionByName(ordinals(delivered.filter("source_split = 'dev'")).withColumn("part", F.lit("test")))
+
+
+def integrity(rows: DataFrame, delivered: DataFrame) -> dict[str, int]:
+    """Violations of a split: raises if any partition is empty, or impressions or source rows are shared, or partitions overlap in time order.
+
+    ``rows`` hold part, ordinal and the source keys, ``delivered`` the table they
+    come from. Returned are counts that are reported only: impressions that were
+    delivered several times, and users that several partitions share.
+    """
+    parts = {r.part: r for r in rows.groupBy("part").agg(F.count(F.lit(1)).alias("n"), F.min("ts_us").alias("lo"), F.max("ts_us").alias("hi")).collect()}
+    order = ("train", "validation", "test")
+    broken = [f"{p} is empty" for p in order if p not in parts]
+    broken += [f"{b} begins before {a} ends" for a, b in zip(order, order[1:]) if a in parts and b in parts and parts[b].lo < parts[a].hi]
+    shared = lambda *keys: rows.groupBy(*keys).agg(F.count_distinct("part").alias("n")).filter("n > 1").count()
+    for name, keys in (("impressions", ("impression_id",)), ("source rows", ("source_split", "source_row_number"))):
+        if n := shared(*keys):
+            broken.append(f"{n} {name} are in several partitions")
+    if broken:
+        raise ValueError("; ".join(broken))
+    users = rows.filter("user_id <> ''").groupBy("user_id").agg(F.count_distinct("part").alias("n")).filter("n > 1").count()
+    repeated = delivered.filter("impression_id IS NOT NULL").groupBy("impression_id").count().filter("count > 1").count()
+    return {"shared_users": users, "repeated_impressions": repeated}
+
+
 def candidates(rows: DataFrame, carry: tuple[str, ...] = ("part", "user_id", "ts_us", "ordinal")) -> DataFrame:
     """One row per candidate: impression_id, carried columns, position, news_id, label (NULL: unlabeled)."""
     return rows.select("impression_id", *carry, F.inline("candidates").alias("position", "news_id", "label"))

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -52,74 +50,6 @@ def recency_profiles(hist: DataFrame, weights: DataFrame, known: DataFrame, deca
     return sums.join(total, "impression_id").select("impression_id", "term", F.round(F.col("_s") / F.col("_t"), PLACES).alias("weight"))
 
 
-def _block_scorer(held, k: int):
-    """Scores one article block against the broadcast queries."""
-
-    def score(block: pd.DataFrame) -> pd.DataFrame:
-        ids, place = np.unique(block["news_id"].to_numpy(), return_inverse=True)
-        postings = {t: (place[i], block["weight"].to_numpy()[i]) for t, i in block.groupby("term").indices.items()}
-        out: list[tuple] = []
-        for query, terms, ws, norm in held.value:
-            scores, shared = np.zeros(len(ids)), np.zeros(len(ids), bool)
-            for t, w in zip(terms, ws):
-                if t in postings:
-                    at, own = postings[t]
-                    scores[at] += w * own
-                    shared[at] = True
-            hit = np.flatnonzero(shared)
-            if len(hit) and norm > 0:
-                values = np.round(scores[hit] / norm, 6)
-                least = np.partition(values, -k)[-k] if len(values) > k else -np.inf
-                keep = values >= least
-                out.append((np.full(int(keep.sum()), query, dtype=object), ids[hit[keep]], values[keep]))
-        if not out:
-            return pd.DataFrame({"impression_id": [], "news_id": [], "score": []})
-        return pd.DataFrame({c: np.concatenate([o[i] for o in out]) for i, c in enumerate(("impression_id", "news_id", "score"))})
-
-    return score
-
-
-def retrieve(profiles: DataFrame, weights: DataFrame, first_seen: DataFrame, k: int, query_rows: int = 2_000_000, article_block: int = 1_000) -> DataFrame:
-    """(impression_id, news_id, score, rank): the ``k`` articles of greatest cosine that share a term with the profile.
-
-    The queries are a stated set. They are taken in blocks of about
-    ``query_rows`` profile rows and meet the articles in hash blocks, each an
-    inverted index over which scores are accumulated term by term, so no pair
-    of query and article is ever shuffled: a block returns k articles per query
-    and those tied with the last. Ties go to the article first seen earlier
-    (unseen last), then the smaller id.
-    """
-    n_rows, n_articles = profiles.count(), weights.select("news_id").distinct().count()
-    parts, blocks = max(1, -(-n_rows // query_rows)), max(1, -(-n_articles // article_block))
-    indexed = weights.withColumn("_b", F.pmod(F.xxhash64("news_id"), F.lit(blocks)))
-    found = None
-    for part in range(parts):
-        mine = profiles.filter(F.pmod(F.xxhash64("impression_id"), F.lit(parts)) == part).select("impression_id", "term", "weight").toPandas()
-        queries = [(q, g["term"].to_numpy(), g["weight"].to_numpy(), float(np.sqrt((g["weight"] ** 2).sum()))) for q, g in mine.sort_values("term").groupby("impression_id")]
-        held = profiles.sparkSession.sparkContext.broadcast(queries)
-
-        scored = indexed.groupBy("_b").applyInPandas(_block_scorer(held, k), "impression_id string, news_id string, score double")
-        found = scored if found is None else found.unionByName(scored)
-    order = Window.partitionBy("impression_id").orderBy(F.desc("score"), F.asc_nulls_last("first_us"), "news_id")
-    out = found.join(first_seen, "news_id", "left").withColumn("rank", F.row_number().over(order).cast("bigint")).filter(F.col("rank") <= k)
-    return out.select("impression_id", "news_id", "score", "rank")
-
-
 def first_seen(cand: DataFrame) -> DataFrame:
     """(news_id, first_us): the first impression that shows an article."""
     return cand.groupBy("news_id").agg(F.min("ts_us").alias("first_us"))
-
-
-def retrieval_metrics(found: DataFrame, targets: DataFrame, cutoffs: tuple[int, ...]) -> DataFrame:
-    """Macro recall, hit rate at the cutoffs, and MRR, over queries with a target. ``targets``: distinct (impression_id, news_id)."""
-    hits = found.join(targets, ["impression_id", "news_id"], "left_semi").groupBy("impression_id")
-    per = hits.agg(F.min("rank").alias("best"), *[F.count(F.when(F.col("rank") <= c, 1)).alias(f"h{c}") for c in cutoffs])
-    n = targets.groupBy("impression_id").agg(F.count(F.lit(1)).alias("n"))
-    q = n.join(per, "impression_id", "left")
-    count = lambda c: F.coalesce(F.col(f"h{c}"), F.lit(0))
-    return q.agg(
-        F.count(F.lit(1)).alias("n_queries"),
-        *[F.round(F.avg(count(c) / F.col("n")), 6).alias(f"recall_{c}") for c in cutoffs],
-        *[F.round(F.avg((count(c) > 0).cast("double")), 6).alias(f"hit_rate_{c}") for c in cutoffs],
-        F.round(F.avg(F.coalesce(1.0 / F.col("best"), F.lit(0.0))), 6).alias("mrr"),
-    )

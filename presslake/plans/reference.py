@@ -308,11 +308,6 @@ def _recent(rows: DataFrame) -> DataFrame:
     return rows.withColumn("history", F.expr("slice(history, greatest(size(history) - 10, 0) + 1, 10)"))
 
 
-def _asked(f: _Feed) -> DataFrame:
-    """The query set of the searches: impressions whose number is divisible by 20, with their last ten history entries."""
-    return _recent(f.rows.filter("try_cast(impression_id AS BIGINT) % 20 = 0"))
-
-
 @query
 def profile_mean(spark: SparkSession, d: str) -> DataFrame:
     f, weights = _content(spark, d)
@@ -335,17 +330,6 @@ def availability_first_seen(spark: SparkSession, d: str) -> DataFrame:
     return shown.join(read, "news_id", "full_outer")
 
 
-def _retrieved(spark: SparkSession, d: str, k: int) -> tuple[_Feed, DataFrame]:
-    f, weights = _content(spark, d)
-    profiles = text.mean_profiles(feed.history(_asked(f)), weights, f.articles)
-    return f, text.retrieve(profiles, weights, text.first_seen(f.candidates()), k)
-
-
-@query
-def retrieve_cosine(spark: SparkSession, d: str) -> DataFrame:
-    return _retrieved(spark, d, 20)[1]
-
-
 @query
 def retrieve_popular(spark: SparkSession, d: str) -> DataFrame:
     """The twenty most clicked articles: clicks, then the earlier first sight, then the id."""
@@ -356,48 +340,6 @@ def retrieve_popular(spark: SparkSession, d: str) -> DataFrame:
     return best.select("news_id", "clicks", F.row_number().over(order).cast("bigint").alias("rank"))
 
 
-@query
-def retrieval_quality(spark: SparkSession, d: str) -> DataFrame:
-    f, found = _retrieved(spark, d, 20)
-    targets = feed.candidates(_asked(f)).filter("label = 1").join(f.articles.select("news_id"), "news_id", "left_semi").select("impression_id", "news_id").distinct()
-    return text.retrieval_metrics(found, targets, (10, 20))
-
-
-@query
-def retrieval_grid(spark: SparkSession, d: str) -> DataFrame:
-    """Retrieval quality of text and profile configurations, the chosen one first."""
-    f = _Feed(spark, d)
-    asked = _asked(f)
-    observed = _observed(f, ("train",))
-    seen = text.first_seen(f.candidates())
-    targets = feed.candidates(asked).filter("label = 1").join(f.articles.select("news_id"), "news_id", "left_semi").select("impression_id", "news_id").distinct()
-    out = None
-    for parts in (("title",), ("title", "abstract")):
-        weights = text.tfidf(f.articles, observed, parts).persist(StorageLevel.MEMORY_AND_DISK)
-        for name, profiles in (("mean", text.mean_profiles(feed.history(asked), weights, f.articles)), ("recency", text.recency_profiles(feed.history(asked), weights, f.articles, 0.8))):
-            row = text.retrieval_metrics(text.retrieve(profiles, weights, seen, 20), targets, (10, 20)).withColumn("name", F.lit("_".join((*parts, name))))
-            out = row if out is None else out.unionByName(row)
-    order = selection.Selector(("recall_20", "mrr"), largest_name=True, zero_is_missing=True).order()
-    return out.withColumn("place", F.row_number().over(Window.orderBy(*order)).cast("bigint"))  # four rows
-
-
-@query
-def dense_retrieval_quality(spark: SparkSession, d: str) -> DataFrame:
-    """Retrieval by 32-dimensional projections, and what it loses against the sparse vectors."""
-    f, weights = _content(spark, d)
-    articles = projection.dense_articles(weights, _observed(f, ("train",)), 32)
-    asked = _asked(f)
-    numbered = articles.select(F.xxhash64("news_id").alias("vec_id"), "news_id", "embedding")
-    profiles = projection.dense_profiles(feed.history(asked), articles).select(F.col("impression_id").cast("bigint").alias("vec_id"), "embedding")
-    found = dense.top_k(profiles, numbered.select("vec_id", "embedding"), 20).join(numbered.select("vec_id", "news_id"), "vec_id")
-    found = found.select(F.col("query_id").cast("string").alias("impression_id"), "news_id", "rank")
-    targets = feed.candidates(asked).filter("label = 1").join(f.articles.select("news_id"), "news_id", "left_semi").select("impression_id", "news_id").distinct()
-    own = text.retrieval_metrics(found, targets, (10, 20))
-    sparse = text.retrieval_metrics(_retrieved(spark, d, 20)[1], targets, (10, 20))
-    loss = [F.round(F.col(f"own.{m}") - F.col(f"sparse.{m}"), 6).alias(f"{m}_loss") for m in ("recall_10", "recall_20", "mrr")]
-    return own.alias("own").crossJoin(F.broadcast(sparse.alias("sparse"))).select("own.*", *loss)  # single rows
-
-
 # --- dense vectors ---
 
 

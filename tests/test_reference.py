@@ -223,3 +223,88 @@ def test_every_impression_with_known_history_has_a_profile(spark, tmp_path):
     want = {str(k) for k in range(30) if k != 7} | {"seven"}
     for profile in (reference.profile_mean, reference.profile_recency):
         assert {r.impression_id for r in profile(spark, str(tmp_path)).select("impression_id").distinct().collect()} == want
+
+
+NEWS_FIXTURE = [
+    ("N1", "train", 1, "news", "local", "Local one", "Abstract one"), ("N2", "train", 2, "sports", "football", "Football two", "Abstract two"), ("N3", "train", 3, "finance", "markets", "Markets three", "Abstract three"),
+    ("N4", "train", 4, "tech", "ai", "AI four", "Abstract four"), ("N2", "dev", 1, "sports", "football", "Football two duplicate", "Abstract two"), ("N5", "dev", 2, "health", "wellness", "Wellness five", "Abstract five"),
+]
+BEHAVIORS_FIXTURE = [
+    ("1", "U1", 15, 8, "train", 1, "", "N1-1 N2-0"), ("2", "U2", 15, 9, "train", 2, "N1", "N2-1 N3-0"), ("3", "U1", 15, 10, "train", 3, "N1 N2", "N3-0 N4-1"), ("4", "U3", 15, 11, "train", 4, "N2", "N4-0"),
+    ("5", "U4", 15, 12, "train", 5, "N1 N3", "N2-1"), ("6", "U5", 16, 8, "dev", 1, "N1 N2", "N5 N2"), ("7", "U6", 16, 9, "dev", 2, "N3", "N1-0 N5-1"),
+]
+
+
+def fixture(spark, tmp_path):
+    """The small feed of two deliveries, under its delivered split."""
+    from presslake.plans.reference import _Feed
+
+    spark.createDataFrame(NEWS_FIXTURE, "news_id string, source_split string, source_row_number bigint, category string, subcategory string, title string, abstract string").write.parquet(str(tmp_path / "news.parquet"))
+    rows = []
+    for i, u, day, hour, split, n, history, tokens in BEHAVIORS_FIXTURE:
+        own = [(k, t[:2], int(t[3]) if len(t) > 2 else None) for k, t in enumerate(tokens.split())]
+        rows.append((i, u, datetime(2019, 11, day, hour, tzinfo=UTC), split, n, history.split(), own, datetime(2019, 11, 17, tzinfo=UTC)))
+    schema = "impression_id string, user_id string, timestamp timestamp, source_split string, source_row_number bigint, history array<string>, impressions array<struct<position:int,news_id:string,clicked:tinyint>>, ingested_at timestamp"
+    spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / "behaviors.parquet"))
+    f = _Feed(spark, str(tmp_path))
+    f.rows = feed.officially_partitioned(feed.impressions(spark.read.parquet(str(tmp_path / "behaviors.parquet"))))
+    return f
+
+
+def test_official_split_and_integrity(spark, tmp_path):
+    f = fixture(spark, tmp_path)
+    delivered = spark.read.parquet(str(tmp_path / "behaviors.parquet"))
+    assert {r.part: r["count"] for r in f.rows.groupBy("part").count().collect()} == {"train": 4, "validation": 1, "test": 2}
+    assert feed.integrity(f.rows, delivered.unionAll(delivered.limit(1))) == {"shared_users": 0, "repeated_impressions": 1}
+    moved = f.rows.unionByName(f.rows.filter("part = 'test'").replace("test", "train", subset=["part"]))
+    with pytest.raises(ValueError, match="impressions are in several partitions"):
+        feed.integrity(moved, delivered)
+    with pytest.raises(ValueError, match="validation is empty"):
+        feed.integrity(f.rows.filter("part <> 'validation'"), delivered)
+    with pytest.raises(ValueError):
+        feed.officially_partitioned(feed.impressions(delivered.filter("source_split = 'train'")))
+
+
+@pytest.mark.parametrize("blocks", [(1_000, 4_000), (1, 2)])
+def test_golden_retrieval_order(spark, tmp_path, monkeypatch, blocks):
+    """Chosen on validation among the mean and the decay of one half, refitted, and run on test."""
+    from presslake.operators import retrieval, selection
+    from presslake.plans import retrieval as plans
+
+    monkeypatch.setattr(retrieval, "QUERY_BLOCK", blocks[0])
+    monkeypatch.setattr(retrieval, "ARTICLE_BLOCK", blocks[1])
+    f = fixture(spark, tmp_path)
+    grid = plans.grid(("title",), (10,), (None, 0.5))
+    runs = plans.evaluate(plans.Catalog(f, ("train",)), f.rows.filter("part = 'validation'"), grid, 20).withColumnRenamed("configuration", "name")
+    chosen = selection.EXACT_RETRIEVAL.choose(runs).first().name
+    assert chosen == max(grid)  # both find the target, so the larger name wins
+    order = {}
+    for part, fit in (("validation", ("train",)), ("test", ("train", "validation"))):
+        found, _, asked = (catalog := plans.Catalog(f, fit)).search(f.rows.filter(f"part = '{part}'"), {chosen: grid[chosen]}, 20)
+        for r in found.orderBy("impression_id", "retrieved_rank").collect():
+            order.setdefault(r.impression_id, []).append(r.retrieved_news_id)
+        wrong = retrieval.violations(found, asked, catalog.articles, catalog.first_seen).first().asDict()
+        assert wrong.pop("n_retrieved") == {"validation": 2, "test": 7}[part] and not any(wrong.values())
+    assert order == {"5": ["N2", "N4"], "6": ["N3", "N4", "N5"], "7": ["N1", "N2", "N4", "N5"]}
+
+
+def test_eligibility_fallbacks_and_targets(spark, tmp_path):
+    from presslake.operators import retrieval
+    from presslake.plans import retrieval as plans
+
+    f = fixture(spark, tmp_path)
+    found, summary, asked = (catalog := plans.Catalog(f, ("train",))).search(f.rows, plans.grid(("title",), (10,), (None,)), 20)
+    reasons = {r.impression_id: (r.fallback_reason, r.catalog_size) for r in summary.collect()}
+    # At 8:00 only the first two articles were shown; the first reader has no history and gets them by clicks. Equal times are eligible.
+    assert reasons["1"] == ("empty_history", 2) and reasons["2"] == (None, 2) and reasons["5"] == (None, 2)
+    assert [r.retrieved_news_id for r in found.filter("impression_id = '1'").orderBy("retrieved_rank").collect()] == ["N1", "N2"]
+    targets = {r.impression_id: (r.n_targets, list(r.available), r.n_unavailable, r.n_missing) for r in asked.collect()}
+    assert targets["5"] == (1, ["N2"], 0, 0) and targets["6"] == (0, [], 0, 0)
+    m = retrieval.metrics(found, summary, asked, 5).first()
+    assert (m.n_queries, m.n_valid_queries, m.n_no_clicked_target, m.n_no_available_target) == (7, 5, 2, 0) and m.retrieved_history_rate == 0
+    # The first, second, third, fifth and seventh reader find their target at rank 1, 1, 2, 1 and 4 at the latest.
+    ranks = {r.impression_id: r.retrieved_rank for r in found.join(asked, "impression_id").filter("array_contains(available, retrieved_news_id)").collect()}
+    assert m.mrr_100 == pytest.approx(sum(1 / r for r in ranks.values()) / 5, abs=1e-6) and m.recall_20 == 1.0
+    assert m.ndcg_10 == pytest.approx(sum(1 / math.log2(r + 1) for r in ranks.values()) / 5, abs=1e-6)
+    with_history, _, _ = catalog.search(f.rows.filter("impression_id = '5'"), plans.grid(("title",), (10,), (None,)), 20)
+    assert with_history.count() == 2
