@@ -31,6 +31,7 @@ from __future__ import annotations
 import html
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import ahocorasick
 import numpy as np
@@ -159,12 +160,13 @@ _KEYWORD = re.compile(KEYWORDS)
 _MENU = re.compile(MENU)
 _MENU_TAIL = re.compile(rf"(?:^| )(?:{MENU_WORDS})(?:\s*[|·/]\s*(?:{MENU_WORDS}))*\s*[.]?$")
 _FRAMES = re.compile(_FRAME)
-_WORD = re.compile(r"[^\W_]+(?:'[^\W_]+)*")
+_WORD = re.compile(r"[^\W_]+")
 _CUT = re.compile(r"[\r\n]+|(?<=[.!?\u2026])\s+|\s+[\u2013\u2014-]\s+")
 _TAGS = r"(?i)</?(?:p|b|i|u|em|strong|span|div|br|li|ul|ol|h[1-6]|a|td|tr|table)(?:\s[^<>]*)?/?>"
 _TAG = re.compile(_TAGS)
 #: What is masked: tokens with a digit (numbers, dates, times, identifiers), addresses and paths.
 _MASKED = re.compile(r"\d|://|@|^www\.|^/\w+/")
+_MASKABLE = re.compile(r"[\d@/.]")
 _RUNS = sorted({row[i:j] for row in KEYBOARD_ROWS for i in range(len(row)) for j in range(i + 3, len(row) + 1)}, key=lambda r: (-len(r), r))
 _TYPED = re.compile(f"(?:{'|'.join(_RUNS)})+")
 
@@ -215,7 +217,15 @@ def pieces(message: str) -> list[tuple[str, bool]]:
 
 def masked(message: str) -> str:
     """Numbers, dates, identifiers, addresses and paths replaced by one character each."""
-    return " ".join(["\x01" if _MASKED.search(t) else t for t in message.split(" ")]) if _MASKED.search(message) or "/" in message else message
+    if not _MASKABLE.search(message):
+        return message
+    return " ".join(["\x01" if not t.isalpha() and _MASKED.search(t) else t for t in message.split(" ")])
+
+
+@lru_cache(1 << 16)
+def _typed(word: str) -> bool:
+    """Is the word typed along the rows of a keyboard?"""
+    return _TYPED.fullmatch(word) is not None
 
 
 def is_filler(words: list[str]) -> bool:
@@ -223,12 +233,21 @@ def is_filler(words: list[str]) -> bool:
     n = len(words)
     if n >= 6 and len(set(words)) <= 2:
         return True
-    latin = sum(w in LATIN for w in words)
-    if latin > 1 and latin * 10 >= n * 6:
-        return True
-    typed = sum(_TYPED.fullmatch(w) is not None for w in words)
-    neutral = sum(w.isdigit() or w in STAND_INS for w in words)
-    return typed > 0 and n > 1 and (typed + neutral) * 10 >= n * 6 or neutral == n > 1 and not all(w.isdigit() for w in words)
+    if not LATIN.isdisjoint(words):
+        latin = sum(w in LATIN for w in words)
+        if latin > 1 and latin * 10 >= n * 6:
+            return True
+    if n < 2:
+        return False
+    typed = fail = 0
+    for w in words:
+        if _typed(w):
+            typed += 1
+        elif w not in STAND_INS and not w.isdigit():
+            fail += 1
+            if fail * 10 > n * 4:
+                return False
+    return typed > 0 or fail == 0 and not STAND_INS.isdisjoint(words)
 
 
 def judged(text: str, signs: ahocorasick.Automaton) -> tuple[int, dict[str, list[int]]]:
@@ -236,12 +255,15 @@ def judged(text: str, signs: ahocorasick.Automaton) -> tuple[int, dict[str, list
     total, found = 0, {}
     free: list[tuple[str, int]] = []
     n_free = n_latin = 0
+    lowered = text.lower()
+    # Entities may stand for the letters of a sign, blanks may be many; else a text without any sign has no message with one.
+    possible = "&" in lowered or next(signs.iter(" ".join(lowered.split())), None) is not None or ("(" in lowered and _FRAMES.search(lowered) is not None)
     for m in messages(text):
         words = _WORD.findall(m)
         n = len(words)
         if not n or (len(m) < 80 and _MENU.match(m)):
             continue
-        signed = next(signs.iter(m), None) is not None or ("(" in m and _FRAMES.search(m) is not None)
+        signed = possible and (next(signs.iter(m), None) is not None or ("(" in m and _FRAMES.search(m) is not None))
         parts = pieces(m) if signed and not is_filler(words) else [(m, False)]
         for part, phrase in parts:
             own = words if part is m else _WORD.findall(part)
@@ -255,8 +277,7 @@ def judged(text: str, signs: ahocorasick.Automaton) -> tuple[int, dict[str, list
             if not certain and n > 2 and FUNCTION_WORDS.isdisjoint(own):
                 free.append((name, n))
                 n_free += n
-                n_latin += sum(w in LATIN for w in own)
-            elif filler:
+            if (filler or not certain) and not LATIN.isdisjoint(own) and (filler or FUNCTION_WORDS.isdisjoint(own)):
                 n_latin += sum(w in LATIN for w in own)
             entry = found.setdefault(name, [0, 0, 0])
             entry[0] += n
