@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -23,38 +21,47 @@ def _matrix(column: pa.ListArray) -> np.ndarray:
     return flat.reshape(len(column), -1) if len(column) else flat.reshape(0, 0)
 
 
-def top_k(queries: DataFrame, base: DataFrame, k: int, places: int = 6, block: int = 20_000) -> DataFrame:
+#: Products that one group holds at a time (32 MB), for blocks of queries and base.
+CELLS = 4_000_000
+
+
+def _best_of_block(k: int, places: int):
+    """The ``k`` best of a block of the base for each query of a block."""
+
+    def best(key, q: pa.Table, b: pa.Table) -> pa.Table:
+        names = ["query_id", "vec_id", "score"]
+        if not len(q) or not len(b):
+            return pa.table({n: pa.array([], t) for n, t in zip(names, (pa.int64(), pa.int64(), pa.float64()))})
+        b = b.sort_by("vec_id")  # ties go to the smaller id
+        ids, own = q.column("vec_id").to_numpy(), b.column("vec_id").to_numpy()
+        dots = np.round(_matrix(q.column("embedding").combine_chunks()) @ _matrix(b.column("embedding").combine_chunks()).T, places)
+        dots[ids[:, None] == own[None, :]] = -np.inf
+        kept = np.isfinite(dots)
+        if len(own) > k:
+            least = np.partition(dots, -k, axis=1)[:, -k][:, None]
+            above, tied = dots > least, (dots == least) & kept
+            kept &= above | (tied & (np.cumsum(tied, axis=1) <= k - above.sum(axis=1, keepdims=True)))
+        row, column = np.nonzero(kept)
+        return pa.table({"query_id": ids[row], "vec_id": own[column], "score": dots[row, column]})
+
+    return best
+
+
+def top_k(queries: DataFrame, base: DataFrame, k: int, places: int = 6, block: int = 2_000) -> DataFrame:
     """(query_id, vec_id, score, rank): the ``k`` most similar vectors of every query, itself excluded; ties to the smaller id.
 
     ``queries`` and ``base`` hold (vec_id, embedding) of unit length. The
-    queries are a stated set; they meet the base in blocks of ``block``, each
-    block one narrow pass of matrix products that keeps k rows per query and
-    Arrow batch, so nothing grows with the square of the base.
+    queries are a stated set. Blocks of ``block`` queries meet blocks of the base
+    in cogrouped maps of at most CELLS products, which keep k rows per query; the
+    driver sees only the two row counts.
     """
-    found = None
-    n = queries.count()
-    parts = max(1, -(-n // block))
-    for part in range(parts):
-        mine = queries.filter(F.pmod(F.xxhash64("vec_id"), F.lit(parts)) == part).select("vec_id", "embedding").toArrow()
-        ids = mine.column("vec_id").combine_chunks().to_numpy()
-        q = _matrix(mine.column("embedding").combine_chunks()) if len(mine) else np.zeros((0, 0))
-
-        def score(batches: Iterator[pa.RecordBatch], ids=ids, q=q) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                own, b = batch.column(0).to_numpy(), _matrix(batch.column(1))
-                if not len(ids) or not len(own):
-                    continue
-                dots = np.round(q @ b.T, places)
-                dots[ids[:, None] == own[None, :]] = -np.inf
-                order = np.lexsort((np.broadcast_to(own, dots.shape), -dots), axis=1)[:, :k]
-                rows = np.repeat(np.arange(len(ids)), order.shape[1])
-                columns = order.ravel()
-                keep = np.isfinite(dots[rows, columns])
-                rows, columns = rows[keep], columns[keep]
-                yield pa.RecordBatch.from_arrays([pa.array(ids[rows]), pa.array(own[columns]), pa.array(dots[rows, columns])], names=["query_id", "vec_id", "score"])
-
-        out = base.select(F.col("vec_id").cast("bigint"), "embedding").mapInArrow(score, "query_id bigint, vec_id bigint, score double")
-        found = out if found is None else found.unionByName(out)
+    wide = max(1, CELLS // block)
+    n_q, n_b = max(1, -(-queries.count() // block)), max(1, -(-base.count() // wide))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    mine = lambda n: F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int")
+    q = queries.select(F.col("vec_id").cast("bigint").alias("vec_id"), "embedding", mine(n_q).alias("qb"), every(n_b).alias("bb"))
+    b = base.select(F.col("vec_id").cast("bigint").alias("vec_id"), "embedding", mine(n_b).alias("bb"), every(n_q).alias("qb"))
+    found = q.groupBy("qb", "bb").cogroup(b.groupBy("qb", "bb")).applyInArrow(_best_of_block(k, places), "query_id bigint, vec_id bigint, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order).cast("bigint")).filter(F.col("rank") <= k)
 

@@ -8,35 +8,53 @@ from pyspark.sql import functions as F
 from presslake.operators import ranking
 
 
-def prior_clicks(cand: DataFrame) -> DataFrame:
-    """``cand`` with ``prior_clicks``: clicks on the article in impressions before this one, in ordinal order.
+#: Impressions whose rows of one article are sorted by one task at most, half-lives of a time bucket, and buckets that are looked back.
+CHUNK, BUCKET_HALF_LIVES, BUCKETS_BACK = 50_000, 20, 4
+
+
+def click_state(cand: DataFrame, half_life_hours: float) -> DataFrame:
+    """``cand`` with ``prior_clicks`` and ``prior_decayed``: the clicks on the article in impressions before this one, in ordinal order.
 
-    A RANGE frame on the ordinal leaves out the impression itself, also when it
-    shows the article twice.
+    The decayed sum weighs a click by 0.5^(hours since / half-life). The
+    impression itself is left out, also when it shows the article twice;
+    earlier impressions of the same time count.
+
+    Clicks are combined per (article, time bucket, chunk of ordinals). Inside a
+    chunk a running sum is taken of clicks scaled to the bucket's start, so that
+    it decays by one factor; earlier chunks of the bucket and the buckets before
+    come as totals. Clicks of more than ``BUCKETS_BACK`` buckets before weigh
+    less than 2^-80 and can't show in the nine places kept. Work grows with the
+    rows, and no task sorts more of an article than a chunk.
     """
-    before = Window.partitionBy("news_id").orderBy("ordinal").rangeBetween(Window.unboundedPreceding, -1)
+    span = int(BUCKET_HALF_LIVES * half_life_hours * 3_600_000_000)
+    rows = cand.withColumns({"_b": F.expr(f"(ts_us - pmod(ts_us, {span}L)) div {span}L"), "_c": F.expr(f"ordinal div {CHUNK}")})
+    scaled = F.pow(F.lit(2.0), (F.col("ts_us") - F.col("_b") * F.lit(span)) / 3.6e9 / half_life_hours)
     clicked = F.when(F.col("label") == 1, 1).otherwise(0)
-    return cand.withColumn("prior_clicks", F.coalesce(F.sum(clicked).over(before), F.lit(0)).cast("bigint"))
+    rows = rows.withColumns({"_n": clicked, "_w": clicked * scaled, "_f": scaled})
+    chunks = rows.filter("_n > 0").groupBy("news_id", "_b", "_c").agg(F.sum("_n").alias("n"), F.sum("_w").alias("w"))
+    # Every (article, bucket, chunk) with candidates needs the totals before it, whether it has clicks or not.
+    places = rows.select("news_id", "_b", "_c").distinct().join(chunks, ["news_id", "_b", "_c"], "left").fillna(0, ["n", "w"])
+    in_bucket = Window.partitionBy("news_id", "_b").orderBy("_c").rowsBetween(Window.unboundedPreceding, -1)
+    places = places.withColumns({"n_before": F.coalesce(F.sum("n").over(in_bucket), F.lit(0)), "w_before": F.coalesce(F.sum("w").over(in_bucket), F.lit(0.0))})
+    buckets = places.groupBy("news_id", "_b").agg(F.sum("n").alias("n"), F.sum("w").alias("w"))
+    order = Window.partitionBy("news_id").orderBy("_b")
+    back = [F.coalesce(F.sum("w").over(order.rangeBetween(-k, -k)), F.lit(0.0)) * 2.0 ** (-BUCKET_HALF_LIVES * k) for k in range(1, BUCKETS_BACK + 1)]
+    earlier = buckets.select("news_id", "_b", F.coalesce(F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("n_earlier"), sum(back, F.lit(0.0)).alias("w_earlier"))
+    totals = places.join(earlier, ["news_id", "_b"]).select("news_id", "_b", "_c", (F.col("n_before") + F.col("n_earlier")).alias("_n0"), (F.col("w_before") + F.col("w_earlier")).alias("_w0"))
+    own = Window.partitionBy("news_id", "_b", "_c").orderBy("ordinal").rangeBetween(Window.unboundedPreceding, -1)
+    out = rows.withColumns({"_n1": F.coalesce(F.sum("_n").over(own), F.lit(0)), "_w1": F.coalesce(F.sum("_w").over(own), F.lit(0.0))}).join(totals, ["news_id", "_b", "_c"])
+    out = out.withColumns({"prior_clicks": (F.col("_n0") + F.col("_n1")).cast("bigint"), "prior_decayed": F.round((F.col("_w0") + F.col("_w1")) / F.col("_f"), 9)})
+    return out.drop("_b", "_c", "_n", "_w", "_f", "_n0", "_w0", "_n1", "_w1")
 
 
-def prior_decayed_clicks(cand: DataFrame, half_life_hours: float) -> DataFrame:
-    """``cand`` with ``prior_decayed``: sum of 0.5^(hours since / half-life) over the earlier clicks on the article.
+def prior_clicks(cand: DataFrame) -> DataFrame:
+    """``cand`` with ``prior_clicks`` alone."""
+    return click_state(cand, 24.0).drop("prior_decayed")
 
-    Clicks are first combined per (article, impression), then joined on the
-    article with an earlier ordinal. Clicks older than 60 half-lives weigh less
-    than 1e-18 and can't show in the nine places kept; both sides are therefore
-    bucketed by 60 half-lives and joined with the own and the previous bucket
-    only, which splits popular articles over time.
-    """
-    span = int(60 * half_life_hours * 3_600_000_000)
-    bucket = F.expr(f"(ts_us - pmod(ts_us, {span}L)) div {span}L")
-    click = cand.filter("label = 1").groupBy("news_id", "ordinal", "ts_us").agg(F.count(F.lit(1)).alias("_n"))
-    click = click.select("news_id", F.col("ordinal").alias("_o"), F.col("ts_us").alias("_t"), "_n", F.explode(F.array(bucket, bucket + 1)).alias("_b"))
-    rows = cand.select("impression_id", "ordinal", "ts_us", "news_id").distinct().withColumn("_b", bucket)
-    pairs = rows.join(click, ["news_id", "_b"]).filter("_o < ordinal")
-    weight = F.col("_n") * F.pow(F.lit(0.5), (F.col("ts_us") - F.col("_t")) / 3.6e9 / half_life_hours)
-    sums = pairs.groupBy("impression_id", "news_id").agg(F.round(F.sum(weight), 9).alias("prior_decayed"))
-    return cand.join(sums, ["impression_id", "news_id"], "left").withColumn("prior_decayed", F.coalesce("prior_decayed", F.lit(0.0)))
+
+def prior_decayed_clicks(cand: DataFrame, half_life_hours: float) -> DataFrame:
+    """``cand`` with ``prior_decayed``; ``prior_clicks`` of ``cand`` stay if it has them."""
+    return click_state(cand.drop("prior_clicks"), half_life_hours) if "prior_clicks" in cand.columns else click_state(cand, half_life_hours).drop("prior_clicks")
 
 
 def fitted_clicks(cand: DataFrame, fit: DataFrame, half_life_hours: float) -> DataFrame:
@@ -58,7 +76,7 @@ def feature_table(cand: DataFrame, rows: DataFrame, articles: DataFrame, observe
     seen = hist.select("impression_id", "news_id").distinct().withColumn("seen", F.lit(1))
     sizes = rows.select("impression_id", F.size("history").alias("length"))
     fitted = articles.join(observed, "news_id", "left_semi")
-    clicked = prior_decayed_clicks(prior_clicks(cand), half_life_hours) if fit is None else fitted_clicks(cand, fit, half_life_hours)
+    clicked = click_state(cand, half_life_hours) if fit is None else fitted_clicks(cand, fit, half_life_hours)
     out = clicked.join(articles, "news_id")
     for column in ("category", "subcategory"):
         counts = ranking.history_counts(hist, articles, column).withColumnRenamed("n", f"{column}_history")

@@ -64,19 +64,47 @@ def by_category_affinity(cand: DataFrame, hist: DataFrame, articles: DataFrame,
     return joined.withColumn("score", score.cast("double")).drop("_c", "_s")
 
 
+#: An impression is heavy if it holds more than 1/HEAVY of all rows; there are fewer than HEAVY of them. Score bands of a heavy one.
+HEAVY, BANDS = 512, 64
+
+
+def _ranks(scored: DataFrame) -> DataFrame:
+    """``scored`` with rank (score descending, then position), n rows of the impression, and of its tied block the rows and the first rank.
+
+    A heavy impression is ranked in bands of its score, shifted by the rows of
+    the bands above, so that no task sorts it whole; equal scores share a band.
+    """
+    total = scored.count()
+    heavy = [r.impression_id for r in scored.groupBy("impression_id").count().filter(F.col("count") * HEAVY > max(total, HEAVY * 1000)).select("impression_id").collect()]
+
+    def within(df: DataFrame, *band: str) -> DataFrame:
+        out = df.withColumn("rank", F.row_number().over(Window.partitionBy("impression_id", *band).orderBy(F.desc("score"), "position")).cast("bigint"))
+        tie = Window.partitionBy("impression_id", *band, "score")
+        return out.withColumns({"ties": F.count(F.lit(1)).over(tie), "first": F.min("rank").over(tie), "n": F.count(F.lit(1)).over(Window.partitionBy("impression_id", *band))})
+
+    if not heavy:
+        return within(scored)
+    is_heavy = F.coalesce(F.col("impression_id").isin(heavy), F.lit(False))
+    hot = scored.filter(is_heavy)
+    edges = sorted({e for e in hot.filter("score IS NOT NULL AND NOT isnan(score)").agg(F.percentile_approx("score", [k / BANDS for k in range(1, BANDS)], 10_000).alias("e")).first().e or []}, reverse=True)
+    band = F.lit(len(edges))
+    for k, e in reversed(list(enumerate(edges))):
+        band = F.when(F.col("score") >= e, k).otherwise(band)  # NaN is above all, as in the order
+    banded = hot.withColumn("_band", F.when(F.col("score").isNull(), len(edges) + 1).otherwise(band))
+    sizes = banded.groupBy("impression_id", "_band").agg(F.count(F.lit(1)).alias("_c"))
+    whole = Window.partitionBy("impression_id")  # of a few bands
+    sizes = sizes.select("impression_id", "_band", F.coalesce(F.sum("_c").over(whole.orderBy("_band").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_above"), F.sum("_c").over(whole).alias("_n"))
+    own = within(banded, "_band").join(F.broadcast(sizes), ["impression_id", "_band"])  # fewer than HEAVY x (BANDS + 2) rows
+    shifted = own.withColumns({"rank": F.col("rank") + F.col("_above"), "first": F.col("first") + F.col("_above"), "n": F.col("_n")}).drop("_band", "_above", "_n")
+    return within(scored.filter(~is_heavy)).unionByName(shifted)
+
+
 def impression_metrics(scored: DataFrame, carry: tuple[str, ...] = ("part",)) -> DataFrame:
     """One row per impression: skipped (reason or NULL), the metrics, and auc (NULL with one class).
 
     Ranks are exact; the AUC is the rank-sum form with ties at half.
     """
-    by = Window.partitionBy("impression_id")
-    r = ranked(scored).withColumns(
-        {
-            "ties": F.count(F.lit(1)).over(Window.partitionBy("impression_id", "score")),
-            "first": F.min("rank").over(Window.partitionBy("impression_id", "score")),
-            "n": F.count(F.lit(1)).over(by),
-        }
-    )
+    r = _ranks(scored)
     # Ascending average rank of a tied block that begins at descending rank ``first``.
     ascending = F.col("n") - F.col("first") - (F.col("ties") - 1) / 2.0 + 1.0
     positive = F.col("label") == 1

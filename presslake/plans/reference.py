@@ -374,13 +374,13 @@ def ann_agreement(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def prior_clicks(spark: SparkSession, d: str) -> DataFrame:
-    out = features.prior_clicks(_Feed(spark, d).candidates())
+    out = features.click_state(_Feed(spark, d).candidates(), 24.0)
     return out.select("impression_id", F.col("position").cast("bigint").alias("position"), "news_id", "prior_clicks")
 
 
 @query
 def prior_decayed_clicks(spark: SparkSession, d: str) -> DataFrame:
-    out = features.prior_decayed_clicks(_Feed(spark, d).candidates(), 24.0)
+    out = features.click_state(_Feed(spark, d).candidates(), 24.0)
     return out.select("impression_id", F.col("position").cast("bigint").alias("position"), "news_id", F.round("prior_decayed", 6).alias("prior_decayed"))
 
 

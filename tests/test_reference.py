@@ -308,3 +308,33 @@ def test_eligibility_fallbacks_and_targets(spark, tmp_path):
     assert m.ndcg_10 == pytest.approx(sum(1 / math.log2(r + 1) for r in ranks.values()) / 5, abs=1e-6)
     with_history, _, _ = catalog.search(f.rows.filter("impression_id = '5'"), plans.grid(("title",), (10,), (None,)), 20)
     assert with_history.count() == 2
+
+
+def test_click_state_over_chunks_and_buckets(spark, monkeypatch):
+    """Against a plain sum over all earlier clicks, with small chunks, many buckets, ties in time and repeated articles."""
+    import random
+
+    rng = random.Random(1)
+    at, rows = 0, []
+    for o in range(300):
+        at += rng.choice([0, 0, HOUR, 7 * HOUR, 300 * HOUR])
+        rows += [(str(o), o + 1, at, p, rng.choice("AAAB"), rng.choice([0, 1, None])) for p in range(rng.randint(1, 4))]
+    for chunk in (7, 50_000):
+        monkeypatch.setattr(features, "CHUNK", chunk)
+        got = {(r.impression_id, r.position): (r.prior_clicks, r.prior_decayed) for r in features.click_state(cand(spark, rows), 24.0).collect()}
+        assert len(got) == len(rows)
+        for i, o, t, p, n, _ in rows:
+            before = [u for _, q, u, _, m, label in rows if m == n and q < o and label == 1]
+            assert got[i, p][0] == len(before) and got[i, p][1] == pytest.approx(sum(0.5 ** ((t - u) / HOUR / 24) for u in before), abs=2e-9)
+
+
+def test_heavy_impressions_are_ranked_in_bands(spark, monkeypatch):
+    import random
+
+    rng = random.Random(2)
+    rows = [("hot", "p", k, rng.choice([0, 1]), rng.choice([rng.random(), 0.5, 0.25])) for k in range(3000)]
+    rows += [(f"i{k % 40}", "p", k, rng.choice([0, 1]), rng.random()) for k in range(400)] + [("hot", "p", 3000 + k, 0, x) for k, x in enumerate([float("inf"), -1.0])]
+    plain = sorted(map(tuple, ranking._ranks(scored(spark, rows)).collect()))
+    monkeypatch.setattr(ranking, "HEAVY", 3)
+    banded = ranking._ranks(scored(spark, rows))
+    assert sorted(map(tuple, banded.select(*ranking._ranks(scored(spark, rows[:5])).columns).collect())) == plain
