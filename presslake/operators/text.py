@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -50,6 +52,57 @@ def recency_profiles(hist: DataFrame, weights: DataFrame, known: DataFrame, deca
     return sums.join(total, "impression_id").select("impression_id", "term", F.round(F.col("_s") / F.col("_t"), PLACES).alias("weight"))
 
 
+#: Impressions whose histories and candidates are scored by one task at a time.
+IMPRESSION_BLOCK = 500
+
+
+def _similarities(block: pd.DataFrame) -> pd.DataFrame:
+    """Cosines of candidates and mean histories of a block of impressions; entries of history have side 0, candidates side 1."""
+    imp, names = pd.factorize(block["impression_id"])
+    side, often = block["side"].to_numpy(), block["m"].to_numpy(dtype=float)
+    sizes = block["terms"].map(len).to_numpy()
+    row = np.repeat(np.arange(len(block)), sizes)
+    some = block[sizes > 0]
+    term = pd.factorize(np.concatenate(some["terms"].to_list()))[0] if len(some) else np.array([], np.int64)
+    weight = np.concatenate(some["weights"].to_list()).astype(float) if len(some) else np.array([], float)
+    key = imp[row].astype(np.int64) * (int(term.max(initial=0)) + 1) + term
+    read = side[row] == 0
+    known = np.bincount(imp[side == 0], often[side == 0], minlength=len(names))
+    own, at = np.unique(key[read], return_inverse=True)
+    of = np.zeros(len(own), np.int64)
+    of[at] = imp[row[read]]
+    profile = np.round(np.bincount(at, often[row[read]] * weight[read], minlength=len(own)) / known[of], PLACES) if len(own) else np.array([], float)
+    norm = np.sqrt(np.bincount(of, profile * profile, minlength=len(names)))
+    asked = np.flatnonzero(~read)
+    place = np.searchsorted(own, key[asked])
+    met = place < len(own)
+    met[met] = own[place[met]] == key[asked][met]
+    dots = np.bincount(row[asked[met]], profile[place[met]] * weight[asked[met]], minlength=len(block))
+    length = norm[imp]
+    score = np.where(length > 0, np.round(dots / np.where(length > 0, length, 1.0), 6), 0.0)
+    out = side == 1
+    return pd.DataFrame({"impression_id": block["impression_id"][out], "news_id": block["news_id"][out], "score": score[out]})
+
+
+def history_similarity(rows: DataFrame, weights: DataFrame, known: DataFrame) -> DataFrame:
+    """(impression_id, news_id, score): the cosine of each known candidate and the mean vector of the known history entries, which count as often as they are there.
+
+    ``rows`` hold impression_id, history and candidates. Every article's vector
+    is one row; it meets the entries by id, and entries are gathered in blocks of
+    impressions, where dot products are taken. No term is a join key.
+    """
+    pairs = F.array_sort(F.collect_list(F.struct("term", "weight")))
+    vector = known.select("news_id").join(weights.groupBy("news_id").agg(pairs.alias("v")), "news_id", "left")
+    empty = F.array().cast("array<struct<term:string,weight:double>>")
+    vector = vector.withColumn("v", F.coalesce("v", empty)).select("news_id", F.transform("v", lambda x: x.term).alias("terms"), F.transform("v", lambda x: x.weight).alias("weights"))
+    read = rows.select("impression_id", F.lit(0).alias("side"), F.explode("history").alias("news_id")).groupBy("impression_id", "side", "news_id").agg(F.count(F.lit(1)).alias("m"))
+    shown = rows.select("impression_id", F.lit(1).alias("side"), F.explode(F.array_distinct(F.transform("candidates", lambda c: c.news_id))).alias("news_id"), F.lit(1).cast("bigint").alias("m"))
+    entries = read.unionByName(shown).join(vector, "news_id")
+    blocks = max(1, -(-rows.count() // IMPRESSION_BLOCK))
+    keyed = entries.withColumn("_b", F.pmod(F.xxhash64("impression_id"), F.lit(blocks)))
+    return keyed.groupBy("_b").applyInPandas(_similarities, "impression_id string, news_id string, score double")
+
+
 def first_seen(cand: DataFrame) -> DataFrame:
     """(news_id, first_us): the first impression that shows an article."""
     return cand.groupBy("news_id").agg(F.min("ts_us").alias("first_us"))

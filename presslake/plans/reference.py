@@ -20,7 +20,7 @@ def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession
     return f
 
 
-class _Feed:
+class _Views:
     """The views most queries start from; all lazy. The split rows are read by several branches of a query and kept between them."""
 
     def __init__(self, spark: SparkSession, d: str):
@@ -34,6 +34,23 @@ class _Feed:
         return feed.history(self.rows.filter(F.col("part").isin(*parts)) if parts else self.rows)
 
 
+_LATEST: dict[tuple[str, str], _Views] = {}
+
+
+def _Feed(spark: SparkSession, d: str) -> _Views:  # noqa: N802
+    """The views of a folder; those of another folder or session are released, so that a session keeps one split at most."""
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _LATEST:
+        for old in _LATEST.values():
+            try:
+                old.rows.unpersist()
+            except Exception:  # noqa: BLE001  the session of the old views has ended
+                pass
+        _LATEST.clear()
+        _LATEST[key] = _Views(spark, d)
+    return _LATEST[key]
+
+
 # --- audit, split, integrity ---
 
 
@@ -76,6 +93,21 @@ def split_summary(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+@query
+def split_official(spark: SparkSession, d: str) -> DataFrame:
+    """The delivered split: four fifths of the train delivery in time order are train, the rest validation, dev is test."""
+    rows = feed.officially_partitioned(feed.impressions(table(spark, d, "behaviors")))
+    return rows.select("impression_id", F.col("ordinal").cast("bigint").alias("ordinal"), "part")
+
+
+@query
+def integrity_checks(spark: SparkSession, d: str) -> DataFrame:
+    """Counts that are reported of a valid split; an invalid one raises."""
+    f = _Feed(spark, d)
+    counts = feed.integrity(f.rows, table(spark, d, "behaviors"))
+    return spark.createDataFrame(sorted(counts.items()), "violation string, n bigint")
+
+
 @query
 def integrity_overlaps(spark: SparkSession, d: str) -> DataFrame:
     """Users that several partitions share, per pair; impressions must not (column stays 0)."""
@@ -160,21 +192,16 @@ def _scored(spark: SparkSession, d: str, name: str, fit: tuple[str, ...], on: tu
     raise ValueError(f"unknown baseline {name}")
 
 
-def _observed(f: _Feed, fit: tuple[str, ...]) -> DataFrame:
+def _observed(f: _Views, fit: tuple[str, ...]) -> DataFrame:
     return f.candidates(*fit).select("news_id").unionByName(f.history(*fit).select("news_id")).distinct()
 
 
-def _tfidf_scored(f: _Feed, cand: DataFrame, fit: tuple[str, ...], on: tuple[str, ...]) -> DataFrame:
+def _tfidf_scored(f: _Views, cand: DataFrame, fit: tuple[str, ...], on: tuple[str, ...]) -> DataFrame:
     """Cosine of the mean history vector and the candidate; 0 for articles the fit hasn't seen."""
-    observed = _observed(f, fit).persist(StorageLevel.MEMORY_AND_DISK)
-    weights = text.tfidf(f.articles, observed).join(observed, "news_id", "left_semi").persist(StorageLevel.MEMORY_AND_DISK)
+    observed = _observed(f, fit)
+    weights = text.tfidf(f.articles, observed).join(observed, "news_id", "left_semi")
     known = f.articles.join(observed, "news_id", "left_semi")
-    profiles = text.mean_profiles(f.history(*on), weights, known)
-    norms = profiles.groupBy("impression_id").agg(F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("l"))
-    left = profiles.select("impression_id", "term", F.col("weight").alias("p"))
-    shown = cand.select("impression_id", "news_id").distinct().join(weights, "news_id")
-    dots = shown.join(left, ["impression_id", "term"]).groupBy("impression_id", "news_id").agg(F.sum(F.col("p") * F.col("weight")).alias("dot"))
-    score = dots.join(norms, "impression_id").select("impression_id", "news_id", F.round(F.col("dot") / F.col("l"), 6).alias("score"))
+    score = text.history_similarity(f.rows.filter(F.col("part").isin(*on)), weights, known)
     return cand.join(score, ["impression_id", "news_id"], "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
 
 
@@ -293,9 +320,9 @@ def score_ties(spark: SparkSession, d: str) -> DataFrame:
 # --- text, profiles, retrieval ---
 
 
-def _content(spark: SparkSession, d: str) -> tuple[_Feed, DataFrame]:
+def _content(spark: SparkSession, d: str) -> tuple[_Views, DataFrame]:
     f = _Feed(spark, d)
-    return f, text.tfidf(f.articles, _observed(f, ("train",))).persist(StorageLevel.MEMORY_AND_DISK)
+    return f, text.tfidf(f.articles, _observed(f, ("train",)))
 
 
 @query
@@ -436,7 +463,7 @@ def slice_metrics(spark: SparkSession, d: str) -> DataFrame:
     return monitoring.slices(per.join(top, "impression_id").join(sizes, "impression_id"), ["mrr", "ndcg_10", "auc"])
 
 
-def _profile(f: _Feed, part: str) -> dict[str, DataFrame]:
+def _profile(f: _Views, part: str) -> dict[str, DataFrame]:
     rows = f.rows.filter(F.col("part") == part)
     shown = feed.candidates(rows).join(f.articles, "news_id")
     return {

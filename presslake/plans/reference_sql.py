@@ -112,6 +112,13 @@ ORACLES: dict[str, str] = {
     "split_summary": FEED
     + """SELECT part, count(*) AS n_rows, min(ts_us) AS first_us, max(ts_us) AS last_us, CAST(sum(len(list_filter(impressions, lambda c: c.clicked = 1))) AS BIGINT) AS clicked,
   CAST(sum(len(list_filter(impressions, lambda c: c.clicked = 0))) AS BIGINT) AS not_clicked, CAST(sum(len(list_filter(impressions, lambda c: c.clicked IS NULL))) AS BIGINT) AS unlabeled FROM split GROUP BY 1""",
+    "split_official": FEED
+    + """, n AS (SELECT greatest(least(CAST(floor(count(*) * 0.8::DOUBLE) AS BIGINT), count(*) - 1), 1) AS b FROM imp WHERE source_split = 'train'),
+r AS (SELECT impression_id, source_split, row_number() OVER (PARTITION BY source_split ORDER BY ts_us, source_row_number, impression_id) AS ordinal FROM imp WHERE source_split IN ('train', 'dev'))
+SELECT impression_id, ordinal, CASE WHEN source_split = 'dev' THEN 'test' WHEN ordinal <= b THEN 'train' ELSE 'validation' END AS part FROM r CROSS JOIN n""",
+    "integrity_checks": FEED
+    + """SELECT 'repeated_impressions' AS violation, (SELECT count(*) FROM (SELECT impression_id FROM behaviors WHERE impression_id IS NOT NULL GROUP BY 1 HAVING count(*) > 1)) AS n
+  UNION ALL SELECT 'shared_users', (SELECT count(*) FROM (SELECT user_id FROM split WHERE user_id <> '' GROUP BY 1 HAVING count(DISTINCT part) > 1))""",
     "integrity_overlaps": FEED
     + """, u AS (SELECT DISTINCT part, user_id FROM split WHERE user_id <> '') SELECT a.part AS first, b.part AS second, count(*) AS shared_users,
   (SELECT count(*) FROM (SELECT impression_id FROM split GROUP BY 1 HAVING count(DISTINCT part) > 1)) AS shared_impressions FROM u a JOIN u b ON a.user_id = b.user_id AND a.part < b.part GROUP BY 1, 2""",

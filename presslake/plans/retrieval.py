@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from presslake.operators import projection, ranking, retrieval, selection, text
-from presslake.plans.reference import _Feed, _observed
+from presslake.plans.reference import _Feed, _observed, _Views
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -43,7 +43,7 @@ def grid(texts: tuple[str, ...] = tuple(TEXTS), lengths: tuple = LENGTHS, decays
     return {configuration_name(t, n, d): (t, n, d) for t in texts for n in lengths for d in decays}
 
 
-def asked_of(f: _Feed, *parts: str) -> DataFrame:
+def asked_of(f: _Views, *parts: str) -> DataFrame:
     """The query set of the searches: the impressions of the partitions whose number is divisible by 20."""
     rows = f.rows.filter("try_cast(impression_id AS BIGINT) % 20 = 0")
     return rows.filter(F.col("part").isin(*parts)) if parts else rows
@@ -52,7 +52,7 @@ def asked_of(f: _Feed, *parts: str) -> DataFrame:
 class Catalog:
     """What the searches of one fit need: availability and clicks of the fitting partitions; texts are weighted on demand."""
 
-    def __init__(self, f: _Feed, fit: tuple[str, ...]):
+    def __init__(self, f: _Views, fit: tuple[str, ...]):
         self.feed, self.fit = f, fit
         self.first_seen = retrieval.availability(f.rows)
         self.clicks = ranking.clicks(f.candidates(*fit))
