@@ -143,6 +143,13 @@ def parsed_timestamp(value: Column) -> Column:
     return let(F.split(parts, ",", -1), lambda p: let(F.when(p.isNotNull(), instant(p)), micros))
 
 
+def _once(df: DataFrame, **columns: Column) -> DataFrame:
+    """``df`` with columns that are evaluated once a row: what is read of them, filters included, isn't pushed below an explosion."""
+    names = {f"_once_{k}": c for k, c in columns.items()}
+    wide = df.drop(*columns).withColumn("_once", F.explode(F.array(F.struct(*[c.alias(k) for k, c in names.items()]))))
+    return wide.withColumns({k: F.col(f"_once._once_{k}") for k in columns}).drop("_once")
+
+
 #: The name of what is broken after the last column.
 BEYOND = "(beyond the last column)"
 
@@ -155,13 +162,13 @@ def parse_lines(df: DataFrame, feed: Feed, line: str = "line") -> DataFrame:
     fields are NULL where the reason is quote or columns.
     """
     text = F.coalesce(F.col(line), F.lit(""))
-    whole = df.withColumns({"_text": text, "_whole": text.rlike(feed.whole_row())})
-    sound = whole.withColumn("_sound", F.col("_whole") | F.col("_text").rlike(STRUCTURE))
-    split = sound.withColumn("_fields", F.when(F.col("_sound"), fields_of(F.col("_text"))))
+    whole = _once(df, _text=text, _whole=text.rlike(feed.whole_row()))
+    sound = F.col("_whole") | F.col("_text").rlike(STRUCTURE)
+    split = _once(whole, _fields=F.when(sound, fields_of(F.col("_text"))))
     n = len(feed.columns)
     named = F.struct(*[trimmed(unquoted(F.get(F.col("_fields"), i))).alias(c) for i, c in enumerate(feed.columns)])
-    out = split.withColumn("fields", F.when(F.coalesce(F.size("_fields") == n, F.lit(False)), named))
-    out = out.withColumn("parsed_at", parsed_timestamp(F.col(f"fields.{feed.timestamp}")) if feed.timestamp else F.lit(None).cast("timestamp"))
+    out = _once(split, _sound=F.col("_fields").isNotNull(), fields=F.when(F.coalesce(F.size("_fields") == n, F.lit(False)), named))
+    out = _once(out, parsed_at=parsed_timestamp(F.col(f"fields.{feed.timestamp}")) if feed.timestamp else F.lit(None).cast("timestamp"))
 
     def first_failing(prefixes: list[str], otherwise: Column, checks: dict[str, Column] | None = None) -> Column:
         """The column of the first prefix that the line doesn't match; ``checks`` holds a further condition of a column."""
@@ -181,13 +188,13 @@ def parse_lines(df: DataFrame, feed: Feed, line: str = "line") -> DataFrame:
         .when(F.col("fields").isNull(), missing)
         .otherwise(of_values)
     )
-    out = out.withColumn("first_broken_field", broken)
+    out = _once(out, first_broken_field=broken)
     field = F.col("first_broken_field")
     reason = F.when(~F.col("_sound"), "quote").when(F.col("fields").isNull(), "columns").when(field.isin(*feed.ids), "id")
     for c, name in ((feed.timestamp, "timestamp"), (feed.tokens, "impressions")):
         if c:
             reason = reason.when(field == c, name)
-    return out.withColumn("reason", reason).drop("_text", "_whole", "_sound", "_fields")
+    return _once(out, reason=reason).drop("_text", "_whole", "_sound", "_fields")
 
 
 def failures(df: DataFrame, feed: Feed, keys: list[str], broken_field: bool = False) -> DataFrame:
