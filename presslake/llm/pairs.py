@@ -23,6 +23,8 @@ from presslake.session import StagedTable, cut
 
 #: Items of a basket that one task enumerates alone, and items of a chunk of a larger one.
 LARGE, CHUNK = 2_000, 500
+#: Rare items leave by the bitmap only if they hold more than this share of all items of baskets; else the exact counts at the end are cheaper.
+RARE_SHARE = 0.05
 #: Bits per item that stays, and bits of the bitmap at most (a megabyte).
 BITS_PER_ITEM, MOST_BITS = 16, 1 << 23
 
@@ -68,23 +70,27 @@ def pair_scores(df: DataFrame, record: str, items: list, min_count: int, min_lif
     # Items too common for the lift: fewer than min_lift times the average basket size, as their counts sum to n times that.
     common = [r.x for r in counts.read().filter(F.col("c") * min_lift > total).select("x").collect()]
     singles = counts.read().filter((F.col("c") >= min_count) & (F.col("c") * min_lift <= total))
-    n_singles = singles.count()
+    shares = counts.read().agg(F.sum(F.when(F.col("c") < min_count, F.col("c")).otherwise(0)).alias("rare"), F.sum("c").alias("all"), F.count(F.lit(1)).alias("n")).first()
+    n_singles = shares.n
+    sift = (shares.rare or 0) > RARE_SHARE * (shares.all or 1)
     bits = max(64, min(MOST_BITS, 1 << (max(1, n_singles * BITS_PER_ITEM) - 1).bit_length()))
-    held = weighted.read().crossJoin(F.broadcast(_bitmap(singles.select("x"), bits)))  # a single row
+    held = weighted.read().crossJoin(F.broadcast(_bitmap(singles.select("x"), bits))) if sift else weighted.read()  # a single row
 
     def stays(x):
+        if not sift:
+            return ~x.isin(common)
         p = F.pmod(F.xxhash64(x), F.lit(bits))
         word = F.get("m", F.floor(p / 64).cast("int"))
         kept = F.getbit(word, (p % 64).cast("int")) == 1
         return kept & ~x.isin(common) if common else kept
 
-    cleaned = held.select("w", F.filter("b", stays).alias("b")).filter(F.size("b") > 1)
+    cleaned = held.select("w", (F.filter("b", stays) if sift or common else F.col("b")).alias("b")).filter(F.size("b") > 1)
     small = (
         cleaned.filter(F.size("b") <= LARGE)
         .select("w", F.col("b"), F.posexplode("b").alias("i", "item_a"))
         .select("w", "item_a", F.explode(F.expr("slice(b, i + 2, size(b))")).alias("item_b"))
     )
-    chunks = F.transform(F.sequence(F.lit(1), F.size("b"), F.lit(CHUNK)), lambda i: F.slice("b", i, F.lit(CHUNK)))
+    chunks = F.transform(F.sequence(F.lit(1), F.greatest(F.size("b"), F.lit(1)), F.lit(CHUNK)), lambda i: F.slice("b", i, F.lit(CHUNK)))
     large = (
         cleaned.filter(F.size("b") > LARGE)
         .select("w", chunks.alias("c"))

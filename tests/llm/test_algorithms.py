@@ -129,11 +129,11 @@ def test_large_baskets_are_cut_into_chunks(spark):
     rows = [(r, big) for r in range(3)] + [(10 + r, rng.sample(big, 8) + [f"rare{r}"]) for r in range(40)] + [(100 + r, []) for r in range(60)]
     df = spark.createDataFrame(rows, "r int, items array<string>")
     got = {}
-    for large, chunk in ((2_000, 500), (20, 7)):
-        kept = pairs.LARGE, pairs.CHUNK
-        pairs.LARGE, pairs.CHUNK = large, chunk
+    for large, chunk, share in ((2_000, 500, 1.0), (20, 7, 0.0)):
+        kept = pairs.LARGE, pairs.CHUNK, pairs.RARE_SHARE
+        pairs.LARGE, pairs.CHUNK, pairs.RARE_SHARE = large, chunk, share
         got[large] = sorted((x.item_a, x.item_b, x.n_both) for x in pairs.pair_scores(df, "r", [df["items"]], 3, 1).collect())
-        pairs.LARGE, pairs.CHUNK = kept
+        pairs.LARGE, pairs.CHUNK, pairs.RARE_SHARE = kept
     counts = {}
     for _, items in rows:
         for pair in itertools.combinations(sorted(set(items)), 2):
