@@ -114,8 +114,8 @@ FEATURES = [
 ]
 
 
-def fit_ranker(features: DataFrame, kind: str = "logistic"):
-    """A pointwise ranker on the labeled rows: standardised logistic regression or boosted trees, classes balanced by weight."""
+def fit_ranker(features: DataFrame, kind: str = "logistic", c: float = 1.0, learning_rate: float = 0.1):
+    """A pointwise ranker on the labeled rows: standardised logistic regression with inverse penalty ``c``, or 50 boosted trees of at most 16 leaves, classes balanced by weight."""
     from pyspark.ml import Pipeline
     from pyspark.ml.classification import GBTClassifier, LogisticRegression
     from pyspark.ml.feature import StandardScaler, VectorAssembler
@@ -131,10 +131,10 @@ def fit_ranker(features: DataFrame, kind: str = "logistic"):
         stages = [
             assemble,
             StandardScaler(inputCol="raw", outputCol="features", withMean=True, withStd=True),
-            LogisticRegression(featuresCol="features", labelCol="y", weightCol="w", regParam=1.0 / n, maxIter=100),
+            LogisticRegression(featuresCol="features", labelCol="y", weightCol="w", regParam=1.0 / (c * n), maxIter=300),
         ]
     else:
-        stages = [assemble, GBTClassifier(featuresCol="raw", labelCol="y", weightCol="w", maxIter=50, maxDepth=4, stepSize=0.1, seed=42)]
+        stages = [assemble, GBTClassifier(featuresCol="raw", labelCol="y", weightCol="w", maxIter=50, maxDepth=4, stepSize=learning_rate, minInstancesPerNode=10, seed=42)]
     return Pipeline(stages=stages).fit(labeled.withColumns({"w": weight, "y": F.col("label").cast("double")}))
 
 

@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from presslake.operators import feed
+from presslake.operators import feed, text
 from presslake.session import StagedTable
 
 #: Queries and articles that meet in one group (32 MB of scores).
@@ -71,6 +71,10 @@ def queries(rows: DataFrame, articles: DataFrame, first_seen: DataFrame) -> Data
     )
 
 
+def _signed(value: Column, places: int) -> Column:
+    return F.signum(value) * text.rounded(F.abs(value), places)
+
+
 def profiles(asked: DataFrame, weights: DataFrame, articles: DataFrame, configurations: list[tuple[str, int | None, float | None]]) -> DataFrame:
     """A profile of every query under every (name, history length, decay): (configuration, impression_id, terms, weights, n_known, n_unknown, reason).
 
@@ -90,7 +94,7 @@ def profiles(asked: DataFrame, weights: DataFrame, articles: DataFrame, configur
     entries = entries.withColumn("share", F.when(F.col("decay").isNull(), 1.0).otherwise(F.pow("decay", after)))
     entries = entries.withColumns({"total": F.sum("share").over(own), "n_known": F.count(F.lit(1)).over(own)})
     per = entries.groupBy("configuration", "impression_id", "news_id").agg(F.sum("share").alias("share"), F.max("total").alias("total"))
-    terms = per.join(weights, "news_id").groupBy("configuration", "impression_id", "term").agg(F.round(F.sum(F.col("share") * F.col("weight")) / F.max("total"), 9).alias("weight"))
+    terms = per.join(weights, "news_id").groupBy("configuration", "impression_id", "term").agg(_signed(F.sum(F.col("share") * F.col("weight")) / F.max("total"), 9).alias("weight"))
     made = vectors(terms.filter("weight <> 0"), ["configuration", "impression_id"])
     known = entries.groupBy("configuration", "impression_id").agg(F.max("n_known").alias("n_known"))
     out = each.select("configuration", "impression_id", F.size("recent").cast("bigint").alias("n")).join(known, ["configuration", "impression_id"], "left").join(made, ["configuration", "impression_id"], "left")
@@ -128,7 +132,8 @@ def _block(k: int, exclude_history: bool):
             if j is not None:
                 scores[np.ix_(la[i], ra[j])] += np.outer(lw[i], rw[j])
         norms = np.sqrt(np.bincount(la, lw * lw, minlength=len(q)))
-        scores = np.round(scores / np.where(norms > 0, norms, 1.0)[:, None], PLACES)
+        scores = scores / np.where(norms > 0, norms, 1.0)[:, None]
+        scores = np.sign(scores) * np.floor(np.abs(scores) * 10.0**PLACES + 0.5) / 10.0**PLACES
         by_clicks = q["reason"].notna().to_numpy()
         scores[by_clicks] = a["clicks"].to_numpy(dtype=float)
         scores[first[None, :] > q["ts_us"].to_numpy()[:, None]] = -np.inf

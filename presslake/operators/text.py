@@ -12,6 +12,17 @@ TOKEN = r"[\p{L}\p{N}_]{2,}"
 PLACES = 9
 
 
+def rounded(value: Column, places: int) -> Column:
+    """Non-negative numbers rounded as a scaled number is, halves up, so that a half in decimals doesn't hang on how a double is printed."""
+    scale = float(10**places)
+    return F.floor(value * scale + 0.5) / scale
+
+
+def _rounded(values: np.ndarray, places: int) -> np.ndarray:
+    scale = float(10**places)
+    return np.floor(values * scale + 0.5) / scale
+
+
 def article_text(*parts: str) -> Column:
     """Trimmed, non-blank parts joined by a blank."""
     return F.concat_ws(" ", *[F.nullif(F.trim(F.col(p)), F.lit("")) for p in parts])
@@ -30,7 +41,7 @@ def tfidf(articles: DataFrame, fit_ids: DataFrame, parts: tuple[str, ...] = ("ti
     df = tf.join(fit_ids, "news_id", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     raw = tf.join(df, "term").withColumn("w", F.col("tf") * (F.log((1.0 + n) / (1.0 + F.col("df"))) + 1.0))
     norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("news_id")))
-    return raw.select("news_id", "term", F.round(F.col("w") / norm, PLACES).alias("weight"))
+    return raw.select("news_id", "term", rounded(F.col("w") / norm, PLACES).alias("weight"))
 
 
 def mean_profiles(hist: DataFrame, weights: DataFrame, known: DataFrame) -> DataFrame:
@@ -39,7 +50,7 @@ def mean_profiles(hist: DataFrame, weights: DataFrame, known: DataFrame) -> Data
     size = entries.groupBy("impression_id").agg(F.count(F.lit(1)).alias("_n"))
     sums = entries.groupBy("impression_id", "news_id").agg(F.count(F.lit(1)).alias("_m")).join(weights, "news_id")
     sums = sums.groupBy("impression_id", "term").agg(F.sum(F.col("_m") * F.col("weight")).alias("_s"))
-    return sums.join(size, "impression_id").select("impression_id", "term", F.round(F.col("_s") / F.col("_n"), PLACES).alias("weight"))
+    return sums.join(size, "impression_id").select("impression_id", "term", rounded(F.col("_s") / F.col("_n"), PLACES).alias("weight"))
 
 
 def recency_profiles(hist: DataFrame, weights: DataFrame, known: DataFrame, decay: float) -> DataFrame:
@@ -49,7 +60,7 @@ def recency_profiles(hist: DataFrame, weights: DataFrame, known: DataFrame, deca
     entries = entries.withColumn("_d", F.pow(F.lit(decay), after))
     total = entries.groupBy("impression_id").agg(F.sum("_d").alias("_t"))
     sums = entries.join(weights, "news_id").groupBy("impression_id", "term").agg(F.sum(F.col("_d") * F.col("weight")).alias("_s"))
-    return sums.join(total, "impression_id").select("impression_id", "term", F.round(F.col("_s") / F.col("_t"), PLACES).alias("weight"))
+    return sums.join(total, "impression_id").select("impression_id", "term", rounded(F.col("_s") / F.col("_t"), PLACES).alias("weight"))
 
 
 #: Impressions whose histories and candidates are scored by one task at a time.
@@ -71,7 +82,7 @@ def _similarities(block: pd.DataFrame) -> pd.DataFrame:
     own, at = np.unique(key[read], return_inverse=True)
     of = np.zeros(len(own), np.int64)
     of[at] = imp[row[read]]
-    profile = np.round(np.bincount(at, often[row[read]] * weight[read], minlength=len(own)) / known[of], PLACES) if len(own) else np.array([], float)
+    profile = _rounded(np.bincount(at, often[row[read]] * weight[read], minlength=len(own)) / known[of], PLACES) if len(own) else np.array([], float)
     norm = np.sqrt(np.bincount(of, profile * profile, minlength=len(names)))
     asked = np.flatnonzero(~read)
     place = np.searchsorted(own, key[asked])
@@ -79,7 +90,7 @@ def _similarities(block: pd.DataFrame) -> pd.DataFrame:
     met[met] = own[place[met]] == key[asked][met]
     dots = np.bincount(row[asked[met]], profile[place[met]] * weight[asked[met]], minlength=len(block))
     length = norm[imp]
-    score = np.where(length > 0, np.round(dots / np.where(length > 0, length, 1.0), 6), 0.0)
+    score = np.where(length > 0, _rounded(dots / np.where(length > 0, length, 1.0), 6), 0.0)
     out = side == 1
     return pd.DataFrame({"impression_id": block["impression_id"][out], "news_id": block["news_id"][out], "score": score[out]})
 

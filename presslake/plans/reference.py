@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from presslake.operators import dense, features, feed, monitoring, projection, ranking, selection, text
+from presslake.session import cut
 from presslake.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -327,7 +328,7 @@ def _content(spark: SparkSession, d: str) -> tuple[_Views, DataFrame]:
 
 @query
 def tfidf_weights(spark: SparkSession, d: str) -> DataFrame:
-    return _content(spark, d)[1].select("news_id", "term", F.round("weight", 6).alias("weight"))
+    return _content(spark, d)[1].select("news_id", "term", text.rounded(F.col("weight"), 6).alias("weight"))
 
 
 def _recent(rows: DataFrame) -> DataFrame:
@@ -339,14 +340,14 @@ def _recent(rows: DataFrame) -> DataFrame:
 def profile_mean(spark: SparkSession, d: str) -> DataFrame:
     f, weights = _content(spark, d)
     out = text.mean_profiles(feed.history(_recent(f.rows)), weights, f.articles)
-    return out.select("impression_id", "term", F.round("weight", 6).alias("weight"))
+    return out.select("impression_id", "term", text.rounded(F.col("weight"), 6).alias("weight"))
 
 
 @query
 def profile_recency(spark: SparkSession, d: str) -> DataFrame:
     f, weights = _content(spark, d)
     out = text.recency_profiles(feed.history(_recent(f.rows)), weights, f.articles, 0.8)
-    return out.select("impression_id", "term", F.round("weight", 6).alias("weight"))
+    return out.select("impression_id", "term", text.rounded(F.col("weight"), 6).alias("weight"))
 
 
 @query
@@ -411,13 +412,14 @@ def prior_decayed_clicks(spark: SparkSession, d: str) -> DataFrame:
     return out.select("impression_id", F.col("position").cast("bigint").alias("position"), "news_id", F.round("prior_decayed", 6).alias("prior_decayed"))
 
 
-def _features(spark: SparkSession, d: str, part: str = "train") -> DataFrame:
-    """Fitted on train; other partitions are in evaluation mode, which knows all clicks of train and none of its own."""
+def _features(spark: SparkSession, d: str, part: str | tuple[str, ...] = "train", fit: tuple[str, ...] = ("train",)) -> DataFrame:
+    """Features of the rows of ``part``: of the fitting partitions in their order, of others in evaluation mode, which knows all clicks of the fit and none of its own."""
     f = _Feed(spark, d)
-    rows = f.rows.filter(F.col("part") == part)
-    cand = _tfidf_scored(f, feed.candidates(rows), ("train",), (part,)).withColumnRenamed("score", "tfidf_history_similarity")
-    fit = None if part == "train" else f.candidates("train")
-    return features.feature_table(cand, rows, f.articles, _observed(f, ("train",)), fit=fit)
+    parts = (part,) if isinstance(part, str) else part
+    rows = f.rows.filter(F.col("part").isin(*parts))
+    cand = _tfidf_scored(f, feed.candidates(rows), fit, parts).withColumnRenamed("score", "tfidf_history_similarity")
+    known = None if set(parts) <= set(fit) else f.candidates(*fit)
+    return features.feature_table(cand, rows, f.articles, _observed(f, fit), fit=known)
 
 
 @query
@@ -425,21 +427,74 @@ def ltr_features(spark: SparkSession, d: str) -> DataFrame:
     return _features(spark, d)
 
 
+@query
+def ltr_features_validation(spark: SparkSession, d: str) -> DataFrame:
+    """Features in evaluation mode: they know all clicks of train and none of validation."""
+    return _features(spark, d, "validation")
+
+
+#: The rankers of the grid by name: kind and parameters.
+RANKERS = {
+    "logistic_regression_C-0.1": ("logistic", {"c": 0.1}),
+    "logistic_regression_C-1.0": ("logistic", {"c": 1.0}),
+    "gradient_boosting_learning_rate-0.05_leaves-16": ("boosted", {"learning_rate": 0.05}),
+    "gradient_boosting_learning_rate-0.1_leaves-16": ("boosted", {"learning_rate": 0.1}),
+}
+
+
+def _ranked_metrics(name: str, fit: DataFrame, on: DataFrame, part: str) -> DataFrame:
+    """Metrics of a ranker of the grid, fitted on one feature table and evaluated on another."""
+    kind, how = RANKERS[name]
+    scored = features.predicted(features.fit_ranker(fit, kind, **how), on)
+    rows = scored.select("impression_id", "position", F.when(F.col("label") >= 0, F.col("label")).alias("label"), F.round("score", 9).alias("score"), F.lit(part).alias("part"))
+    return ranking.macro_metrics(ranking.impression_metrics(rows))
+
+
 @query
 def ltr_logistic(spark: SparkSession, d: str) -> DataFrame:
     """Metrics of the logistic ranker on validation."""
-    model = features.fit_ranker(_features(spark, d))
-    scored = features.predicted(model, _features(spark, d, "validation"))
-    rows = scored.select("impression_id", "position", F.when(F.col("label") >= 0, F.col("label")).alias("label"), F.round("score", 9).alias("score"), F.lit("validation").alias("part"))
-    return ranking.macro_metrics(ranking.impression_metrics(rows))
+    return _ranked_metrics("logistic_regression_C-1.0", _features(spark, d), _features(spark, d, "validation"), "validation")
 
 
 @query
 def ltr_boosted(spark: SparkSession, d: str) -> DataFrame:
     """Metrics of the boosted trees on validation."""
-    scored = features.predicted(features.fit_ranker(_features(spark, d), "boosted"), _features(spark, d, "validation"))
-    rows = scored.select("impression_id", "position", F.when(F.col("label") >= 0, F.col("label")).alias("label"), F.round("score", 9).alias("score"), F.lit("validation").alias("part"))
-    return ranking.macro_metrics(ranking.impression_metrics(rows))
+    return _ranked_metrics("gradient_boosting_learning_rate-0.1_leaves-16", _features(spark, d), _features(spark, d, "validation"), "validation")
+
+
+@query
+def ltr_grid(spark: SparkSession, d: str) -> DataFrame:
+    """Validation metrics of all rankers of the grid, the chosen one first."""
+    fit, on = cut(_features(spark, d)), cut(_features(spark, d, "validation"))
+    runs = [_ranked_metrics(name, fit, on, "validation").withColumn("name", F.lit(name)) for name in RANKERS]
+    return selection.RANKER.placed(reduce(DataFrame.unionByName, runs).drop("part"))
+
+
+@query
+def ltr_selected(spark: SparkSession, d: str) -> DataFrame:
+    """The ranker chosen on validation, refitted on train and validation and evaluated once on test; its lift over the strongest baseline on validation."""
+    best = ltr_grid(spark, d).filter("place = 1").first()
+    baseline = select_baseline(spark, d).filter("selector = 'strongest'").first()
+    both = ("train", "validation")
+    out = _ranked_metrics(best.name, _features(spark, d, both, both), _features(spark, d, "test", both), "test")
+    lift = selection.relative_lift(best.ndcg_10, baseline.ndcg_10)
+    return out.withColumns({"name": F.lit(best.name), "baseline": F.lit(baseline.name), "validation_lift": F.lit(round(lift, 6))})
+
+
+@query
+def ltr_baselines(spark: SparkSession, d: str) -> DataFrame:
+    """The five baselines recomputed from the feature columns of validation."""
+    table_ = cut(_features(spark, d, "validation"))
+    scores = {
+        "original_order": -F.col("position").cast("double"),
+        "global_popularity": F.col("global_click_count"),
+        "time_decayed": F.col("time_decayed_click_count"),
+        "category_affinity": F.col("category_history_count") + 0.5 * F.col("subcategory_history_count"),
+        "tfidf_similarity": F.col("tfidf_history_similarity"),
+    }
+    label = F.when(F.col("label") >= 0, F.col("label")).alias("label")
+    runs = [table_.select(F.concat_ws(":", F.lit(n), "impression_id").alias("impression_id"), "position", label, c.alias("score"), F.lit(n).alias("part")) for n, c in scores.items()]
+    return ranking.macro_metrics(ranking.impression_metrics(reduce(DataFrame.unionByName, runs))).withColumnRenamed("part", "name")
 
 
 @query

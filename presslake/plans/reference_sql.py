@@ -123,7 +123,7 @@ SELECT impression_id, ordinal, CASE WHEN source_split = 'dev' THEN 'test' WHEN o
     + """, u AS (SELECT DISTINCT part, user_id FROM split WHERE user_id <> '') SELECT a.part AS first, b.part AS second, count(*) AS shared_users,
   (SELECT count(*) FROM (SELECT impression_id FROM split GROUP BY 1 HAVING count(DISTINCT part) > 1)) AS shared_impressions FROM u a JOIN u b ON a.user_id = b.user_id AND a.part < b.part GROUP BY 1, 2""",
     "chronology_violations": FEED
-    + "SELECT source_split, count(*) AS n_violations FROM (SELECT source_split, ts_us, lag(ts_us) OVER (PARTITION BY source_split, source_row_number // 100000 ORDER BY source_row_number) AS p FROM imp) WHERE p > ts_us GROUP BY 1",
+    + "SELECT source_split, count(*) AS n_violations FROM (SELECT source_split, ts_us, lag(ts_us) OVER (PARTITION BY source_split ORDER BY source_row_number, ts_us) AS p FROM imp) WHERE p > ts_us GROUP BY 1",
     "position_violations": FEED
     + """, x AS (SELECT list_transform(impressions, lambda c: c.position) AS p, impressions FROM imp) SELECT count(*) FILTER (WHERE len(list_filter(p, lambda v: v < 0)) > 0) AS negative,
   count(*) FILTER (WHERE len(list_distinct(p)) < len(p)) AS repeated, count(*) FILTER (WHERE list_sort(p) <> p) AS unsorted,
@@ -211,34 +211,18 @@ ORACLES["select_half_life"] = (
     + ", m AS (SELECT part::DOUBLE AS half_life, round(avg(ndcg_10), 6) AS ndcg_10, round(avg(mrr), 6) AS mrr FROM per GROUP BY 1) SELECT *, row_number() OVER (ORDER BY ndcg_10 DESC, mrr DESC, half_life) AS place FROM m"
 )
 
-_ASKED = """, aq AS (SELECT impression_id, history[greatest(len(history) - 9, 1):] AS h FROM split WHERE TRY_CAST(impression_id AS BIGINT) % 20 = 0),
+_RECENT = """, aq AS (SELECT impression_id, history[greatest(len(history) - 9, 1):] AS h FROM split),
 ah AS (SELECT impression_id, unnest(h) AS news_id, generate_subscripts(h, 1) AS place FROM aq),
 ak AS (SELECT impression_id, news_id, place, count(*) OVER (PARTITION BY impression_id) AS n, row_number() OVER (PARTITION BY impression_id ORDER BY place DESC) - 1 AS after FROM ah JOIN art USING (news_id))"""
 _MEAN = ", pm AS (SELECT impression_id, term, round(sum(weight) / any_value(n), 9) AS weight FROM ak JOIN w_t USING (news_id) GROUP BY 1, 2)"
-ORACLES["profile_mean"] = FEED + _tfidf(_TRAIN, "t") + _ASKED + _MEAN + " SELECT impression_id, term, round(weight, 6) AS weight FROM pm"
+ORACLES["profile_mean"] = FEED + _tfidf(_TRAIN, "t") + _RECENT + _MEAN + " SELECT impression_id, term, round(weight, 6) AS weight FROM pm"
 ORACLES["profile_recency"] = (
     FEED
     + _tfidf(_TRAIN, "t")
-    + _ASKED
+    + _RECENT
     + """, tt AS (SELECT impression_id, sum(pow(0.8::DOUBLE, after)) AS t FROM ak GROUP BY 1)
 SELECT impression_id, term, round(round(sum(pow(0.8::DOUBLE, after) * weight) / any_value(t), 9), 6) AS weight FROM ak JOIN tt USING (impression_id) JOIN w_t USING (news_id) GROUP BY 1, 2"""
 )
-_FOUND = """, fs AS (SELECT news_id, min(ts_us) AS first_us FROM cand GROUP BY 1), pl AS (SELECT impression_id, sqrt(sum(weight * weight)) AS l FROM pm GROUP BY 1),
-sc AS (SELECT impression_id, w.news_id, round(sum(pm.weight * w.weight) / any_value(l), 6) AS score FROM pm JOIN w_t w USING (term) JOIN pl USING (impression_id) GROUP BY 1, 2),
-fd AS (SELECT impression_id, news_id, score, rank FROM (SELECT sc.*, row_number() OVER (PARTITION BY impression_id ORDER BY score DESC, first_us NULLS LAST, sc.news_id) AS rank FROM sc LEFT JOIN fs USING (news_id)) WHERE rank <= 20)"""
-ORACLES["retrieve_cosine"] = FEED + _tfidf(_TRAIN, "t") + _ASKED + _MEAN + _FOUND + " SELECT * FROM fd"
-ORACLES["retrieval_quality"] = (
-    FEED
-    + _tfidf(_TRAIN, "t")
-    + _ASKED
-    + _MEAN
-    + _FOUND
-    + """, tg AS (SELECT DISTINCT impression_id, news_id FROM cand JOIN art USING (news_id) WHERE label = 1 AND TRY_CAST(impression_id AS BIGINT) % 20 = 0),
-q AS (SELECT tg.impression_id, count(*) AS n, count(*) FILTER (WHERE rank <= 10) AS h10, count(*) FILTER (WHERE rank <= 20) AS h20, min(rank) AS best FROM tg LEFT JOIN fd USING (impression_id, news_id) GROUP BY 1)
-SELECT count(*) AS n_queries, round(avg(h10::DOUBLE / n), 6) AS recall_10, round(avg(h20::DOUBLE / n), 6) AS recall_20, round(avg(CAST(h10 > 0 AS DOUBLE)), 6) AS hit_rate_10,
-  round(avg(CAST(h20 > 0 AS DOUBLE)), 6) AS hit_rate_20, round(avg(coalesce(1.0::DOUBLE / best, 0::DOUBLE)), 6) AS mrr FROM q"""
-)
-
 _DIST = f""", dp AS (SELECT part, 'history_length' AS profile, {_HB} AS key, count(*) AS n FROM split GROUP BY 1, 2, 3 UNION ALL SELECT part, 'candidate_count', {_CB}, count(*) FROM split GROUP BY 1, 2, 3
   UNION ALL SELECT part, 'category', {_SHOWN.format(c="category", m="<missing>")}, count(*) FROM cand JOIN art USING (news_id) GROUP BY 1, 2, 3),
 ds AS (SELECT part, profile, key, n::DOUBLE / sum(n) OVER (PARTITION BY part, profile) AS share FROM dp)"""
@@ -251,25 +235,43 @@ ORACLES["jsd_drift"] = (
 SELECT profile, round(round(sum(CASE WHEN p > 0 THEN p * log2(2 * p / (p + q)) ELSE 0 END + CASE WHEN q > 0 THEN q * log2(2 * q / (p + q)) ELSE 0 END) / 2, 9), 6) AS jsd FROM pq GROUP BY 1"""
 )
 
-ORACLES["ltr_features"] = (
-    FEED
-    + """, tr AS (SELECT * FROM cand WHERE part = 'train'), ht AS (SELECT * FROM hist WHERE part = 'train'),
-ob AS (SELECT DISTINCT news_id FROM (SELECT news_id FROM tr UNION ALL SELECT news_id FROM ht)), fa AS (SELECT art.* FROM art JOIN ob USING (news_id)),
-pc AS (SELECT impression_id, position, coalesce(sum(CASE WHEN label = 1 THEN 1 ELSE 0 END) OVER (PARTITION BY news_id ORDER BY ordinal RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS g FROM tr),
-ck AS (SELECT news_id, ordinal, ts_us FROM tr WHERE label = 1),
-pd AS (SELECT c.impression_id, c.position, coalesce((SELECT sum(pow(0.5::DOUBLE, (c.ts_us - ck.ts_us) / 3.6e9 / 24.0::DOUBLE)) FROM ck WHERE ck.news_id = c.news_id AND ck.ordinal < c.ordinal), 0::DOUBLE) AS d FROM tr c),
+
+
+def _feature_sql(part: str) -> str:
+    """All features; of train as before each impression, else with the clicks of all of train."""
+    before = part == "train"
+    clicks = (
+        """pc AS (SELECT impression_id, position, coalesce(sum(CASE WHEN label = 1 THEN 1 ELSE 0 END) OVER (PARTITION BY news_id ORDER BY ordinal RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS g FROM tr),
+pd AS (SELECT c.impression_id, c.position, coalesce((SELECT sum(pow(0.5::DOUBLE, (c.ts_us - ck.ts_us) / 3.6e9 / 24.0::DOUBLE)) FROM ck WHERE ck.news_id = c.news_id AND ck.ordinal < c.ordinal), 0::DOUBLE) AS d FROM tr c)"""
+        if before
+        else """tot AS (SELECT news_id, count(*) AS g, sum(pow(0.5::DOUBLE, greatest((m.t - ts_us) / 3.6e9, 0) / 24.0::DOUBLE)) AS d FROM ck CROSS JOIN (SELECT max(ts_us) AS t FROM cand WHERE part = 'train') m GROUP BY 1),
+pc AS (SELECT impression_id, position, coalesce(g, 0) AS g FROM tr LEFT JOIN tot USING (news_id)), pd AS (SELECT impression_id, position, coalesce(d, 0::DOUBLE) AS d FROM tr LEFT JOIN tot USING (news_id))"""
+    )
+    return (
+        FEED
+        + _scored("tfidf_similarity", _TRAIN, f"'{part}'", "f")
+        + f""", tr AS (SELECT * FROM cand WHERE part = '{part}'), ht AS (SELECT * FROM hist WHERE part = '{part}'),
+ob AS (SELECT DISTINCT news_id FROM (SELECT news_id FROM cand WHERE part = 'train' UNION ALL SELECT news_id FROM hist WHERE part = 'train')), fa AS (SELECT art.* FROM art JOIN ob USING (news_id)),
+ck AS (SELECT news_id, ordinal, ts_us FROM cand WHERE part = 'train' AND label = 1),
+{clicks},
 hk AS (SELECT ht.impression_id, a.category, a.subcategory FROM ht JOIN art a USING (news_id)),
 h1 AS (SELECT impression_id, category, count(*) AS n FROM hk GROUP BY 1, 2), h2 AS (SELECT impression_id, subcategory, count(*) AS n FROM hk GROUP BY 1, 2), h3 AS (SELECT impression_id, count(*) AS n FROM hk GROUP BY 1),
 f1 AS (SELECT category, count(*) AS n FROM fa GROUP BY 1), f2 AS (SELECT subcategory, count(*) AS n FROM fa GROUP BY 1), sn AS (SELECT DISTINCT impression_id, news_id FROM ht)
 SELECT c.impression_id, CAST(c.position AS BIGINT) AS position, c.news_id, CAST(coalesce(c.label, -1) AS BIGINT) AS label, 1.0::DOUBLE / (c.position + 1.0::DOUBLE) AS reciprocal_position, pc.g::DOUBLE AS global_click_count,
-  round(round(pd.d, 9), 6) AS time_decayed_click_count, coalesce(h1.n, 0)::DOUBLE AS category_history_count, coalesce(h2.n, 0)::DOUBLE AS subcategory_history_count, coalesce(f1.n, 0)::DOUBLE AS category_article_frequency,
-  coalesce(f2.n, 0)::DOUBLE AS subcategory_article_frequency, len(s.history)::DOUBLE AS history_length, coalesce(h3.n, 0)::DOUBLE AS known_history_count, CAST(len(s.history) = 0 AS DOUBLE) AS empty_history,
-  CAST(sn.news_id IS NOT NULL AS DOUBLE) AS candidate_seen_in_history, CAST(trim(a.abstract) <> '' AS DOUBLE) AS has_abstract, length(a.title)::DOUBLE AS title_length, length(a.abstract)::DOUBLE AS abstract_length
+  round(round(pd.d, 9), 6) AS time_decayed_click_count, coalesce(h1.n, 0)::DOUBLE AS category_history_count, coalesce(h2.n, 0)::DOUBLE AS subcategory_history_count, s_f.score AS tfidf_history_similarity,
+  coalesce(f1.n, 0)::DOUBLE AS category_article_frequency, coalesce(f2.n, 0)::DOUBLE AS subcategory_article_frequency, len(s.history)::DOUBLE AS history_length, coalesce(h3.n, 0)::DOUBLE AS known_history_count,
+  CAST(len(s.history) = 0 AS DOUBLE) AS empty_history, CAST(sn.news_id IS NOT NULL AS DOUBLE) AS candidate_seen_in_history, CAST(trim(a.abstract) <> '' AS DOUBLE) AS has_abstract,
+  length(a.title)::DOUBLE AS title_length, length(a.abstract)::DOUBLE AS abstract_length
 FROM tr c JOIN art a ON a.news_id = c.news_id JOIN split s ON s.impression_id = c.impression_id JOIN pc ON pc.impression_id = c.impression_id AND pc.position = c.position
-  JOIN pd ON pd.impression_id = c.impression_id AND pd.position = c.position LEFT JOIN h1 ON h1.impression_id = c.impression_id AND h1.category = a.category
+  JOIN pd ON pd.impression_id = c.impression_id AND pd.position = c.position JOIN s_f ON s_f.impression_id = c.impression_id AND s_f.position = c.position
+  LEFT JOIN h1 ON h1.impression_id = c.impression_id AND h1.category = a.category
   LEFT JOIN h2 ON h2.impression_id = c.impression_id AND h2.subcategory = a.subcategory LEFT JOIN h3 ON h3.impression_id = c.impression_id LEFT JOIN f1 ON f1.category = a.category
   LEFT JOIN f2 ON f2.subcategory = a.subcategory LEFT JOIN sn ON sn.impression_id = c.impression_id AND sn.news_id = c.news_id"""
-)
+    )
+
+
+ORACLES["ltr_features"] = _feature_sql("train")
+ORACLES["ltr_features_validation"] = _feature_sql("validation")
 
 ORACLES["target_diagnostics"] = (
     FEED
@@ -289,13 +291,25 @@ ORACLES["profile_rates"] = (
 m AS (SELECT part, round(avg(CAST(coalesce(category, '') = '' AS DOUBLE)), 9) AS missing_category_rate FROM cand LEFT JOIN art USING (news_id) GROUP BY 1)
 SELECT * FROM e JOIN m USING (part)"""
 )
-_names3 = ("original_order", "global_popularity", "category_affinity")
+_names = ("original_order", "global_popularity", "category_affinity", "tfidf_similarity")
 _runs = FEED
-for _n in _names3:
+for _n in _names:
     _runs += _scored(_n, _TRAIN, _VAL, f"b_{_n}")
-_runs += _metrics(" UNION ALL ".join(f"SELECT '{_n}:' || impression_id AS impression_id, '{_n}' AS part, position, label, score FROM s_b_{_n}" for _n in _names3))
-_runs += ", m AS (SELECT part AS name, round(avg(ndcg_10), 6) AS ndcg_10, round(avg(mrr), 6) AS mrr, round(avg(auc), 6) AS auc FROM per GROUP BY 1)"
+for _k, _h in enumerate((6.0, 24.0, 72.0)):
+    _runs += _scored("time_decayed", _TRAIN, _VAL, f"b_h{_k}", _h)
+_parts = [f"SELECT '{_n}:' || impression_id AS impression_id, '{_n}' AS part, position, label, score FROM s_b_{_n}" for _n in _names]
+_parts += [f"SELECT 'h{_k}:' || impression_id AS impression_id, 'time_decayed{_k}' AS part, position, label, score FROM s_b_h{_k}" for _k in range(3)]
+_runs += _metrics(" UNION ALL ".join(_parts))
+_runs += """, m0 AS (SELECT part, round(avg(ndcg_10), 6) AS ndcg_10, round(avg(mrr), 6) AS mrr, round(avg(auc), 6) AS auc FROM per GROUP BY 1),
+m AS (SELECT part AS name, ndcg_10, mrr, auc FROM m0 WHERE part NOT LIKE 'time_decayed%' UNION ALL
+  (SELECT 'time_decayed', ndcg_10, mrr, auc FROM m0 WHERE part LIKE 'time_decayed%' ORDER BY ndcg_10 DESC, mrr DESC, part LIMIT 1))"""
 ORACLES["select_baseline"] = (
     _runs
     + " (SELECT *, 'strongest' AS selector FROM m ORDER BY ndcg_10 DESC, mrr DESC, auc DESC, name LIMIT 1) UNION ALL (SELECT *, 'reported' AS selector FROM m ORDER BY ndcg_10 DESC, mrr DESC, name DESC LIMIT 1)"
 )
+_five = FEED
+for _n in (*_names, "time_decayed"):
+    _five += _scored(_n, _TRAIN, _VAL, f"b_{_n}")
+_score = {"time_decayed": "round(score, 6)"}
+_five += _metrics(" UNION ALL ".join(f"SELECT '{_n}:' || impression_id AS impression_id, '{_n}' AS part, position, label, {_score.get(_n, 'score')} AS score FROM s_b_{_n} JOIN (SELECT news_id FROM art) USING (news_id)" for _n in (*_names, "time_decayed")))
+ORACLES["ltr_baselines"] = _five + _MACRO.replace(" SELECT part,", " SELECT part AS name,")
