@@ -338,3 +338,26 @@ def test_heavy_impressions_are_ranked_in_bands(spark, monkeypatch):
     monkeypatch.setattr(ranking, "HEAVY", 3)
     banded = ranking._ranks(scored(spark, rows))
     assert sorted(map(tuple, banded.select(*ranking._ranks(scored(spark, rows[:5])).columns).collect())) == plain
+
+
+def test_serving_in_batch(spark):
+    from presslake.operators import serving
+
+    catalog = spark.createDataFrame([("N1", "s", "f"), ("N2", "s", "g"), ("N3", "", "")], "news_id string, category string, subcategory string")
+    rows = [
+        ("a", ["N1", " N1 ", "X", "X"], ["N2", "N1", "gone", "N3", "gone"]), ("b", [], ["N3", "N2"]), ("c", None, None), ("d", ["N1"], ["N1", " "]), ("e", ["N1"], ["N1"] * 1001), ("f", ["N1"] * 1001, ["N1"]),
+    ]
+    good, bad = serving.validated(spark.createDataFrame(rows, "request_id string, history array<string>, candidates array<string>"))
+    assert {r.request_id: r.reason for r in bad.collect()} == {"c": "no_candidates", "d": "blank_id", "e": "too_many_ids", "f": "too_many_ids"}
+    ranked = serving.ranked(good, catalog)
+    got = {(r.request_id, r.rank): (r.news_id, r.original_position, r.score) for r in ranked.collect()}
+    assert got == {("a", 1): ("N1", 1, 3.0), ("a", 2): ("N2", 0, 2.0), ("a", 3): ("N3", 3, 0.0), ("b", 1): ("N3", 0, 0.0), ("b", 2): ("N2", 1, 0.0)}
+    assert [r.news_id for r in serving.ranked(good, catalog, "original_order").filter("request_id = 'a'").orderBy("rank").collect()] == ["N2", "N1", "N3"]
+    log = {r.request_id: r for r in serving.request_log(good, catalog, ranked).collect()}
+    # A repeated unknown id counts once as unknown, so that its repetition counts as known.
+    assert (log["a"].unknown_history_count, log["a"].known_history_count, log["a"].missing_candidate_count, log["a"].ranked_candidate_count) == (1, 3, 2, 3)
+    assert log["a"].top_ranked_category_counts == {"s": 2, "<missing>": 1} and log["b"].empty_history
+    total = serving.log_summary(serving.request_log(good, catalog, ranked)).first()
+    assert (total.request_count, total.missing_candidates, total.unknown_history, total.p50_candidates) == (2, 2, 1, 3.5) and total.missing_candidate_rate == pytest.approx(2 / 7, abs=1e-9)
+    with pytest.raises(ValueError):
+        serving.ranked(good, catalog, "boosted")
