@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -78,8 +78,12 @@ def cells(base: DataFrame, n_cells: int, sample: int = 50_000, seed: int = 42):
     return model, model.transform(points).select("vec_id", "embedding", "cell")
 
 
-def top_k_in_cells(queries: DataFrame, assigned: DataFrame, model, k: int, probes: int, places: int = 6) -> DataFrame:
-    """Approximate ``top_k``: each query visits the ``probes`` cells whose centres are nearest."""
+#: A cell is spread over so many tasks, as one may hold a large share of the vectors.
+SALTS = 8
+
+
+def pairs_in_cells(queries: DataFrame, assigned: DataFrame, model, probes: int, places: int = 6) -> DataFrame:
+    """(query_id, vec_id, score): every query with the vectors of the ``probes`` cells whose centres are nearest."""
     centres = np.array(model.clusterCenters())
 
     @F.pandas_udf("array<int>")
@@ -87,16 +91,98 @@ def top_k_in_cells(queries: DataFrame, assigned: DataFrame, model, k: int, probe
         import pandas as pd
 
         m = np.stack(v.to_numpy())
-        d = ((m[:, None, :] - centres[None, :, :]) ** 2).sum(axis=2)
+        d = (m**2).sum(axis=1)[:, None] - 2 * m @ centres.T + (centres**2).sum(axis=1)[None, :]
         return pd.Series(np.argsort(d, axis=1, kind="stable")[:, :probes].tolist())
 
     visits = queries.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"), F.explode(nearest("embedding")).alias("cell"))
+    visits = visits.withColumn("_z", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salted = assigned.withColumn("_z", F.pmod(F.xxhash64("vec_id"), F.lit(SALTS)).cast("int"))
     dot = F.aggregate(F.zip_with("q", "embedding", lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x)
-    pairs = visits.join(assigned, "cell").filter("query_id <> vec_id").select("query_id", "vec_id", F.round(dot, places).alias("score"))
+    return visits.join(salted, ["cell", "_z"]).select("query_id", "vec_id", F.round(dot, places).alias("score"))
+
+
+def top_k_in_cells(queries: DataFrame, assigned: DataFrame, model, k: int, probes: int, places: int = 6) -> DataFrame:
+    """Approximate ``top_k``: each query visits the ``probes`` cells whose centres are nearest."""
+    pairs = pairs_in_cells(queries, assigned, model, probes, places).filter("query_id <> vec_id")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return pairs.withColumn("rank", F.row_number().over(order).cast("bigint")).filter(F.col("rank") <= k)
 
 
+def eligible_search(pairs: DataFrame, asked: DataFrame, first_seen: DataFrame, k: int, oversampling: int) -> tuple[DataFrame, DataFrame]:
+    """The ``k`` best eligible of scored pairs, as an index that can't filter finds them, and what it cost.
+
+    The index is asked for ``k * oversampling`` results, in the order of score and
+    id, of which those that weren't shown yet at the query's time or are in the
+    reader's history are dropped; while fewer than ``k`` are left the depth is
+    doubled. The depth a query ends with follows from the place of its k-th
+    eligible result, so that all queries are searched at once.
+
+    Found: (query_id, rank, vec_id, score); diagnostics per query: calls,
+    requested and examined results, what was rejected and why, and whether less
+    than k were found although more were eligible.
+    """
+    more = pairs.join(first_seen.select(F.col("news_id").alias("vec_id"), "first_us"), "vec_id", "left").join(asked.select(F.col("impression_id").alias("query_id"), "ts_us", "history"), "query_id")
+    late = F.coalesce(F.col("first_us") > F.col("ts_us"), F.lit(True))
+    read = F.array_contains("history", F.col("vec_id"))
+    own = Window.partitionBy("query_id")
+    order = own.orderBy(F.desc("score"), "vec_id")
+    raw = more.select("query_id", "vec_id", "score", late.alias("late"), (~late & read).alias("read"), F.row_number().over(order).alias("place"))
+    raw = raw.withColumn("fits", (~F.col("late") & ~F.col("read")).cast("int"))
+    raw = raw.withColumn("rank", F.sum("fits").over(own.orderBy("place")))
+    last = F.min(F.when((F.col("fits") == 1) & (F.col("rank") == k), F.col("place"))).over(own)
+    raw = raw.withColumns({"n": F.count(F.lit(1)).over(own), "eligible": F.sum("fits").over(own), "needed": F.coalesce(last, F.count(F.lit(1)).over(own))})
+    start = F.least(F.col("n"), F.lit(k * max(1, oversampling)))
+    doublings = F.greatest(F.ceil(F.log2(F.col("needed") / start)), F.lit(0))
+    raw = raw.withColumns({"calls": (doublings + 1).cast("bigint"), "depth": F.least(F.col("n"), (start * F.pow(F.lit(2), doublings)).cast("bigint"))})
+    found = raw.filter("fits = 1 AND place <= depth").filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("bigint").alias("rank"), "vec_id", "score")
+    inside = F.col("place") <= F.col("depth")
+    count = lambda c: F.count_if(inside & c)
+    costs = raw.groupBy("query_id").agg(
+        F.max("calls").alias("search_calls"),
+        F.max("depth").alias("requested"),
+        count(F.lit(True)).alias("examined"),
+        count(F.col("late")).alias("rejected_unavailable"),
+        count(F.col("read")).alias("rejected_history"),
+        F.least(count(F.col("fits") == 1), F.lit(k)).alias("n_found"),
+        F.max("eligible").cast("bigint").alias("n_eligible"),
+    )
+    return found, costs.withColumns({"unfilled": (F.col("n_found") < k) & (F.col("n_found") < F.col("n_eligible")), "oversampled": F.col("requested") > k})
+
+
+def _displacement(common: Column, a: Column, b: Column) -> Column:
+    """How far the common ids lie apart in two arrays, in all."""
+    return F.aggregate(common, F.lit(0.0), lambda s, x: s + F.abs(F.array_position(a, x) - F.array_position(b, x)))
+
+
+def agreements(exact: DataFrame, approximate: DataFrame, cutoffs: tuple[int, ...] = (10, 20, 50, 100)) -> DataFrame:
+    """Per query, of (query_id, rank, vec_id): overlap, set recall, Jaccard and mean displacement of common results at every cutoff, and equality of the lists."""
+    longest = max(cutoffs)
+    lists = lambda df, name: df.filter(F.col("rank") <= longest).groupBy("query_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("rank", "vec_id"))), lambda x: x.vec_id).alias(name))
+    both = lists(exact, "a").join(lists(approximate, "b"), "query_id", "left").withColumn("b", F.coalesce("b", F.filter("a", lambda x: F.lit(False))))
+    out = [
+        F.get("a", 0).eqNullSafe(F.get("b", 0)).cast("double").alias("top1_agreement"),
+        (F.col("a") == F.col("b")).cast("double").alias("ordered_list_agreement"),
+        (F.get(F.filter(F.sequence(F.lit(0), F.greatest(F.size("a"), F.size("b")) - 1), lambda i: ~F.get("a", i).eqNullSafe(F.get("b", i))), 0) + 1).cast("bigint").alias("first_differing_rank"),
+    ]
+    for c in cutoffs:
+        a, b = F.slice("a", 1, c), F.slice("b", 1, c)
+        common = F.array_intersect(a, b)
+        moved = _displacement(common, a, b)
+        out += [
+            F.size(common).cast("bigint").alias(f"overlap_{c}"),
+            F.round(F.size(common) / F.size(a), 6).alias(f"set_recall_{c}"),
+            F.round(F.size(common) / F.size(F.array_union(a, b)), 6).alias(f"jaccard_{c}"),
+            F.round(moved / F.nullif(F.size(common), F.lit(0)), 6).alias(f"mean_displacement_{c}"),
+        ]
+    return both.select("query_id", *out)
+
+
+def mean_agreement(per_query: DataFrame) -> DataFrame:
+    """The means of all agreement columns, NULLs left out, in one row."""
+    columns = [c for c in per_query.columns if c != "query_id"]
+    return per_query.agg(F.count(F.lit(1)).alias("n_queries"), *[F.round(F.avg(c), 6).alias(c) for c in columns])
+
+
 def agreement(exact: DataFrame, approximate: DataFrame, cutoff: int) -> DataFrame:
     """Per query: overlap, set recall, Jaccard, equal first result and first differing rank at a cutoff."""
     lists = lambda df, name: df.filter(F.col("rank") <= cutoff).groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("rank", "vec_id"))).alias(name))

@@ -389,12 +389,21 @@ def dense_topk(spark: SparkSession, d: str) -> DataFrame:
     return dense.top_k(asked, base, 10).select("query_id", "vec_id", F.round("score", 4).alias("score"))
 
 
-@query
-def ann_agreement(spark: SparkSession, d: str) -> DataFrame:
-    """Agreement of the inverted file (16 cells, 12 visited) with the exact search, per query."""
+def _agreements(spark: SparkSession, d: str) -> DataFrame:
     asked, base = _vectors(spark, d)
     model, assigned = dense.cells(base, 16)
-    return dense.agreement(dense.top_k(asked, base, 10), dense.top_k_in_cells(asked, assigned, model, 10, 12), 10)
+    return dense.agreements(dense.top_k(asked, base, 100), dense.top_k_in_cells(asked, assigned, model, 100, 12))
+
+
+@query
+def ann_agreement(spark: SparkSession, d: str) -> DataFrame:
+    """Agreement of the inverted file (16 cells, 12 visited) with the exact search, per query, at all cutoffs."""
+    return _agreements(spark, d)
+
+
+@query
+def ann_agreement_mean(spark: SparkSession, d: str) -> DataFrame:
+    return dense.mean_agreement(_agreements(spark, d))
 
 
 # --- features and models ---

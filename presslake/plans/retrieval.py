@@ -8,8 +8,9 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from presslake.operators import projection, ranking, retrieval, selection, text
+from presslake.operators import dense, projection, ranking, retrieval, selection, text
 from presslake.plans.reference import _Feed, _observed, _Views
+from presslake.session import StagedTable, cut
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -152,20 +153,99 @@ def retrieval_selected(spark: SparkSession, d: str) -> DataFrame:
     return evaluate(Catalog(f, ("train", "validation")), asked_of(f, "test"), {chosen: grid()[chosen]})
 
 
+class Dense:
+    """The projected articles of the default text, their profiles of the query set, and the exact search over them."""
+
+    def __init__(self, f: _Views, asked_rows: DataFrame):
+        self.catalog = Catalog(f, ("train",))
+        ((self.name, (words, length, decay)),) = DEFAULT.items()
+        made = projection.dense_articles(self.catalog.weights(words), self.catalog.observed, 32)
+        self.articles = StagedTable(made.join(self.catalog.articles.select("news_id"), "news_id", "left_semi")).read()
+        self.asked = retrieval.queries(asked_rows, self.catalog.articles, self.catalog.first_seen)
+        self.weights = self.articles.select("news_id", F.posexplode("embedding").alias("term", "weight")).withColumn("term", F.format_string("d%03d", "term")).filter("weight <> 0")
+        self.profile = retrieval.profiles(self.asked, self.weights, self.catalog.articles, [(self.name, length, decay)])
+
+    def exact(self, k: int = TOP_K) -> tuple[DataFrame, DataFrame]:
+        c = self.catalog
+        return retrieval.retrieve(self.asked, self.profile, self.weights, c.articles, c.first_seen, c.clicks, k)
+
+    def vectors(self) -> DataFrame:
+        """(vec_id, embedding): unit vectors of the queries that have a profile."""
+        place = F.expr("cast(substring(t, 2) as int)")
+        long = self.profile.filter("reason IS NULL").select("impression_id", F.explode(F.arrays_zip("terms", "weights")).alias("x")).select("impression_id", F.col("x.terms").alias("t"), F.col("x.weights").alias("w")).withColumn("i", place)
+        size = F.array_size(F.lit([0.0] * 32))
+        dense_ = long.groupBy("impression_id").agg(F.map_from_entries(F.collect_list(F.struct("i", "w"))).alias("m"))
+        full = dense_.select("impression_id", F.transform(F.sequence(F.lit(0), size - 1), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0.0))).alias("v"))
+        norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))
+        return full.withColumn("_n", norm).select(F.col("impression_id").alias("vec_id"), F.transform("v", lambda x: x / F.col("_n")).alias("embedding"))
+
+    def indexed(self, n_cells: int):
+        return dense.cells(self.articles.select(F.col("news_id").alias("vec_id"), "embedding"), n_cells)
+
+    def approximate(self, index, probes: int, oversampling: int, k: int = TOP_K) -> tuple[DataFrame, DataFrame]:
+        model, assigned = index
+        pairs = dense.pairs_in_cells(self.vectors(), assigned, model, probes)
+        found, costs = dense.eligible_search(pairs, self.asked, self.catalog.first_seen, k, oversampling)
+        return cut(found), cut(costs)
+
+
+#: Cells of the inverted file, and the probes and oversampling of the single searches and of the grid.
+CELLS, PROBES, OVERSAMPLING = 16, 12, 2
+PROBE_GRID, OVERSAMPLING_GRID = (4, 8, 12, 16), (2, 5)
+
+
+@query
+def ann_search(spark: SparkSession, d: str) -> DataFrame:
+    """The approximate search under eligibility: twelve of sixteen cells, depth doubled while too few results are eligible."""
+    f = _Feed(spark, d)
+    space = Dense(f, asked_of(f))
+    found, _ = space.approximate(space.indexed(CELLS), PROBES, OVERSAMPLING)
+    return found.select(F.col("query_id").alias("impression_id"), F.col("rank").alias("retrieved_rank"), F.col("vec_id").alias("retrieved_news_id"), "score")
+
+
+@query
+def ann_diagnostics(spark: SparkSession, d: str) -> DataFrame:
+    """What the approximate search cost and rejected, per query."""
+    f = _Feed(spark, d)
+    space = Dense(f, asked_of(f))
+    return space.approximate(space.indexed(CELLS), PROBES, OVERSAMPLING)[1].withColumnRenamed("query_id", "impression_id")
+
+
+@query
+def ann_grid(spark: SparkSession, d: str) -> DataFrame:
+    """Probes and oversampling on validation: agreement with the exact search, recall of clicked targets, cost; the chosen one first.
+
+    Costs are the results examined (95th percentile) and the share of cells visited, as times of a cluster are not reproducible.
+    """
+    f = _Feed(spark, d)
+    space = Dense(f, asked_of(f, "validation"))
+    index = space.indexed(CELLS)
+    exact, _ = space.exact()
+    exact = cut(exact.select(F.col("impression_id").alias("query_id"), F.col("retrieved_rank").alias("rank"), F.col("retrieved_news_id").alias("vec_id")).join(space.vectors().select(F.col("vec_id").alias("query_id")), "query_id", "left_semi"))
+    targets = cut(space.asked.select(F.col("impression_id").alias("query_id"), F.array_distinct("available").alias("t")).filter("size(t) > 0"))
+    runs = []
+    for probes in PROBE_GRID:
+        for oversampling in OVERSAMPLING_GRID:
+            found, costs = space.approximate(index, probes, oversampling)
+            agreement = dense.mean_agreement(dense.agreements(exact, found)).select(F.col("set_recall_100").alias("agreement"), "top1_agreement", "jaccard_100", "mean_displacement_100")
+            hits = found.join(targets, "query_id").groupBy("query_id", "t").agg(F.count_if(F.array_contains("t", F.col("vec_id"))).alias("h"))
+            recall = targets.join(hits.select("query_id", "h"), "query_id", "left").agg(F.round(F.avg(F.coalesce("h", F.lit(0)) / F.size("t")), 6).alias("recall"))
+            cost = costs.agg(
+                F.sum("search_calls").alias("search_calls"), F.round(F.avg("examined"), 6).alias("mean_examined"), F.round(F.percentile("examined", F.lit(0.95)), 6).alias("p95"),
+                F.round(F.avg(F.col("unfilled").cast("double")), 6).alias("unfilled_rate"),
+            )
+            row = agreement.crossJoin(F.broadcast(recall)).crossJoin(F.broadcast(cost))  # single rows
+            runs.append(row.withColumns({"memory": F.lit(probes / CELLS), "name": F.lit(f"ivf_cells={CELLS}__probes={probes:02d}__oversampling={oversampling}")}))
+    return selection.APPROXIMATE.placed(cut(reduce(DataFrame.unionByName, runs)))
+
+
 @query
 def dense_retrieval_quality(spark: SparkSession, d: str) -> DataFrame:
     """Retrieval by 32-dimensional projections under the same eligibility, and what it loses against the sparse vectors."""
     f = _Feed(spark, d)
-    catalog = Catalog(f, ("train",))
-    (name, (words, length, decay)), = DEFAULT.items()
-    weights = catalog.weights(words)
-    dense = projection.dense_articles(weights, catalog.observed, 32)
-    long = dense.select("news_id", F.posexplode("embedding").alias("term", "weight")).withColumn("term", F.format_string("d%03d", "term")).filter("weight <> 0")
-    asked = retrieval.queries(asked_of(f), catalog.articles, catalog.first_seen)
-    profile = retrieval.profiles(asked, long, catalog.articles, [(name, length, decay)])
-    found, summary = retrieval.retrieve(asked, profile, long, catalog.articles, catalog.first_seen, catalog.clicks, TOP_K)
-    n = catalog.articles.count()
-    own = retrieval.metrics(found, summary, asked, n)
-    sparse = evaluate(catalog, asked_of(f), DEFAULT)
+    space = Dense(f, asked_of(f))
+    found, summary = space.exact()
+    own = retrieval.metrics(found, summary, space.asked, space.catalog.articles.count())
+    sparse = evaluate(space.catalog, asked_of(f), DEFAULT)
     loss = [F.round(F.col(f"own.{m}") - F.col(f"sparse.{m}"), 6).alias(f"{m}_loss") for m in ("recall_20", "recall_100", "ndcg_100", "mrr_100")]
     return own.alias("own").join(sparse.alias("sparse"), "configuration").select("own.*", *loss)

@@ -361,3 +361,25 @@ def test_serving_in_batch(spark):
     assert (total.request_count, total.missing_candidates, total.unknown_history, total.p50_candidates) == (2, 2, 1, 3.5) and total.missing_candidate_rate == pytest.approx(2 / 7, abs=1e-9)
     with pytest.raises(ValueError):
         serving.ranked(good, catalog, "boosted")
+
+
+def test_eligible_search_doubles_its_depth(spark):
+    pairs = [("q", f"N{k:02d}", 1.0 - k / 100) for k in range(16)] + [("r", "N00", 0.5)]
+    asked = spark.createDataFrame([("q", 10, ["N09", "N11"]), ("r", 10, [])], "impression_id string, ts_us bigint, history array<string>")
+    # Only the last eight are shown by then, and two of them were read.
+    first = spark.createDataFrame([(f"N{k:02d}", 10 if k >= 8 else 11) for k in range(16)], "news_id string, first_us bigint")
+    found, costs = dense.eligible_search(spark.createDataFrame(pairs, "query_id string, vec_id string, score double"), asked, first, 2, 2)
+    assert [(r.query_id, r.rank, r.vec_id) for r in found.orderBy("query_id", "rank").collect()] == [("q", 1, "N08"), ("q", 2, "N10")]
+    c = {r.query_id: r for r in costs.collect()}
+    # Asked for 4, 8 and 16 results; the second eligible one is the eleventh.
+    assert (c["q"].search_calls, c["q"].requested, c["q"].examined, c["q"].rejected_unavailable, c["q"].rejected_history) == (3, 16, 16, 8, 2)
+    assert not c["q"].unfilled and c["q"].oversampled and (c["r"].search_calls, c["r"].n_found, c["r"].unfilled) == (1, 0, False)
+
+
+def test_agreements_at_cutoffs(spark):
+    lists = lambda ids: spark.createDataFrame([("q", k + 1, i) for k, i in enumerate(ids)], "query_id string, rank bigint, vec_id string")
+    r = dense.agreements(lists("abcd"), lists("acbx"), (2, 4)).first()
+    assert (r.top1_agreement, r.ordered_list_agreement, r.first_differing_rank, r.overlap_2, r.overlap_4) == (1.0, 0.0, 2, 1, 3)
+    assert (r.set_recall_4, r.jaccard_4, r.mean_displacement_4, r.mean_displacement_2) == (0.75, 0.6, pytest.approx(2 / 3, abs=1e-6), 0.0)
+    none = dense.agreements(lists("ab"), lists("cd"), (2,)).first()
+    assert none.overlap_2 == 0 and none.mean_displacement_2 is None and dense.mean_agreement(dense.agreements(lists("ab"), lists("ab"), (2,))).first().jaccard_2 == 1.0
