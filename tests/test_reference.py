@@ -383,3 +383,72 @@ def test_agreements_at_cutoffs(spark):
     assert (r.set_recall_4, r.jaccard_4, r.mean_displacement_4, r.mean_displacement_2) == (0.75, 0.6, pytest.approx(2 / 3, abs=1e-6), 0.0)
     none = dense.agreements(lists("ab"), lists("cd"), (2,)).first()
     assert none.overlap_2 == 0 and none.mean_displacement_2 is None and dense.mean_agreement(dense.agreements(lists("ab"), lists("ab"), (2,))).first().jaccard_2 == 1.0
+
+
+def test_lines_are_numbered_over_blocks_and_files(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.tsv").write_text("".join(f"a{k}\n" for k in range(5000)))
+    (tmp_path / "in" / "b.tsv").write_text("".join(f"b{k}\n" for k in range(20000)))
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    try:
+        rows = files.numbered_lines(spark, str(tmp_path / "in"), "train").collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    want = [f"a{k}" for k in range(5000)] + [f"b{k}" for k in range(20000)]
+    assert [r.line for r in sorted(rows, key=lambda r: r.source_row_number)] == want and len({r.source_row_number for r in rows}) == len(want)
+
+
+def test_feed_timestamps_and_strict_tokens(spark, tmp_path):
+    times = ["2019-11-15", "2019-11-15 08:00", "2019-11-15T08:00:00+02:00", "11/15/2019 8:00:00 AM", "2019-11-15T08:00:00.5Z", "15 Nov", "2019-13-01", ""]
+    got = [r.t for r in spark.createDataFrame([(k, t) for k, t in enumerate(times)], "k int, s string").select("k", files.feed_timestamp(F_col("s")).alias("t")).orderBy("k").collect()]
+    assert [None if t is None else (t.hour, t.minute, t.microsecond) for t in got] == [(0, 0, 0), (8, 0, 0), (6, 0, 0), (8, 0, 0), (8, 0, 500000), None, None, None]
+    (tmp_path / "behaviors.tsv").write_text("1\tU1\t11/15/2019 8:00:00 AM\t\tN1-1\n2\tU1\t11/15/2019 8:00:00 AM\t\tBROKEN-x\n")
+    rows = files.read_behaviors(files.numbered_lines(spark, str(tmp_path / "behaviors.tsv"), "train"))
+    with pytest.raises(files.FeedError, match="line 2: impressions"):
+        files.require_valid(rows)
+    with pytest.raises(files.FeedError, match="dev/news.tsv"):
+        files.require_layout(spark, str(tmp_path), "official")
+
+
+def F_col(name):
+    from pyspark.sql import functions as F
+
+    return F.col(name)
+
+
+def test_dataset_round_trip_and_validation(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from presslake.sources import dataset
+
+    f = fixture(spark, tmp_path)
+    delivered = spark.read.parquet(str(tmp_path / "behaviors.parquet"))
+    news = spark.read.parquet(str(tmp_path / "news.parquet"))
+    for c in dataset.NEWS:
+        news = news if c in news.columns else news.withColumn(c, F.lit(""))
+    rows = f.rows.withColumn("source_row_hash", F.lit("x"))
+    out = str(tmp_path / "prepared")
+    metadata = dataset.prepare(spark, news, rows, delivered, out, "official")
+    assert metadata["rows"] == {"train": 4, "validation": 1, "test": 2}
+    loaded = dataset.load_dataset(spark, out)
+    assert loaded.metadata == metadata and loaded.news.count() == 5 and loaded.unknown_history == {"train": 0, "validation": 0, "test": 0}
+    assert {r.title for r in loaded.news.filter("news_id = 'N2'").collect()} == {"Football two"}
+    assert dataset.load_dataset(spark, out, limit=1).behaviors.groupBy("part").count().filter("count <> 1").count() == 0
+    with pytest.raises(files.FeedError, match="have no article"):
+        dataset.prepare(spark, news.filter("news_id <> 'N5'"), rows, delivered, str(tmp_path / "other"), "official")
+    bad = loaded.behaviors.filter("part = 'test'").drop("part").withColumn("impressions", F.transform("impressions", lambda c: F.struct(F.lit(0).alias("position"), c.news_id.alias("news_id"), c.clicked.alias("clicked"))))
+    bad.write.mode("overwrite").parquet(str(tmp_path / "bad.parquet"))
+    spark.read.parquet(str(tmp_path / "bad.parquet")).write.mode("overwrite").parquet(f"{out}/test_behaviors.parquet")
+    with pytest.raises(files.FeedError, match="positions out of order"):
+        dataset.load_dataset(spark, out)
+    files.write_catalog(loaded.news, f"{out}/catalog.parquet")
+    assert dataset.load_catalog(spark, out, "catalog.parquet").columns == ["news_id", "category", "subcategory"]
+    with pytest.raises(files.FeedError, match="leaves the folder"):
+        dataset.load_catalog(spark, out, "../catalog.parquet")
+    vectors = spark.createDataFrame([("N1", [1.0, 0.0]), ("N2", [0.0, 1.0])], "news_id string, embedding array<double>")
+    dataset.save_vectors(vectors, str(tmp_path / "index"), "tfidf")
+    assert dataset.load_vectors(spark, str(tmp_path / "index"), "tfidf").count() == 2
+    with pytest.raises(files.FeedError):
+        dataset.load_vectors(spark, str(tmp_path / "index"), "other")
+    assert "| 1 | x |" in dataset.markdown("Runs", [{"place": 1, "name": "x"}])
