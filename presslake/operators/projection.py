@@ -1,81 +1,81 @@
-"""Dense article vectors from TF-IDF by truncated singular value decomposition, and dense reader profiles."""
+"""Dense article vectors from TF-IDF by truncated singular value decomposition, and dense reader profiles.
+
+Subspace iteration in joins: the basis is a table of one k-vector per term. A
+pass multiplies the fit rows with it (a sum per article) and their transpose
+with the result (a sum per term); both are hash aggregates of k sums, combined
+before the shuffle. Only the k x k matrix of inner products reaches the driver,
+from which the factors that make the basis orthonormal follow.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
-from pyspark import StorageLevel
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-ARTICLE_BLOCK, PASSES = 2_000, 5
+from presslake.session import StagedTable, cut
+
+PASSES = 5
 
 
 def dense_articles(weights: DataFrame, fit_ids: DataFrame, dimensions: int) -> DataFrame:
     """(news_id, embedding): every article's TF-IDF row times the leading right singular vectors of the fit rows, unit length.
 
-    The vectors come from subspace iteration: each pass multiplies hash blocks
-    of articles with the current basis and sums what the blocks return, so only
-    arrays of terms x dimensions reach the driver. Dimensions are capped to the
-    shape. Articles without a known term get the zero vector.
+    Dimensions are capped to the shape. Articles without a known term get the zero vector.
     """
-    spark = weights.sparkSession
-    fit = weights.join(fit_ids, "news_id", "left_semi")
-    terms = [r.term for r in fit.select("term").distinct().orderBy("term").toLocalIterator()]
-    n = fit.select("news_id").distinct().count()
-    k = max(1, min(dimensions, len(terms), n))
-    place = dict(zip(terms, range(len(terms))))
-    basis = np.linalg.qr(np.random.default_rng(42).normal(size=(max(1, len(terms)), k)))[0]
-    blocks = max(1, -(-weights.select("news_id").distinct().count() // ARTICLE_BLOCK))
-    block = F.pmod(F.xxhash64("news_id"), F.lit(blocks))
-    rows = fit.withColumn("_b", block).persist(StorageLevel.MEMORY_AND_DISK)
+    fit = StagedTable(weights.join(fit_ids, "news_id", "left_semi").select("news_id", "term", "weight"))
+    shape = fit.read().agg(F.count_distinct("term").alias("terms"), F.count_distinct("news_id").alias("articles")).first()
+    k = max(1, min(dimensions, shape.terms, shape.articles))
+    start = F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda i: F.pmod(F.xxhash64("term", i), F.lit(1_000_003)) / 500_001.0 - 1.0)
+    basis = _orthonormal(fit.read().select("term").distinct().select("term", start.alias("v")), "term", k)
     for _ in range(PASSES):
-        held = spark.sparkContext.broadcast((place, basis))
-        partial = rows.groupBy("_b").applyInPandas(_multiplier(held), "i int, v array<double>")
-        summed = partial.select("i", F.posexplode("v").alias("d", "x")).groupBy("i", "d").agg(F.sum("x").alias("x")).toPandas()
-        product = np.zeros_like(basis)
-        product[summed["i"], summed["d"]] = summed["x"]
-        basis = np.linalg.qr(product)[0]
-    rows.unpersist()
-    held = spark.sparkContext.broadcast((place, basis))
-    return weights.withColumn("_b", block).groupBy("_b").applyInPandas(_projector(held), "news_id string, embedding array<double>")
-
-
-def _times(block: pd.DataFrame, place: dict[str, int], basis: np.ndarray) -> tuple[np.ndarray, tuple[np.ndarray, np.ndarray, np.ndarray], np.ndarray]:
-    """(ids, (row, term, weight) of each entry, products) of the known entries of a block."""
-    block = block.sort_values(["news_id", "term"])
-    ids, row = np.unique(block["news_id"].to_numpy(), return_inverse=True)
-    term = block["term"].map(place)
-    known = term.notna().to_numpy()
-    row, term, weight = row[known], term[known].to_numpy().astype(int), block["weight"].to_numpy()[known]
-    out = np.zeros((len(ids), basis.shape[1]))
-    np.add.at(out, row, basis[term] * weight[:, None])
-    return ids, (row, term, weight), out
-
-
-def _multiplier(held):
-    """One block's share of (X'X) basis, for the terms it holds."""
-
-    def multiply(block: pd.DataFrame) -> pd.DataFrame:
-        place, basis = held.value
-        _, (row, term, weight), product = _times(block, place, basis)
-        own, at = np.unique(term, return_inverse=True)
-        back = np.zeros((len(own), basis.shape[1]))
-        np.add.at(back, at, product[row] * weight[:, None])
-        return pd.DataFrame({"i": own.astype(np.int32), "v": list(back)})
-
-    return multiply
-
-
-def _projector(held):
-    """Projects one block of articles with the broadcast right vectors."""
-
-    def project(block: pd.DataFrame) -> pd.DataFrame:
-        ids, _, out = _times(block, *held.value)
-        norm = np.linalg.norm(out, axis=1, keepdims=True)
-        return pd.DataFrame({"news_id": ids, "embedding": list(np.where(norm > 1e-12, out / np.maximum(norm, 1e-12), 0.0))})
-
-    return project
+        by_article = _summed(fit.read().join(basis, "term"), "news_id", k)
+        basis = _orthonormal(_summed(fit.read().join(by_article, "news_id"), "term", k), "term", k)
+    made = _summed(weights.join(basis, "term"), "news_id", k)
+    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))
+    unit = made.withColumn("_n", norm).filter("_n > 1e-12").select("news_id", F.transform("v", lambda x: x / F.col("_n")).alias("embedding"))
+    zero = F.array_repeat(F.lit(0.0), k)
+    return weights.select("news_id").distinct().join(unit, "news_id", "left").select("news_id", F.coalesce("embedding", zero).alias("embedding"))
+
+
+def _summed(rows: DataFrame, key: str, k: int) -> DataFrame:
+    """(key, v): the sums of weight times v."""
+    sums = rows.groupBy(key).agg(*[F.sum(F.col("weight") * F.get("v", i)).alias(f"s{i}") for i in range(k)])
+    return sums.select(key, F.array(*[f"s{i}" for i in range(k)]).alias("v"))
+
+
+def _vectors(column: pa.Array, k: int) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, k)
+
+
+def _orthonormal(rows: DataFrame, key: str, k: int) -> DataFrame:
+    """``rows`` (key, v) times the k x k matrix that makes the columns orthonormal; columns beyond the rank become zero."""
+    rows = cut(rows)
+
+    def inner(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((k, k))
+        for batch in batches:
+            m = _vectors(batch.column(0), k)
+            total += m.T @ m
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(k * k)), pa.array(total.ravel())], names=["i", "x"])
+
+    cells = rows.select("v").mapInArrow(inner, "i bigint, x double").groupBy("i").agg(F.sum("x").alias("x")).toPandas()  # k x k rows
+    gram = np.zeros(k * k)
+    gram[cells["i"].to_numpy()] = cells["x"].to_numpy()
+    values, directions = np.linalg.eigh(gram.reshape(k, k))
+    scale = np.where(values > max(values.max(initial=0.0), 1e-300) * 1e-14, 1 / np.sqrt(np.maximum(values, 1e-300)), 0.0)
+    factor = directions * scale
+
+    def times(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            m = _vectors(batch.column(1), k) @ factor
+            offsets = pa.array(np.arange(0, m.size + 1, k), pa.int32())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(offsets, pa.array(m.ravel()))], names=[key, "v"])
+
+    return cut(rows.select(key, "v").mapInArrow(times, f"{key} string, v array<double>"))
 
 
 def dense_profiles(hist: DataFrame, articles: DataFrame) -> DataFrame:
