@@ -66,6 +66,29 @@ def audit_categories(spark: SparkSession, d: str) -> DataFrame:
     return news.groupBy("category").agg(F.count(F.lit(1)).alias("n_rows"))
 
 
+@query
+def audit_subcategories(spark: SparkSession, d: str) -> DataFrame:
+    news = table(spark, d, "news").select(monitoring.shown(F.col("subcategory"), "(missing)").alias("subcategory"))
+    return news.groupBy("subcategory").agg(F.count(F.lit(1)).alias("n_rows"))
+
+
+@query
+def audit_splits(spark: SparkSession, d: str) -> DataFrame:
+    """Delivered rows by table and source split, and of behaviors those without a timestamp."""
+    rows = lambda name, late: table(spark, d, name).groupBy("source_split").agg(F.lit(name).alias("delivery"), F.count(F.lit(1)).alias("n_rows"), late.alias("n_invalid_timestamps"))
+    return rows("news", F.lit(0).cast("bigint")).unionByName(rows("behaviors", F.count_if(F.col("timestamp").isNull())))
+
+
+@query
+def audit_missing_candidates(spark: SparkSession, d: str) -> DataFrame:
+    """Candidates without an article: entries, ids, and the first twenty ids in order."""
+    rows = feed.impressions(table(spark, d, "behaviors"))
+    lost = feed.candidates(rows, ()).join(feed.articles(table(spark, d, "news")).select("news_id"), "news_id", "left_anti").groupBy("news_id").count()
+    first = lost.select("news_id").orderBy("news_id").limit(20).agg(F.array_join(F.array_sort(F.collect_list("news_id")), " ").alias("samples"))
+    total = lost.agg(F.coalesce(F.sum("count"), F.lit(0)).alias("n_entries"), F.count(F.lit(1)).alias("n_ids"))
+    return total.crossJoin(F.broadcast(first))  # single rows
+
+
 @query
 def audit_behaviors(spark: SparkSession, d: str) -> DataFrame:
     return monitoring.behavior_audit(feed.impressions(table(spark, d, "behaviors")))
@@ -111,11 +134,12 @@ def integrity_checks(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def integrity_overlaps(spark: SparkSession, d: str) -> DataFrame:
-    """Users that several partitions share, per pair; impressions must not (column stays 0)."""
+    """Users that several partitions share, per pair, and impressions that were delivered under several source splits."""
     rows = _Feed(spark, d).rows
     users = rows.filter("user_id <> ''").select("part", "user_id").distinct()
     pairs = users.alias("a").join(users.alias("b"), "user_id").filter("a.part < b.part").groupBy(F.col("a.part").alias("first"), F.col("b.part").alias("second"))
-    repeated = rows.groupBy("impression_id").agg(F.count_distinct("part").alias("n")).filter("n > 1").agg(F.count(F.lit(1)).alias("shared_impressions"))
+    delivered = table(spark, d, "behaviors").filter("impression_id IS NOT NULL").groupBy("impression_id").agg(F.count_distinct("source_split").alias("n"))
+    repeated = delivered.filter("n > 1").agg(F.count(F.lit(1)).alias("shared_impressions"))
     return pairs.agg(F.count(F.lit(1)).alias("shared_users")).crossJoin(F.broadcast(repeated))  # a single row
 
 
@@ -423,6 +447,8 @@ def prior_decayed_clicks(spark: SparkSession, d: str) -> DataFrame:
 
 def _features(spark: SparkSession, d: str, part: str | tuple[str, ...] = "train", fit: tuple[str, ...] = ("train",)) -> DataFrame:
     """Features of the rows of ``part``: of the fitting partitions in their order, of others in evaluation mode, which knows all clicks of the fit and none of its own."""
+    if not set(fit) <= {"train", "validation"}:
+        raise ValueError("features must not be fitted on test")
     f = _Feed(spark, d)
     parts = (part,) if isinstance(part, str) else part
     rows = f.rows.filter(F.col("part").isin(*parts))

@@ -101,6 +101,12 @@ ORACLES: dict[str, str] = {
     "audit_news": """SELECT CAST(count(*) AS BIGINT) AS total_rows, count(DISTINCT news_id) AS unique_news, count(*) - count(DISTINCT news_id) AS duplicate_news,
   count(*) FILTER (WHERE coalesce(title, '') = '') AS missing_titles, count(*) FILTER (WHERE coalesce(abstract, '') = '') AS missing_abstracts FROM news WHERE news_id IS NOT NULL""",
     "audit_categories": f"SELECT {_SHOWN.format(c='category', m='(missing)')} AS category, count(*) AS n_rows FROM news GROUP BY 1",
+    "audit_subcategories": f"SELECT {_SHOWN.format(c='subcategory', m='(missing)')} AS subcategory, count(*) AS n_rows FROM news GROUP BY 1",
+    "audit_splits": """SELECT source_split, 'news' AS delivery, count(*) AS n_rows, CAST(0 AS BIGINT) AS n_invalid_timestamps FROM news GROUP BY 1
+  UNION ALL SELECT source_split, 'behaviors', count(*), count(*) FILTER (WHERE timestamp IS NULL) FROM behaviors GROUP BY 1""",
+    "audit_missing_candidates": FEED
+    + """, l AS (SELECT news_id FROM cand WHERE news_id NOT IN (SELECT news_id FROM art)), u AS (SELECT DISTINCT news_id FROM l ORDER BY 1 LIMIT 20)
+SELECT (SELECT count(*) FROM l) AS n_entries, (SELECT count(DISTINCT news_id) FROM l) AS n_ids, coalesce((SELECT string_agg(news_id, ' ' ORDER BY news_id) FROM u), '') AS samples""",
     "audit_behaviors": FEED
     + """SELECT source_split, count(*) AS n_impressions, count(DISTINCT nullif(user_id, '')) AS n_users, count(*) FILTER (WHERE len(history) = 0) AS empty_histories,
   round(avg(len(history)), 4) AS mean_history, median(len(history)) AS median_history, round(avg(len(impressions)), 4) AS mean_candidates, median(len(impressions)) AS median_candidates,
@@ -121,7 +127,7 @@ SELECT impression_id, ordinal, CASE WHEN source_split = 'dev' THEN 'test' WHEN o
   UNION ALL SELECT 'shared_users', (SELECT count(*) FROM (SELECT user_id FROM split WHERE user_id <> '' GROUP BY 1 HAVING count(DISTINCT part) > 1))""",
     "integrity_overlaps": FEED
     + """, u AS (SELECT DISTINCT part, user_id FROM split WHERE user_id <> '') SELECT a.part AS first, b.part AS second, count(*) AS shared_users,
-  (SELECT count(*) FROM (SELECT impression_id FROM split GROUP BY 1 HAVING count(DISTINCT part) > 1)) AS shared_impressions FROM u a JOIN u b ON a.user_id = b.user_id AND a.part < b.part GROUP BY 1, 2""",
+  (SELECT count(*) FROM (SELECT impression_id FROM behaviors WHERE impression_id IS NOT NULL GROUP BY 1 HAVING count(DISTINCT source_split) > 1)) AS shared_impressions FROM u a JOIN u b ON a.user_id = b.user_id AND a.part < b.part GROUP BY 1, 2""",
     "chronology_violations": FEED
     + "SELECT source_split, count(*) AS n_violations FROM (SELECT source_split, ts_us, lag(ts_us) OVER (PARTITION BY source_split ORDER BY source_row_number, ts_us) AS p FROM imp) WHERE p > ts_us GROUP BY 1",
     "position_violations": FEED

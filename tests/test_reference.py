@@ -452,3 +452,36 @@ def test_dataset_round_trip_and_validation(spark, tmp_path):
     with pytest.raises(files.FeedError):
         dataset.load_vectors(spark, str(tmp_path / "index"), "other")
     assert "| 1 | x |" in dataset.markdown("Runs", [{"place": 1, "name": "x"}])
+
+
+def test_lost_references_are_counted(spark, tmp_path):
+    """Ids without an article in a candidate list and in histories, on planted rows."""
+    from presslake.plans import reference
+
+    fixture(spark, tmp_path)
+    planted = tmp_path / "planted"
+    rows = spark.read.parquet(str(tmp_path / "behaviors.parquet"))
+    spark.read.parquet(str(tmp_path / "news.parquet")).filter("news_id NOT IN ('N1', 'N5')").write.parquet(str(planted / "news.parquet"))
+    rows.write.parquet(str(planted / "behaviors.parquet"))
+    got = {r.side: (r.n_entries, r.n_ids) for r in reference.missing_references(spark, str(planted)).collect()}
+    assert got == {"candidate": (4, 2), "history": (4, 1)}
+    lost = reference.audit_missing_candidates(spark, str(planted)).first()
+    assert (lost.n_entries, lost.n_ids, lost.samples) == (4, 2, "N1 N5")
+    with pytest.raises(ValueError, match="not be fitted on test"):
+        reference._features(spark, str(planted), "test", ("train", "test"))
+
+
+def test_streams_append_and_count(spark, tmp_path):
+    from presslake.streaming import telemetry
+
+    df = spark.createDataFrame([("N1", 1), ("N1", 0), ("N2", 1), ("N1", 1)], "news_id string, clicked int")
+    df.write.parquet(str(tmp_path / "in"))
+    read = lambda: spark.readStream.schema(df.schema).parquet(str(tmp_path / "in"))
+    q = telemetry.running_clicks(read()).writeStream.format("memory").queryName("clicks_test").outputMode("complete").option("checkpointLocation", str(tmp_path / "c1")).start()
+    q.processAllAvailable()
+    q.stop()
+    assert {r.news_id: r.clicks for r in spark.table("clicks_test").collect()} == {"N1": 2, "N2": 1}
+    q = telemetry.append_log(read(), str(tmp_path / "log"), str(tmp_path / "c2"))
+    q.processAllAvailable()
+    q.stop()
+    assert spark.read.json(str(tmp_path / "log")).count() == 4
