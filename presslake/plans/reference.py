@@ -49,6 +49,8 @@ def _Feed(spark: SparkSession, d: str) -> _Views:  # noqa: N802
                 pass
         _LATEST.clear()
         _LATEST[key] = _Views(spark, d)
+    elif not _LATEST[key].rows.storageLevel.useMemory:  # the caller cleared the cache
+        _LATEST[key].rows.persist(StorageLevel.MEMORY_AND_DISK)
     return _LATEST[key]
 
 

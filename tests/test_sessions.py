@@ -43,3 +43,25 @@ def test_empty(spark):
 def test_random(spark, events):
     events = list({e[0]: e for e in events}.values())
     assert run(spark, events) == expected(events)
+
+
+def test_no_folder_of_one_machine_on_a_cluster():
+    from types import SimpleNamespace as Stub
+    from unittest.mock import MagicMock
+
+    import pytest
+
+    from presslake import session
+
+    context = MagicMock()
+    context.getConf.return_value.get.return_value = None
+    context._jsc.sc.return_value.getCheckpointDir.return_value.isDefined.return_value = False
+    for master in ("spark://host:7077", "yarn", "local-cluster[2,1,1024]", "k8s://host"):
+        context.master = master
+        with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+            session.shared_folder(Stub(sparkContext=context, conf=Stub(get=lambda *a: None)))
+    for master in ("local", "local[4]", "local[*]"):
+        context.master = master
+        assert "presslake-" in session.shared_folder(Stub(sparkContext=context, conf=Stub(get=lambda *a: None)))
+    context.master = "yarn"
+    assert session.shared_folder(Stub(sparkContext=context, conf=Stub(get=lambda *a: "hdfs:///shared"))) == "hdfs:///shared"
