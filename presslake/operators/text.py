@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -67,15 +68,17 @@ def recency_profiles(hist: DataFrame, weights: DataFrame, known: DataFrame, deca
 IMPRESSION_BLOCK = 500
 
 
-def _similarities(block: pd.DataFrame) -> pd.DataFrame:
+def _similarities(block: pa.Table) -> pa.Table:
     """Cosines of candidates and mean histories of a block of impressions; entries of history have side 0, candidates side 1."""
-    imp, names = pd.factorize(block["impression_id"])
-    side, often = block["side"].to_numpy(), block["m"].to_numpy(dtype=float)
-    sizes = block["terms"].map(len).to_numpy()
-    row = np.repeat(np.arange(len(block)), sizes)
-    some = block[sizes > 0]
-    term = pd.factorize(np.concatenate(some["terms"].to_list()))[0] if len(some) else np.array([], np.int64)
-    weight = np.concatenate(some["weights"].to_list()).astype(float) if len(some) else np.array([], float)
+    block = block.combine_chunks()
+    column = lambda name: block.column(name).chunk(0) if block.column(name).num_chunks else pa.array([], block.schema.field(name).type)
+    named = column("impression_id").dictionary_encode()
+    imp, names = named.indices.to_numpy(), named.dictionary
+    side, often = column("side").to_numpy(), column("m").to_numpy().astype(float)
+    sizes = pc.list_value_length(column("terms")).to_numpy()
+    row = np.repeat(np.arange(len(imp)), sizes)
+    term = column("terms").flatten().dictionary_encode().indices.to_numpy().astype(np.int64)
+    weight = column("weights").flatten().to_numpy()
     key = imp[row].astype(np.int64) * (int(term.max(initial=0)) + 1) + term
     read = side[row] == 0
     known = np.bincount(imp[side == 0], often[side == 0], minlength=len(names))
@@ -88,11 +91,12 @@ def _similarities(block: pd.DataFrame) -> pd.DataFrame:
     place = np.searchsorted(own, key[asked])
     met = place < len(own)
     met[met] = own[place[met]] == key[asked][met]
-    dots = np.bincount(row[asked[met]], profile[place[met]] * weight[asked[met]], minlength=len(block))
+    dots = np.bincount(row[asked[met]], profile[place[met]] * weight[asked[met]], minlength=len(imp))
     length = norm[imp]
     score = np.where(length > 0, _rounded(dots / np.where(length > 0, length, 1.0), 6), 0.0)
     out = side == 1
-    return pd.DataFrame({"impression_id": block["impression_id"][out], "news_id": block["news_id"][out], "score": score[out]})
+    kept = block.filter(pa.array(out))
+    return pa.table({"impression_id": kept.column("impression_id"), "news_id": kept.column("news_id"), "score": score[out]})
 
 
 def history_similarity(rows: DataFrame, weights: DataFrame, known: DataFrame) -> DataFrame:
@@ -111,7 +115,7 @@ def history_similarity(rows: DataFrame, weights: DataFrame, known: DataFrame) ->
     entries = read.unionByName(shown).join(vector, "news_id")
     blocks = max(1, -(-rows.count() // IMPRESSION_BLOCK))
     keyed = entries.withColumn("_b", F.pmod(F.xxhash64("impression_id"), F.lit(blocks)))
-    return keyed.groupBy("_b").applyInPandas(_similarities, "impression_id string, news_id string, score double")
+    return keyed.groupBy("_b").applyInArrow(_similarities, "impression_id string, news_id string, score double")
 
 
 def first_seen(cand: DataFrame) -> DataFrame:

@@ -220,7 +220,11 @@ def _scored(spark: SparkSession, d: str, name: str, fit: tuple[str, ...], on: tu
 
 
 def _observed(f: _Views, fit: tuple[str, ...]) -> DataFrame:
-    return f.candidates(*fit).select("news_id").unionByName(f.history(*fit).select("news_id")).distinct()
+    """The distinct article ids that the fitting partitions show or read, computed once per split: ids only, read by several branches of a query."""
+    kept = f.__dict__.setdefault("observed", {})
+    if fit not in kept:
+        kept[fit] = cut(f.candidates(*fit).select("news_id").unionByName(f.history(*fit).select("news_id")).distinct())
+    return kept[fit]
 
 
 def _tfidf_scored(f: _Views, cand: DataFrame, fit: tuple[str, ...], on: tuple[str, ...]) -> DataFrame:
