@@ -45,7 +45,7 @@ _TAG = re.compile(r"<!--.*?-->|</?[A-Za-z][^<>]*>", re.S)
 _INVISIBLE = re.compile("[­͏؜ᅟᅠ឴឵᠋-᠎​-‏‪-‮⁠-⁯︀-️﻿]")
 _WORDS = re.compile(r"[^\W_]+")
 #: Characters of evaluation text that are broadcast at most, and words of the corpus handled at once.
-MOST_CHARACTERS, CHUNK_WORDS = 4_000_000, 400_000
+MOST_CHARACTERS, CHUNK_WORDS = 4_000_000, 100_000
 #: Bits of the bitmap of sampled keys (16 MB).
 KEY_BITS = 1 << 27
 
