@@ -319,6 +319,19 @@ def test_messages_that_no_rule_knows_are_found_by_their_company(spark):
     assert only[0] == 40 and only[1] > 30  # the phrases alone hold less than half of the words
 
 
+def test_verdicts_above_the_broadcast_size_are_joined(spark, monkeypatch):
+    heads = ["Error 502", "Page not found", "Bad Gateway", "Something went wrong"]
+    rows = [(k, f"{heads[k % 4]}\nThe kettle of this desk has boiled over, kindly come back after tea.\nTicket {k}", "abc"[k % 3]) for k in range(40)]
+    rows += [(100 + k, f"The mayor of {chr(97 + k % 26) * (2 + k // 26)}ville opened the fair and spoke at length of the bridge. Read on in our letter. {heads[k % 2]}", "abc"[k % 3]) for k in range(40)]
+    rows += rows[:3] + [(0, "Another version of the text that says nothing.", "a"), (7, CASES[0], None), (200, "\n", "a")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    few, many = [], []
+    expected = sorted(map(tuple, residue.residue_documents(df, by_recurrence=few).collect()))
+    monkeypatch.setattr(residue, "MOST_BROADCAST", 0)
+    assert sorted(map(tuple, residue.residue_documents(df, by_recurrence=many).collect())) == expected
+    assert [r[0] for r in expected] == list(range(40)) and few == many
+
+
 def test_masks_and_filler():
     assert residue.masked("error 404 at 12:30 see /srv/app/x.php or www.a.example, id 66f") == residue.masked("error 500 at 1:05 see /srv/app/y.php or www.b.example, id 0a1")
     assert residue.masked("error in the bill") == "error in the bill"
