@@ -4,6 +4,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from presslake.operators import packed
+from presslake.plans import general
 
 PIECES = st.sampled_from(['"', "'", '""', "''", "\\", '\\"', "\\'", " ", "N1", "N22-0", ",", ";", "|", "px_9", "PX 7;b", " ", "\n", '"PX 7;b"'])
 
@@ -92,3 +93,17 @@ def test_the_dictionary_decides_on_a_table(spark):
     plain = values()
     assert plain[2] == ["N1", "PX", "7", "b", "N3"] and plain[6] == ["a, b", "N1", "a", "b"]
     assert {k for k in truth if plain[k] != truth[k]} == {2, 4, 6}
+
+
+def test_a_dictionary_is_gathered_only_where_it_decides(spark, monkeypatch):
+    fields = {1: 'N1,"PX 7;b",N2', 2: "N1;PX 7;b|N3", 3: "'a, b' N1 a, b", 4: '"N1;""PX 7;b"""', 5: 'N4, "PX 7;b', 6: None}
+    df = spark.createDataFrame([(k, t, "") for k, t in fields.items()], "export_id bigint, history_raw string, impressions string")
+    gathered, harvest = [], packed.harvest
+    monkeypatch.setattr(general, "table", lambda *_: df)
+    monkeypatch.setattr(packed, "harvest", lambda *a, **how: gathered.append(how) or harvest(*a, **how))
+    found = set(map(tuple, general.p1_found(spark, "").collect()))
+    assert found == {(k, "history_raw", i, v) for k, t in fields.items() if t for i, v in enumerate(brute.split_values(t))}
+    assert gathered == []
+    protected = set(map(tuple, general.p1_protected(spark, "").collect()))
+    assert gathered == [{"bare": True}]
+    assert (2, "history_raw", 1, "PX 7;b") in protected - found and (3, "history_raw", 2, "a, b") in protected - found
