@@ -485,3 +485,77 @@ def test_streams_append_and_count(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert spark.read.json(str(tmp_path / "log")).count() == 4
+
+
+def searched(spark, monkeypatch, blocks, signed=False, k=5):
+    """A search of random queries and the same by brute force: {query: [(article, score)]} and sizes of the catalog."""
+    import numpy as np
+
+    from presslake.operators import retrieval
+
+    monkeypatch.setattr(retrieval, "QUERY_BLOCK", blocks[0])
+    monkeypatch.setattr(retrieval, "ARTICLE_BLOCK", blocks[1])
+    rng = np.random.default_rng(3)
+    weights = {f"N{i:03d}": {int(t): round(float(w), 2) for t, w in zip(rng.choice(60, 6, replace=False) ** 2 // 60, rng.random(6) - 0.5 * signed)} for i in range(150)}
+    weights["N007"], weights["N008"] = {}, dict(weights["N009"])  # no term; equal vectors
+    first = {n: int(rng.integers(0, 50)) for n in weights if n != "N011"}
+    clicks = {"N003": 4, "N004": 4, "N100": 9}
+    asked = {f"q{i}": (int(rng.integers(0, 60)), [f"N{int(x):03d}" for x in rng.integers(0, 150, 3)] if i % 4 else []) for i in range(30)}
+    table = lambda rows, schema: spark.createDataFrame(rows, schema)
+    vectors = table([(n, list(sorted(w)), [w[t] for t in sorted(w)]) for n, w in weights.items()], "news_id string, terms array<int>, weights array<double>")
+    queries = table([(q, t, h) for q, (t, h) in asked.items()], "impression_id string, ts_us bigint, history array<string>")
+    profile = retrieval.profiles(queries, vectors, [(10, None), (25, 0.5)])
+    lists = retrieval.listed(["a", "b"], queries, profile, vectors, table(list(first.items()), "news_id string, first_us bigint"), table(list(clicks.items()), "news_id string, clicks bigint"), k)
+    want, sizes = {}, {}
+    for q, (ts, h) in asked.items():
+        catalog = [n for n in first if first[n] <= ts and n not in h]
+        sizes[q] = len(catalog)
+        for name, decay in (("a", 1.0), ("b", 0.5)):
+            share = [decay ** (len(h) - 1 - i) for i in range(len(h))]
+            p = {}
+            for n, s in zip(h, share):
+                for t, w in weights[n].items():
+                    p[t] = p.get(t, 0.0) + s * w / sum(share)
+            p = {t: round(w, 9) for t, w in p.items() if round(w, 9)}
+            norm = math.sqrt(sum(w * w for w in p.values()))
+            score = {n: sum(p[t] * w for t, w in weights[n].items() if t in p) / norm if p else float(clicks.get(n, 0)) for n in catalog}
+            want[q, name] = [(n, score[n]) for n in sorted(catalog, key=lambda n: (-round(score[n], 6), first[n], n))][:k]
+    return lists, want, sizes
+
+
+@pytest.mark.parametrize("blocks", [(1_000, 4_000), (7, 20)])
+@pytest.mark.parametrize("signed", [False, True])
+def test_search_equals_brute_force(spark, monkeypatch, blocks, signed):
+    """Lists are one row per query and profile, however many blocks there are; the profiles of both configurations are made and searched once where they are equal."""
+    lists, want, sizes = searched(spark, monkeypatch, blocks, signed)
+    rows = lists.collect()
+    assert len(rows) == len({(r.impression_id, tuple(r.configurations)) for r in rows}) and any(len(r.configurations) == 2 for r in rows)
+    got = {(r.impression_id, c): r for r in rows for c in r.configurations}
+    assert set(got) == set(want)
+    for key, found in want.items():
+        assert list(got[key].ids) == [n for n, _ in found] and list(got[key].scores) == pytest.approx([s for _, s in found], abs=1e-6) and got[key].catalog_size == sizes[key[0]]
+    assert {r.fallback_reason for r in rows} >= {None, "empty_history"}
+
+
+def test_search_in_cells_equals_pairs(spark):
+    """The search that counts places in blocks finds and counts what the search by pairs does."""
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    unit = lambda n: [list(map(float, x / np.linalg.norm(x))) for x in rng.normal(size=(n, 4))]
+    base = [(f"N{i:03d}", x, i % 4) for i, x in enumerate(unit(120))]
+    base[5] = ("N005", base[6][1], 2)  # tied with the next
+    assigned = spark.createDataFrame(base, "vec_id string, embedding array<double>, cell int")
+    queries = spark.createDataFrame([(f"q{i}", x) for i, x in enumerate(unit(9))], "vec_id string, embedding array<double>")
+    asked = spark.createDataFrame([(f"q{i}", 12 * i, [f"N{int(x):03d}" for x in rng.integers(0, 120, 6)]) for i in range(9)], "impression_id string, ts_us bigint, history array<string>")
+    first = spark.createDataFrame([(f"N{i:03d}", int(rng.integers(0, 100))) for i in range(115)], "news_id string, first_us bigint")
+
+    class Model:
+        def clusterCenters(self):  # noqa: N802
+            return [np.eye(4)[i] for i in range(4)]
+
+    ways = [(1, 1), (1, 2), (3, 1), (3, 2)]
+    rows = lambda df: sorted(tuple(tuple(x) if isinstance(x, list) else x for x in r) for r in df.select("query_id", "probes", "oversampling", "ids", "scores", *dense.COSTS, "unfilled", "oversampled").collect())
+    got = rows(dense.eligible_search_in_cells(queries, asked, assigned, Model(), first, 7, ways))
+    q = queries.withColumnRenamed("vec_id", "query_id")
+    assert got == rows(dense._by_pairs(q, asked, assigned, Model(), first, 7, ways, 6)) and len(got) == 36 and any(r[5] > 1 for r in got)
