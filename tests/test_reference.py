@@ -495,6 +495,7 @@ def searched(spark, monkeypatch, blocks, signed=False, k=5):
 
     monkeypatch.setattr(retrieval, "QUERY_BLOCK", blocks[0])
     monkeypatch.setattr(retrieval, "ARTICLE_BLOCK", blocks[1])
+    monkeypatch.setattr(retrieval, "INDEX", 17)
     rng = np.random.default_rng(3)
     weights = {f"N{i:03d}": {int(t): round(float(w), 2) for t, w in zip(rng.choice(60, 6, replace=False) ** 2 // 60, rng.random(6) - 0.5 * signed)} for i in range(150)}
     weights["N007"], weights["N008"] = {}, dict(weights["N009"])  # no term; equal vectors
